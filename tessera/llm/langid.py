@@ -120,7 +120,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pd.DataFrame({"lang_pred": best, "score": sure})
 
     guess = F.pandas_udf(score, "lang_pred string, score double")(F.col("text"))
-    return docs.select(*keep, guess.alias("guess")).select(*keep, "guess.lang_pred", "guess.score")
+    return docs.select(*keep, guess.alias("_guess")).select(*keep, "_guess.lang_pred", "_guess.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, hilbert, jaccard, langid, mixing, quality, secrets, tokenfiles, warc
+from tessera.llm import decontam, hilbert, jaccard, langid, mixing, pii, quality, secrets, tokenfiles, warc
 from tessera.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -144,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
