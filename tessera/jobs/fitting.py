@@ -40,7 +40,12 @@ def e_step(packed: DataFrame, model: Model) -> dict[str, np.ndarray]:
         rows = [(k, i, j, v) for k, a in trial_statistics(model, matrix(frame, n_vars)).items() for (i, j), v in np.ndenumerate(a)]
         return pd.DataFrame(rows, columns=["name", "i", "j", "s"])
 
-    got = packed.groupBy("trial").applyInPandas(run, STATS).groupBy("name", "i", "j").sum("s").collect()
+    return gathered(packed.groupBy("trial").applyInPandas(run, STATS))
+
+
+def gathered(stats: DataFrame) -> dict[str, np.ndarray]:
+    """Matrices by name from (name, i, j, s), summed over trials; their size is that of the model's parameters."""
+    got = stats.groupBy("name", "i", "j").sum("s").collect()
     out: dict[str, np.ndarray] = {}
     for name in {r[0] for r in got}:
         cells = [r for r in got if r[0] == name]
@@ -50,13 +55,21 @@ def e_step(packed: DataFrame, model: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def m_step(s: dict[str, np.ndarray]) -> Model:
-    """Closed-form parameters; each variable's loading, offset and noise come from its own observed cells."""
+def dynamics(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A, Q, mu0 and V0 from summed moments."""
     n, trials = s["past"].shape[0], s["trials"][0, 0]
     a = np.linalg.solve(s["past"].T, s["lag"].T).T
     q = (s["next"] - a @ s["lag"].T - s["lag"] @ a.T + a @ s["past"] @ a.T) / s["steps"][0, 0]
     mu0 = s["x0"][0] / trials
     v0 = s["x0x0"] / trials - np.outer(mu0, mu0)
+    even = lambda m: (m + m.T) / 2
+    return a, even(q), mu0, even(v0) + 1e-9 * np.eye(n)
+
+
+def m_step(s: dict[str, np.ndarray]) -> Model:
+    """Closed-form parameters; each variable's loading, offset and noise come from its own observed cells."""
+    a, q, mu0, v0 = dynamics(s)
+    n = len(mu0)
     c, d, r = np.zeros((s["yx"].shape[0], n)), np.zeros(s["yx"].shape[0]), np.ones(s["yx"].shape[0])
     for i in range(len(d)):
         count, xx, x = s["n"][0, i], s["xx"][i].reshape(n, n), s["x"][i]
@@ -64,8 +77,7 @@ def m_step(s: dict[str, np.ndarray]) -> Model:
             c[i] = np.linalg.solve(xx - np.outer(x, x) / count, s["yx"][i] - s["y"][0, i] * x / count)
             d[i] = (s["y"][0, i] - c[i] @ x) / count
             r[i] = (s["yy"][0, i] - 2 * d[i] * s["y"][0, i] - 2 * c[i] @ s["yx"][i] + c[i] @ xx @ c[i] + 2 * d[i] * (c[i] @ x) + count * d[i] ** 2) / count
-    even = lambda m: (m + m.T) / 2
-    return Model(a, even(q), mu0, even(v0) + 1e-9 * np.eye(n), c, d, np.maximum(r, 1e-6))
+    return Model(a, q, mu0, v0, c, d, np.maximum(r, 1e-6))
 
 
 def fit(packed: DataFrame, start: Model, rounds: int = 10, gain: float = 1e-6) -> tuple[Model, list[float]]:

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import likelihoods as L
-from tessera.jobs import fitting
-from tessera.operators import kalman, lagcov, panel, scheme
+from tessera.jobs import fitting, poisson, stitching
+from tessera.operators import asof, graphs, kalman, lagcov, panel, scheme
 from tessera.operators.panel import rounded
 from tessera.sources import panels
+from tessera.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,3 +393,175 @@ def ssid_svd(spark, sf):
     a, c, pi, r = fitting.subspace(fitting.dense(q, 4, KINDS), 2, 2)
     made = [(m, i, j, float((c @ np.linalg.matrix_power(a, m) @ pi @ c.T)[i, j] + (r[i] if m == 0 and i == j else 0.0))) for m in range(4) for i in range(KINDS) for j in range(KINDS)]
     return q.join(spark.createDataFrame(made, "m int, i int, j int, model double"), ["m", "i", "j"])
+
+
+@query("scale_lookup", """WITH c AS (SELECT user_id, ts, max(value) AS last_click FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT v.event_id, v.user_id, c.last_click FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF LEFT JOIN c ON v.user_id = c.user_id AND v.ts >= c.ts""")
+def scale_lookup(spark, sf):
+    """The value of each user's last click at the time of a view."""
+    events = panels.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    views = events.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return asof.as_of(views, events.where("event_type = 'click'").select("user_id", "ts", "value"), ["user_id"], "ts", "value", "last_click").drop("ts")
+
+
+@query("segment_bounds", f"WITH {SCHEME} SELECT seg, lag(t_end, 1, 0) OVER (ORDER BY seg) AS t_start, t_end, t_end - lag(t_end, 1, 0) OVER (ORDER BY seg) AS step FROM sc")
+def segment_bounds(spark, sf):
+    return asof.segment_bounds(panels.schedule(panels.vectors(spark, sf)).select("seg", "t_end"))
+
+
+@query("cov_two_lag", f"WITH {COUNTS}, x AS (SELECT var, y, lead(y) OVER (PARTITION BY trial, var ORDER BY t) AS z FROM y) SELECT var, round(covar_samp(y, z), 6) + 0.0 AS cov FROM x WHERE z IS NOT NULL GROUP BY var")
+def cov_two_lag(spark, sf):
+    rows = panel.lag_lead(counts(spark, sf)).where("y_next IS NOT NULL")
+    return rounded(rows.groupBy("var").agg(F.covar_samp("y", "y_next").alias("cov")))
+
+
+#: Dependencies between event types: one type follows another (dt -1) or shares a user's hour with it (dt 0).
+DEP = """
+s AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, epoch_us(ts) // 3600000000 AS h FROM events),
+dep AS (SELECT DISTINCT prev AS parent, event_type AS child, -1 AS dt FROM s WHERE prev IS NOT NULL AND prev <> event_type
+  UNION ALL SELECT DISTINCT a.event_type, b.event_type, 0 FROM (SELECT DISTINCT user_id, h, event_type FROM s) a JOIN (SELECT DISTINCT user_id, h, event_type FROM s) b USING (user_id, h) WHERE a.event_type < b.event_type)"""
+
+
+def dependencies(spark, sf):
+    events = panels.table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = events.select("user_id", F.col("event_type").alias("child"), F.lag("event_type").over(order).alias("parent"))
+    before = rows.where("parent IS NOT NULL AND parent <> child").select("parent", "child").distinct().withColumn("dt", F.lit(-1))
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    kinds = events.groupBy("user_id", hour.alias("h")).agg(F.sort_array(F.collect_set("event_type")).alias("k"))  # at most one of each type
+    pairs = kinds.select("k", F.posexplode("k").alias("i", "parent")).select("parent", F.explode(F.expr("slice(k, i + 2, size(k))")).alias("child"))
+    return before.unionByName(pairs.distinct().withColumn("dt", F.lit(0)))
+
+
+@query("dependencies", f"WITH {DEP} SELECT parent, child, dt FROM dep")
+def dependency_table(spark, sf):
+    return dependencies(spark, sf)
+
+
+@query("conditionals", f"WITH {DEP} SELECT child, string_agg(dt || ':' || parent, ',' ORDER BY dt, parent) AS parents FROM dep GROUP BY child")
+def conditionals(spark, sf):
+    return graphs.conditionals(dependencies(spark, sf))
+
+
+@query("time_scope", f"WITH {DEP} SELECT DISTINCT dt FROM dep")
+def time_scope(spark, sf):
+    return graphs.time_scope(dependencies(spark, sf))
+
+
+@query("model_flags", f"WITH {DEP} SELECT max(dt) <= 0 AS causal, count(*) FILTER (dt = 0) AS n_instant FROM dep")
+def model_flags(spark, sf):
+    return graphs.flags(dependencies(spark, sf))
+
+
+@query("initial_subgroups", f"WITH {DEP} SELECT DISTINCT parent FROM dep WHERE dt < 0")
+def initial_subgroups(spark, sf):
+    return graphs.initial(dependencies(spark, sf))
+
+
+@query("sampling_order", f"""WITH RECURSIVE {DEP}, nd AS (SELECT parent AS node FROM dep UNION SELECT child FROM dep),
+w AS (SELECT node, 0 AS g FROM nd UNION SELECT child, g + 1 FROM w JOIN dep ON parent = node AND dt = 0 WHERE g < 20) SELECT node, CAST(max(g) AS INTEGER) AS generation FROM w GROUP BY node""")
+def sampling_order(spark, sf):
+    return graphs.sampling_order(dependencies(spark, sf))
+
+
+@query("cyclic_check", f"""WITH RECURSIVE {DEP}, e2 AS (SELECT parent, child FROM dep),
+w AS (SELECT parent, child FROM e2 UNION SELECT w.parent, e2.child FROM w JOIN e2 ON w.child = e2.parent) SELECT parent AS node FROM w WHERE parent = child""")
+def cyclic_check(spark, sf):
+    """Event types that lead back to themselves over any dependencies, each taken as instantaneous."""
+    return graphs.own_ancestors(dependencies(spark, sf).withColumn("dt", F.lit(0)))
+
+
+@query("var_dims", f"WITH {VECTORS} SELECT experiment, count(DISTINCT var) AS n_var, CAST(min(var) AS INTEGER) AS first_var, CAST(max(var) AS INTEGER) AS last_var FROM e GROUP BY experiment")
+def var_dims(spark, sf):
+    return panels.vectors(spark, sf).groupBy("experiment").agg(F.countDistinct("var").alias("n_var"), F.min("var").alias("first_var"), F.max("var").alias("last_var"))
+
+
+@query("subgroup_sizes", f"WITH {SCHEME} SELECT pop_id, count(*) AS n, string_agg(var, ',' ORDER BY var) AS vars FROM sp GROUP BY pop_id")
+def subgroup_sizes(spark, sf):
+    names = F.array_join(F.transform(F.sort_array(F.collect_list("var")), lambda v: v.cast("string")), ",")
+    return _pops(spark, sf).groupBy("pop_id").agg(F.count("*").alias("n"), names.alias("vars"))
+
+
+@query("prior_mean_scalar", f"WITH {COUNTS}, a AS (SELECT var, avg(y) AS m FROM y GROUP BY var) SELECT var, CAST(t AS INTEGER) AS t, round(m * pow(0.9, t), 6) AS mean FROM a CROSS JOIN range(24) r(t)")
+def prior_mean_scalar(spark, sf):
+    rows = counts(spark, sf).groupBy("var").agg(F.avg("y").alias("m"))
+    return rounded(rows.select("var", "m", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("t")).select("var", "t", (F.col("m") * F.pow(F.lit(0.9), F.col("t"))).alias("mean")))
+
+
+@query("predict_rate_scalar", f"WITH RECURSIVE {FILTER} SELECT trial, var, round(exp(least(0.1 * 0.9 * mu + 0.2 + 0.5 * 0.01 * (0.81 * v + 0.5), 50)), 6) AS rate FROM fl WHERE t = 23")
+def predict_rate_scalar(spark, sf):
+    """Expected count one step after the last, with loading 0.1 and offset 0.2 on the log rate."""
+    last = kalman.scalar_filter(masked_counts(spark, sf), **SCALAR).where(F.col("t") == HOURS - 1)
+    drive = 0.1 * 0.9 * F.col("mu") + 0.2 + 0.5 * 0.01 * (0.81 * F.col("v") + 0.5)
+    return rounded(last.select("trial", "var", F.exp(F.least(drive, F.lit(50.0))).alias("rate")))
+
+
+@query("hankel_loss", f"""WITH {LINEAR} SELECT m, round(avg((q - e) * (q - e)) / 4, 6) + 0.0 AS loss FROM (SELECT q.*, CASE WHEN i = j THEN pow(0.5, m) ELSE 0 END AS e FROM q) GROUP BY m""")
+def hankel_loss(spark, sf):
+    """Mean squared distance of each lag's covariances from those of independent first-order series, over k l = 4."""
+    model = F.when(F.col("i") == F.col("j"), F.pow(F.lit(0.5), F.col("m"))).otherwise(F.lit(0.0))
+    return rounded(linear(spark, sf).groupBy("m").agg((F.avg((F.col("q") - model) ** 2) / 4).alias("loss")))
+
+
+@query("sign_flip_check", f"WITH {LINEAR} SELECT m, sum(CASE WHEN q < 0 THEN 1 ELSE 0 END) > 0.5 * count(*) AS flipped FROM q GROUP BY m")
+def sign_flip_check(spark, sf):
+    return linear(spark, sf).groupBy("m").agg((F.count_if(F.col("q") < 0) > 0.5 * F.count("*")).alias("flipped"))
+
+
+def _poisson_start(spark, sf, n=2):
+    y = masked_counts(spark, sf)
+    got = {r["var"]: r["m"] for r in y.groupBy("var").agg(F.avg("y").alias("m")).collect()}  # one row a variable
+    level = np.log(np.maximum([got.get(i) or 0.0 for i in range(KINDS)], 1e-2))
+    rng = np.random.default_rng(0)
+    return lagcov.packed(y, KINDS), kalman.Model(0.8 * np.eye(n), 0.36 * np.eye(n), np.zeros(n), np.eye(n), 0.1 * rng.standard_normal((KINDS, n)), level, np.ones(KINDS))
+
+
+@query("laplace_inference")
+def laplace_inference(spark, sf):
+    rows, model = _poisson_start(spark, sf)
+    return poisson.posterior(rows, model)
+
+
+@query("plds_em")
+def plds_em(spark, sf):
+    """Approximate evidence by round of Laplace EM."""
+    rows, model = _poisson_start(spark, sf)
+    _, trace = poisson.fit(rows, model, rounds=4)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(trace)], "round int, bound double")
+
+
+@query("predict_range")
+def predict_range(spark, sf):
+    rows, model = _poisson_start(spark, sf)
+    return poisson.predict(rows, model, (0, 18), (18, 24))
+
+
+@query("plds_sample")
+def plds_sample(spark, sf):
+    """A simulated day for every day of events, at the measured rates."""
+    _, model = _poisson_start(spark, sf)
+    return poisson.sample(counts(spark, sf).select("trial").distinct(), model, HOURS)
+
+
+@query("iter_ssid")
+def iter_ssid(spark, sf):
+    """Lag covariances of a stitched panel: pairs never seen together are filled in by the model."""
+    seen = counts(spark, sf).withColumn("y", F.when(((F.col("trial") % 2 == 0) & (F.col("var") <= 2)) | ((F.col("trial") % 2 == 1) & (F.col("var") >= 2)), F.col("y").cast("double")))
+    q = lagcov.lag_cov(seen, KINDS, 4)
+    full, trace = stitching.fill(fitting.dense(q, 4, KINDS), stitching.observed(q, 4, KINDS), 2, 2)
+    rows = [(m, i, j, float(full[m, i, j])) for m, i, j in np.ndindex(*full.shape)]
+    out = spark.createDataFrame(rows, "m int, i int, j int, filled double")
+    return out.join(q, ["m", "i", "j"], "left").select("m", "i", "j", "filled", "q")
+
+
+@query("online_filter")
+def online_filter(spark, sf):
+    """Filtered level of every event type's hourly counts, from a stream of events."""
+    return online.filtered_counts(spark, sf, **{k: v for k, v in SCALAR.items()})
+
+
+@query("stream_counts", """WITH w AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h FROM events)
+SELECT event_type, h, count(*) AS n FROM w WHERE (h + 1) * 3600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 7200000000 FROM events) GROUP BY ALL""")
+def stream_counts(spark, sf):
+    """Hourly counts by event type from a stream, for the hours that the watermark (two hours) has closed."""
+    return online.closed_counts(spark, sf)
