@@ -307,7 +307,7 @@ def corr_cov(spark, sf):
 @query("recon_mse", f"WITH {COUNTS}, p AS (SELECT var, t, avg(y) AS rate FROM y GROUP BY ALL) SELECT var, round(avg((y - rate) * (y - rate)), 6) AS mse FROM y JOIN p USING (var, t) GROUP BY var")
 def recon_mse(spark, sf):
     y = counts(spark, sf)
-    rows = y.join(F.broadcast(panel.psth(y)), ["var", "t"])
+    rows = y.join(panel.psth(y), ["var", "t"])
     return rounded(rows.groupBy("var").agg(F.avg((F.col("y") - F.col("rate")) ** 2).alias("mse")))
 
 
@@ -331,7 +331,7 @@ FROM y JOIN p USING (var, t) GROUP BY ALL""")
 def poisson_scores(spark, sf):
     y = counts(spark, sf)
     rate = panel.psth(y).select("var", "t", (F.col("rate") + 0.1).alias("rate"))
-    rows = y.join(F.broadcast(rate), ["var", "t"])
+    rows = y.join(rate, ["var", "t"])
     like = L.poisson_like(F.col("y"), F.ln("rate"), F.lit(0.1))
     return rounded(rows.groupBy("trial", "var").agg(F.sum(like).alias("poisson_like"), F.sum(L.poisson_dual(F.col("rate"))).alias("poisson_dual"), (-F.sum(L.log_factorial(F.col("y")))).alias("base_measure"), F.bool_and(L.in_domain(F.col("rate"))).alias("in_domain")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.store import stored
+
 
 def time_scope(dep: DataFrame) -> DataFrame:
     return dep.select("dt").distinct()
@@ -32,23 +34,23 @@ def sampling_order(dep: DataFrame, most: int = 64) -> DataFrame:
     Generations settle by rounds over the edges; a node that still rises after as many rounds as there are nodes
     lies on or below a cycle, and gets none.
     """
-    edges = dep.where("dt = 0").select("parent", "child").distinct().cache()
-    nodes = dep.select(F.col("parent").alias("node")).union(dep.select("child")).distinct().cache()
+    edges = stored(dep.where("dt = 0").select("parent", "child").distinct())
+    nodes = stored(dep.select(F.col("parent").alias("node")).union(dep.select("child")).distinct())
     rounds = min(most, nodes.count())
     depth = nodes.withColumn("generation", F.lit(0))
     for _ in range(rounds):
         above = edges.join(depth, F.col("parent") == F.col("node")).groupBy("child").agg((F.max("generation") + 1).alias("g"))
-        depth = nodes.join(above, F.col("node") == F.col("child"), "left").select("node", F.coalesce("g", F.lit(0)).alias("generation"))
+        depth = stored(nodes.join(above, F.col("node") == F.col("child"), "left").select("node", F.coalesce("g", F.lit(0)).alias("generation")))
     return depth.where(F.col("generation") < rounds)
 
 
 def own_ancestors(dep: DataFrame, most: int = 64) -> DataFrame:
     """(node): groups that are their own ancestor within one time step."""
-    edges = dep.where("dt = 0").select("parent", "child").distinct().cache()
+    edges = stored(dep.where("dt = 0").select("parent", "child").distinct())
     reach, size = edges, edges.count()
     for _ in range(most):
         step = reach.select("parent", F.col("child").alias("mid")).join(reach.select(F.col("parent").alias("mid"), "child"), "mid").select("parent", "child")
-        reach = reach.union(step).distinct().cache()
+        reach = stored(reach.union(step).distinct())
         now = reach.count()
         if now == size:
             break

@@ -64,7 +64,7 @@ def lag_cov(panel: DataFrame, n_vars: int, lags: int, *, circular: bool = False,
     if not circular:
         return sums.select("m", "i", "j", (F.col("s") / F.col("n")).alias("q"), "n")
     n0 = sums.where("m = 0").select("i", "j", F.col("n").alias("n0"))
-    return sums.join(F.broadcast(n0), ["i", "j"]).select("m", "i", "j", (F.col("s") / F.col("n0")).alias("q"), F.col("n0").alias("n"))
+    return sums.join(n0, ["i", "j"]).select("m", "i", "j", (F.col("s") / F.col("n0")).alias("q"), F.col("n0").alias("n"))
 
 
 def coobs_count(panel: DataFrame, n_vars: int) -> DataFrame:
@@ -96,7 +96,7 @@ def autocorr(panel: DataFrame, n_vars: int, lags: int) -> DataFrame:
     pairs = now.withColumn("u", F.col("t") - F.col("m")).join(rows.select("trial", F.col("t").alias("u"), F.col("y").alias("before")), ["trial", "u"])
     sums = _products(pairs, means).where("i = j")
     zero = sums.where("m = 0").select("i", F.col("s").alias("s0"))
-    return sums.join(F.broadcast(zero), "i").select(F.col("i").alias("var"), "m", (F.col("s") / F.col("s0")).alias("acf"))
+    return sums.join(zero, "i").select(F.col("i").alias("var"), "m", (F.col("s") / F.col("s0")).alias("acf"))
 
 
 def pair_scores(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:

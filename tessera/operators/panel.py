@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ def bin_spike_times(spikes: DataFrame, dt: float, n_bins: int) -> DataFrame:
     counts = spikes.select("trial", "var", F.floor(F.col("ts") / dt).cast("int").alias("t")).where(F.col("t").between(0, n_bins - 1))
     counts = counts.groupBy("trial", "var", "t").agg(F.count("*").alias("y"))
     filled = counts.groupBy("trial", "var").agg(F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("m"))  # at most n_bins entries
-    pairs = counts.select("trial").distinct().join(F.broadcast(counts.select("var").distinct()), how="cross")
+    variables = counts.agg(F.collect_set("var").alias("vars"))  # one row, as long as there are variables
+    pairs = counts.select("trial").distinct().join(F.broadcast(variables), how="cross").select("trial", F.explode("vars").alias("var"))
     rows = pairs.join(filled, ["trial", "var"], "left").select("trial", "var", "m", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("t"))
     return rows.select("trial", "var", "t", F.coalesce(F.element_at("m", F.col("t")), F.lit(0)).cast("long").alias("y"))
 
@@ -47,13 +48,18 @@ def catalog(panel: DataFrame) -> DataFrame:
     return panel.groupBy("experiment").agg(F.countDistinct("t").alias("n_t"), (F.max("t") + 1).cast("long").alias("length"), F.countDistinct("var").alias("n_var"), F.count("*").alias("n_cells"))
 
 
-def apply_scheme(panel: DataFrame, subpop: DataFrame, schedule: DataFrame) -> DataFrame:
+def apply_scheme(panel: DataFrame, subpop: DataFrame, schedule: DataFrame, max_segments: int = 10_000) -> DataFrame:
     """y is null where the population active at t doesn't hold var.
 
-    The schedule is a few rows and joins by interval; membership joins by (pop, var).
+    A schedule of at most max_segments rows joins by interval, broadcast; beyond that it joins on time, every segment
+    spread over its steps. Membership joins by (pop, var).
     """
-    s, p = F.broadcast(schedule), F.broadcast(subpop.withColumn("seen", F.lit(True)))
-    rows = panel.join(s, (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end"))).join(p, ["pop_id", "var"], "left")
+    if schedule.limit(max_segments + 1).count() <= max_segments:
+        rows = panel.join(F.broadcast(schedule), (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end")))
+    else:
+        steps = schedule.select("pop_id", F.explode(F.sequence("t_start", F.col("t_end") - 1)).alias("t"))
+        rows = panel.join(steps, "t")
+    rows = rows.join(subpop.withColumn("seen", F.lit(True)), ["pop_id", "var"], "left")
     return rows.select(*[c for c in panel.columns if c != "y"], F.when(F.col("seen"), F.col("y")).alias("y"))
 
 
@@ -83,13 +89,13 @@ def concat_trials(panel: DataFrame) -> DataFrame:
     lengths = panel.groupBy("trial").agg((F.max("t") + 1).alias("length"))
     before = F.coalesce(F.sum("length").over(W.orderBy("trial").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = lengths.select("trial", before.alias("offset"))
-    return panel.join(F.broadcast(offsets), "trial").select((F.col("t") + F.col("offset")).cast("long").alias("t"), "var", "y")
+    return panel.join(offsets, "trial").select((F.col("t") + F.col("offset")).cast("long").alias("t"), "var", "y")
 
 
 def silent(panel: DataFrame) -> DataFrame:
     """Rows of the variables that have any count at all."""
     alive = panel.groupBy("var").agg(F.sum("y").alias("n")).where("n <> 0").select("var")
-    return panel.join(F.broadcast(alive), "var", "left_semi")
+    return panel.join(alive, "var", "left_semi")
 
 
 def rates(spikes: DataFrame, hours: float, least: float) -> DataFrame:
@@ -105,6 +111,6 @@ def spike_stats(panel: DataFrame) -> DataFrame:
     return panel.groupBy("var").agg(F.max("y").alias("most"), F.avg("y").alias("mean"), F.avg((F.col("y") != 0).cast("double")).alias("share"))
 
 
-def rounded(df: DataFrame, digits: int = 6, **columns: Column) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; -0.0 becomes 0.0."""
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

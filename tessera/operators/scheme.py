@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.store import stored
+
 
 def check(panel: DataFrame, subpop: DataFrame, schedule: DataFrame) -> DataFrame:
     """(rule, violations): what a valid scheme has none of."""
@@ -35,7 +37,7 @@ def index_groups(subpop: DataFrame) -> DataFrame:
     members = subpop.groupBy("var").agg(F.array_join(F.transform(F.sort_array(F.collect_set("pop_id")), lambda p: p.cast("string")), "-").alias("pattern"))
     names = members.groupBy("pattern").agg(F.min("var").alias("first"))
     names = names.select("pattern", (F.row_number().over(W.orderBy("first")) - 1).alias("grp"))
-    return members.join(F.broadcast(names), "pattern").select("var", "pattern", "grp")
+    return members.join(names, "pattern").select("var", "pattern", "grp")
 
 
 def visible_groups(subpop: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -77,11 +79,11 @@ def overlaps(subpop: DataFrame) -> DataFrame:
 def traversal(subpop: DataFrame, root: int = 0, most: int = 64) -> DataFrame:
     """(pop_id, depth): distance of every reachable population from the root along overlaps, breadth first."""
     edges = overlaps(subpop)
-    edges = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
+    edges = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     seen = edges.sparkSession.range(1).select(F.lit(root).alias("pop_id"), F.lit(0).alias("depth"))
     for depth in range(1, most):
         front = seen.where(F.col("depth") == depth - 1).join(edges, F.col("pop_id") == F.col("a")).select(F.col("b").alias("pop_id")).distinct()
-        new = front.join(seen, "pop_id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint() if depth % 8 == 0 else front.join(seen, "pop_id", "left_anti").withColumn("depth", F.lit(depth))
+        new = stored(front.join(seen, "pop_id", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)

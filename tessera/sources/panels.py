@@ -17,7 +17,7 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = events.select("event_type").distinct()
     kinds = kinds.select("event_type", (F.row_number().over(W.orderBy("event_type")) - 1).alias("var"))  # one row a type
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
-    rows = events.select("event_type", "value", micros.alias("us")).join(F.broadcast(kinds), "event_type")
+    rows = events.select("event_type", "value", micros.alias("us")).join(kinds, "event_type")
     day = 24 * 3600 * 1_000_000
     return rows.select(F.floor(F.col("us") / day).cast("int").alias("trial"), "var", ((F.col("us") % day) / 3.6e9).alias("ts"), "value")
 

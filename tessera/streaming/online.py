@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,17 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources.panels import table
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only a local session may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+from tessera.sources.store import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +22,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _finished(rows: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is and returns what it wrote."""
-    spark, folder = rows.sparkSession, _folder(rows.sparkSession)
+    spark, folder = rows.sparkSession, shared_dir(rows.sparkSession)
     query = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
