@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.store import shared_dir, stored
+
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "ascii_lower", "bounded", "shared_dir", "space_words", "split_words", "stored", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: ASCII white space, as a Java character class body and as plain characters.
@@ -36,25 +37,6 @@ def space_words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE_CLASS}]+"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; only a local session may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written once to a shared table and read back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most max_rows rows, found without reading more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
