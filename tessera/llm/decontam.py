@@ -56,21 +56,32 @@ def scan(docs: DataFrame, items: DataFrame, *, size: int = 10, max_broadcast: in
     small = bounded(windows, max_broadcast)
     lengths = [r[0] for r in windows.select("length").distinct().orderBy("length").collect()]  # at most ``size`` numbers
 
-    #: Key 0 at position -1 is a mark that every document carries through the same join.
-    mark = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("length"), F.lit("").alias("window"))
-    probe = windows.unionByName(mark)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), item_words(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "text_key", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
     fits = lambda n: F.when((F.col("at") >= 0) & (F.col("at") + n <= F.size("w")), window_key(F.col("w"), F.col("at"), n))
+    cells = rows.select("doc_id", "text_key", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
     if len(lengths) > 1:
         keys = F.explode(F.when(F.col("at") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(*[fits(n) for n in lengths])))
     else:
         keys = F.when(F.col("at") < 0, F.lit(0).cast("long"))
         keys = keys.otherwise(fits(lengths[0])) if lengths else keys
-    rows = rows.withColumn("key", keys)
-    hit = rows.join(F.broadcast(probe) if small else probe.hint("merge"), "key")
-    hit = hit.where((F.col("at") < 0) | (F.array_join(F.slice("w", F.col("at") + 1, F.col("length")), " ") == F.col("window")))
-    hit = hit.select("doc_id", "text_key", F.size("w").alias("n"), "at", "length", "key", "window")
+    cells = cells.withColumn("key", keys)
+    window = F.array_join(F.slice("w", F.col("at") + 1, F.col("length")), " ")
+    if small:
+        #: Key 0 at position -1 is a mark that every document carries through the same join.
+        mark = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("length"), F.lit("").alias("window"))
+        hit = cells.join(F.broadcast(windows.unionByName(mark)), "key").where((F.col("at") < 0) | (window == F.col("window")))
+        hit = hit.select("doc_id", "text_key", F.size("w").alias("n"), "at", "length", "key", "window")
+    else:
+        #: Shuffled cells carry their hash alone; hits are verified by the words that their texts have there.
+        light = cells.where("at >= 0 AND key IS NOT NULL").select("doc_id", "text_key", "at", "key")
+        maybe = light.join(windows.hint("merge"), "key")
+        maybe = maybe.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.struct("at", "length", "key", "window").alias("x")).groupBy("d", "k").agg(F.collect_set("x").alias("xs"))
+        texts = rows.select("doc_id", "text_key", "w").dropDuplicates(["doc_id", "text_key"])
+        near = texts.join(maybe, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")))
+        true = F.filter("xs", lambda x: F.array_join(F.slice("w", x["at"] + 1, x["length"]), " ") == x["window"])
+        hit = near.select("doc_id", "text_key", F.size("w").alias("n"), true.alias("xs")).select("doc_id", "text_key", "n", F.explode("xs").alias("x")).select("doc_id", "text_key", "n", "x.*")
+        marks = rows.select("doc_id", "text_key", F.size("w").alias("n"), F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("key"), F.lit("").alias("window"))
+        hit = hit.unionByName(marks)
 
     inside = F.col("at") >= 0
     spans = hit.groupBy("doc_id", "text_key").agg(
@@ -115,9 +126,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, remove:
         return docs.join(hits, same, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove: {remove}")
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    head = F.regexp_extract("text", f"^{GAP}", 0)
-    pieces = F.regexp_extract_all("text", F.lit(f"({word}(?:{GAP})?)"), 1)
+    word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    head = F.regexp_extract("text", f"^{gap}", 0)
+    pieces = F.regexp_extract_all("text", F.lit(f"({word}(?:{gap})?)"), 1)
     kept = F.filter(pieces, lambda p, i: ~F.exists(F.col("_hits"), lambda h: (i >= h["at"]) & (i < h["end"])))
     text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
     joined = docs.join(hits, same, "left").withColumn("text", text)
