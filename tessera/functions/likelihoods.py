@@ -48,3 +48,8 @@ def log_factorial(y: Column) -> Column:
 
 def in_domain(lam: Column) -> Column:
     return (lam >= 0) & ~F.isnan(lam) & (lam < float("inf"))
+
+
+def mixture_dual(lam: Column, weight: float) -> Column:
+    """Conjugate of a likelihood that counts with ``weight``: weight times the dual of lam / weight, scaled to lam."""
+    return F.when(lam > 0, weight * lam * (F.ln(lam / weight) - 1)).otherwise(F.lit(float("inf")))

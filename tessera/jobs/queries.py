@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import likelihoods as L
 from tessera.jobs import fitting, poisson, stitching
-from tessera.operators import asof, graphs, kalman, lagcov, panel, scheme
+from tessera.operators import asof, graphs, kalman, lagcov, panel, regression, sampling, scheme
 from tessera.operators.panel import rounded
 from tessera.sources import panels
 from tessera.streaming import online
@@ -565,3 +565,94 @@ SELECT event_type, h, count(*) AS n FROM w WHERE (h + 1) * 3600000000 <= (SELECT
 def stream_counts(spark, sf):
     """Hourly counts by event type from a stream, for the hours that the watermark (two hours) has closed."""
     return online.closed_counts(spark, sf)
+
+
+@query("mini_batch_trials", f"WITH {COUNTS}, b AS (SELECT trial FROM (SELECT DISTINCT trial FROM y) ORDER BY md5(trial || ':7') LIMIT 10) SELECT trial, var, t, y FROM y WHERE trial IN (SELECT trial FROM b)")
+def mini_batch_trials(spark, sf):
+    return sampling.mini_batch(counts(spark, sf), 10, 7)
+
+
+@query("sample_vars", f"WITH {VECTORS} SELECT var FROM (SELECT DISTINCT var FROM e) ORDER BY md5(var || ':3') LIMIT 20")
+def sample_vars(spark, sf):
+    return sampling.sample_vars(panels.vectors(spark, sf), 20, 3)
+
+
+@query("random_perm", f"WITH {COUNTS} SELECT trial, t, CAST(row_number() OVER (PARTITION BY trial ORDER BY md5(trial || ':' || t || ':5')) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT trial, t FROM y)")
+def random_perm(spark, sf):
+    return sampling.random_order(counts(spark, sf), 5)
+
+
+@query("mstep_stats", f"""WITH {COUNTS}, x AS (SELECT var, CAST(y AS DOUBLE) AS y, CAST(lead(y) OVER (PARTITION BY trial, var ORDER BY t) AS DOUBLE) AS z FROM y)
+SELECT var, sum(y * y) AS s00, sum(y * z) AS s01, sum(z * z) AS s11, count(*) AS n FROM x WHERE z IS NOT NULL GROUP BY var""")
+def mstep_stats(spark, sf):
+    return regression.step_sums(counts(spark, sf))
+
+
+@query("lds_observed", f"""WITH {COUNTS}, x AS (SELECT var, CAST(y AS DOUBLE) AS y, CAST(lead(y) OVER (PARTITION BY trial, var ORDER BY t) AS DOUBLE) AS z FROM y),
+s AS (SELECT var, sum(y * y) AS s00, sum(y * z) AS s01, sum(z * z) AS s11, count(*) AS n FROM x WHERE z IS NOT NULL GROUP BY var)
+SELECT var, round(s01 / s00, 6) AS a, round((s11 - s01 / s00 * s01) / n, 6) AS q FROM s WHERE s00 > 0""")
+def lds_observed(spark, sf):
+    return rounded(regression.observed_dynamics(counts(spark, sf)))
+
+
+@query("affine_link", f"""WITH {COUNTS} SELECT trial, t, CAST(o AS INTEGER) AS out, round(sum(y * (var - 2.0::DOUBLE) * (o + 1)) + any_value(o), 6) + 0.0 AS y FROM y CROSS JOIN range(3) r(o) GROUP BY trial, t, o""")
+def affine_link(spark, sf):
+    """Three readouts of the counts, with weights that rise with the variable's number."""
+    y = counts(spark, sf)
+    grid = y.select("var").distinct().select("var", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("out"))
+    weights = grid.select("var", "out", ((F.col("var") - 2.0) * (F.col("out") + 1)).alias("w"))
+    return rounded(regression.affine(y, weights, grid.select("out", F.col("out").cast("double").alias("b")).distinct()))
+
+
+@query("noise_interaction", f"WITH {COUNTS}, p AS (SELECT var, t, avg(y) AS rate FROM y GROUP BY ALL) SELECT trial, var, t, round(y - rate, 6) + 0.0 AS added, round(y * rate, 6) AS scaled, round(pow(rate, 2), 6) AS powered FROM y JOIN p USING (var, t)")
+def noise_interaction(spark, sf):
+    """A mean and a deviation combined by sum, product and power."""
+    y = counts(spark, sf)
+    rows = y.join(panel.psth(y).select("var", "t", "rate"), ["var", "t"])
+    return rounded(rows.select("trial", "var", "t", (F.col("y") - F.col("rate")).alias("added"), (F.col("y") * F.col("rate")).alias("scaled"), F.pow("rate", F.lit(2.0)).alias("powered")))
+
+
+@query("poisson_mixture", f"""WITH {COUNTS}, p AS (SELECT var, t, avg(y) + 0.1 AS rate FROM y GROUP BY ALL)
+SELECT trial, var, round(sum(0.7 * (-y * ln(rate) + rate) + 0.3 * (-y * ln(2 * rate) + 2 * rate)), 6) AS like_, round(sum(0.7 * rate * (ln(rate / 0.7) - 1)), 6) AS dual FROM y JOIN p USING (var, t) GROUP BY ALL""")
+def poisson_mixture(spark, sf):
+    """Mixture-weighted likelihood (two levels, 0.7 and 0.3) and its conjugate."""
+    y = counts(spark, sf)
+    rows = y.join(panel.psth(y).select("var", "t", (F.col("rate") + 0.1).alias("rate")), ["var", "t"])
+    level = lambda k: L.poisson_like(F.col("y"), F.ln(k * F.col("rate")), F.lit(0.0))
+    return rounded(rows.groupBy("trial", "var").agg(F.sum(0.7 * level(1.0) + 0.3 * level(2.0)).alias("like_"), F.sum(L.mixture_dual(F.col("rate"), 0.7)).alias("dual")))
+
+
+@query("ingest_spikes", f"""WITH {SPIKES}, k AS (SELECT var FROM sk GROUP BY var HAVING count(*) / 720.0 >= 1.0)
+SELECT trial, var, CAST(floor(ts / 6) AS INTEGER) AS t, count(*) AS y, round(sum(value), 4) AS total FROM sk WHERE var IN (SELECT var FROM k) GROUP BY ALL""")
+def ingest_spikes(spark, sf):
+    """Spikes of cells above a rate, in six-hour bins, with their summed values."""
+    s = panels.spikes(spark, sf)
+    kept = s.join(panel.rates(s, 720.0, 1.0).select("var"), "var", "left_semi")
+    return kept.groupBy("trial", "var", F.floor(F.col("ts") / 6).cast("int").alias("t")).agg(F.count("*").alias("y"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("traces_any", f"""WITH {COUNTS}, {VECTORS} SELECT 'y' AS grp, trial, var, t, CAST(y AS DOUBLE) AS y FROM y WHERE t < 3 AND var IN (0, 1) UNION ALL SELECT 'u', 0, var, t, round(y, 6) + 0.0 FROM e WHERE t < 3 AND var IN (0, 1)""")
+def traces_any(spark, sf):
+    """Slices of outputs and inputs, stacked."""
+    y = counts(spark, sf).select(F.lit("y").alias("grp"), "trial", "var", "t", F.col("y").cast("double").alias("y"))
+    u = panels.vectors(spark, sf).select(F.lit("u").alias("grp"), F.lit(0).alias("trial"), "var", "t", "y")
+    return rounded(panel.traces(y.unionByName(u), var=[0, 1], t=[0, 1, 2]))
+
+
+@query("daily_series", """WITH o AS (SELECT l_returnflag || l_linestatus AS series, CAST(date_diff('day', TIMESTAMP '1992-01-01', l_shipdate) AS INTEGER) AS day, l_quantity FROM lineitem)
+SELECT series, day // 7 AS t, count(*) AS n, sum(l_quantity) AS quantity, round(avg(l_quantity), 6) AS mean FROM o GROUP BY ALL""")
+def daily_series(spark, sf):
+    """lineitem as weekly series by flag and status."""
+    day = F.expr("CAST(timestampdiff(DAY, TIMESTAMP_NTZ '1992-01-01 00:00:00', l_shipdate) AS INT)")
+    rows = panels.table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("series"), F.floor(day / 7).cast("int").alias("t"), "l_quantity")
+    return rounded(rows.groupBy("series", "t").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.avg("l_quantity").alias("mean")))
+
+
+@query("membership", """SELECT r_name AS pop, n_name AS var, count(c_custkey) AS n_customers, dense_rank() OVER (ORDER BY r_name) - 1 AS pop_id FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name""")
+def membership(spark, sf):
+    """Nations as variables of the populations that regions are, with the customers of each."""
+    t = lambda name: panels.table(spark, sf, name)
+    held = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("c_custkey").alias("n_customers"))
+    rows = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey")).join(held, "n_nationkey", "left")
+    rank = F.dense_rank().over(W.orderBy("r_name")) - 1  # one row a nation
+    return rows.select(F.col("r_name").alias("pop"), F.col("n_name").alias("var"), F.coalesce("n_customers", F.lit(0)).cast("long").alias("n_customers"), rank.cast("long").alias("pop_id"))
