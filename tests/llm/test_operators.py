@@ -80,8 +80,12 @@ def test_jaccard_join(spark, odd, none):
             for _ in range(int(rng.integers(0, 5))):
                 copy[int(rng.integers(len(copy)))] = str(rng.choice(words))
             rows.append((100 + len(rows), " ".join(copy), "z"))
-    check_join(spark, rows, docs(spark, rows), hot_from=2)
-    check_join(spark, rows, docs(spark, rows))
+    for g in range(25):  # texts of different sizes that just reach the similarity or just miss it
+        base = list(rng.choice(words, int(rng.integers(20, 120)), replace=False))
+        for cut in rng.integers(len(base) * 70 // 100, len(base), 4):
+            rows.append((100 + len(rows), " ".join(base[:cut] if g % 2 else base[-cut:]), "z"))
+    check_join(spark, rows, docs(spark, rows), hot_from=2, rounds=g % 2)
+    check_join(spark, rows, docs(spark, rows), leaders=2)
     assert jaccard.join(none).count() == 0
 
 
