@@ -9,6 +9,7 @@ ids, so that a short document is read by one small range and decompressed alone.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from array import array
@@ -29,23 +30,36 @@ MAGIC = b"TOKZ1"
 HEAD = len(MAGIC) + 1 + 32
 WRITTEN = "part int, doc_id long, file string, offset long, length long, n_tokens long, before long"
 TWO_GAPS, EDGE = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?=[ \n])")
+PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.:;?|]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones as themselves, the others, in order, from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids as little-endian bytes, through a cache of pieces.
 
-    The byte-level pre-tokenizer never joins a character to a blank or line feed behind it, so a text may be
-    cut there and its pieces encoded alone. Pieces recur; each new one goes to the tokenizer once, until
-    the cache holds max_pieces and begins anew.
+    The byte-level pre-tokenizer never joins a character to a blank or line feed behind it, nor a letter to
+    punctuation that ends a piece, so a text may be cut there and its pieces encoded alone. Pieces recur, and each new
+    one is encoded once: plain words by the library's model, all others by its whole tokenizer. The cache has two
+    generations of max_pieces: when the young one is full it becomes the old one, and old pieces that recur move on.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000, max_piece: int = 64):
+    def __init__(self, path: str, max_pieces: int = 150_000, max_piece: int = 64):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.max_pieces, self.max_piece = max_pieces, max_piece
 
     def pieces(self, text: str) -> list[str]:
@@ -62,18 +76,45 @@ class Encoder:
         kind = "H" if self.width == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def word(self, word: str) -> bytes:
+        """Ids of a blank (or none) and letters: one pre-token."""
+        ids = self.young.get(word) or self.old.get(word)
+        if ids is None:
+            found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = array("H" if self.width == 2 else "I", [t.id for t in found]).tobytes()
+        self.young[word] = ids
+        return ids
+
+    def lookup(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't in the young generation, which takes up the short ones."""
+        if len(self.young) > self.max_pieces:
+            self.old, self.young = self.young, {}
+        found: dict[str, bytes] = {}
+        words, others = [], []
+        for p in pieces:
+            ids = self.old.get(p)
+            if ids is not None:
+                found[p] = ids
+            elif len(p) <= self.max_piece and (m := PLAIN.fullmatch(p)):
+                words.append((p, *m.groups()))
+            else:
+                others.append(p)
+        ends = {x for _, feed, _, tail in words for x in (feed, tail) if x}
+        new = [*others, *(x for x in ends if x not in self.young and x not in found)]
+        found.update(zip(new, self.encode_new(new), strict=True))
+        end = {x: found.get(x) or self.young[x] for x in ends} | {"": b""}
+        for p, feed, word, tail in words:
+            found[p] = end[feed] + self.word(word) + end[tail]
+        self.young.update((p, ids) for p, ids in found.items() if len(p) <= self.max_piece)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        new = list(dict.fromkeys(p for ps in cut for p in ps if p not in self.known))
-        if len(self.known) + len(new) > self.max_pieces:
-            self.known.clear()
-            new = list(dict.fromkeys(p for ps in cut for p in ps))
-        self.known.update(zip(new, self.encode_new(new), strict=True))
-        out = [b"".join(map(self.known.__getitem__, ps)) for ps in cut]
-        for p in new:
-            if len(p) > self.max_piece:
-                del self.known[p]
-        return out
+        get = self.young.get
+        ids = [list(map(get, ps)) for ps in cut]
+        gaps = [None in xs for xs in ids]
+        more = self.lookup({p for ps, xs, gap in zip(cut, ids, gaps, strict=True) if gap for p, x in zip(ps, xs, strict=True) if x is None})
+        return [b"".join([more[p] if x is None else x for p, x in zip(ps, xs, strict=True)] if gap else xs) for ps, xs, gap in zip(cut, ids, gaps, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +122,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _texts(frame: pd.DataFrame, most: int = 4 << 20) -> Iterator[list[int]]:
+def _texts(frame: pd.DataFrame, most: int = 1 << 20) -> Iterator[list[int]]:
     """Row numbers in groups of about ``most`` characters."""
     group, size = [], 0
     for i, t in enumerate(frame["text"]):
