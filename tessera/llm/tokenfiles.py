@@ -40,6 +40,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Pieces(dict):
+    """Ids of pieces as little-endian bytes; one that is missing is encoded and, unless it is long, kept."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.new(piece)
+        if len(piece) <= self.encoder.max_piece:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian bytes, through a cache of pieces.
 
@@ -49,7 +62,7 @@ class Encoder:
     generations of max_pieces: when the young one is full it becomes the old one, and old pieces that recur move on.
     """
 
-    def __init__(self, path: str, max_pieces: int = 150_000, max_piece: int = 64):
+    def __init__(self, path: str, max_pieces: int = 250_000, max_piece: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -58,63 +71,34 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.max_pieces, self.max_piece = max_pieces, max_piece
+        self.young, self.old = Pieces(self), {}
 
     def pieces(self, text: str) -> list[str]:
-        if TWO_GAPS.search(text):
+        if "\0" in text or TWO_GAPS.search(text):
             return EDGE.split(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            first, *others = line.split(" ")
-            out.append(f"\n{first}" if k else first)
-            out += [f" {w}" for w in others]
-        return out
-
-    def encode_new(self, pieces: list[str]) -> list[bytes]:
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def word(self, word: str) -> bytes:
-        """Ids of a blank (or none) and letters: one pre-token."""
-        ids = self.young.get(word) or self.old.get(word)
-        if ids is None:
-            found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = array("H" if self.width == 2 else "I", [t.id for t in found]).tobytes()
-        self.young[word] = ids
-        return ids
-
-    def lookup(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't in the young generation, which takes up the short ones."""
-        if len(self.young) > self.max_pieces:
-            self.old, self.young = self.young, {}
-        found: dict[str, bytes] = {}
-        words, others = [], []
-        for p in pieces:
-            ids = self.old.get(p)
-            if ids is not None:
-                found[p] = ids
-            elif len(p) <= self.max_piece and (m := PLAIN.fullmatch(p)):
-                words.append((p, *m.groups()))
-            else:
-                others.append(p)
-        ends = {x for _, feed, _, tail in words for x in (feed, tail) if x}
-        new = [*others, *(x for x in ends if x not in self.young and x not in found)]
-        found.update(zip(new, self.encode_new(new), strict=True))
-        end = {x: found.get(x) or self.young[x] for x in ends} | {"": b""}
-        for p, feed, word, tail in words:
-            found[p] = end[feed] + self.word(word) + end[tail]
-        self.young.update((p, ids) for p, ids in found.items() if len(p) <= self.max_piece)
-        return found
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def new(self, piece: str) -> bytes:
+        """Ids of a piece that isn't in the young generation."""
+        ids = self.old.get(piece)
+        if ids is not None:
+            return ids
+        if len(piece) <= self.max_piece and (m := PLAIN.fullmatch(piece)):
+            feed, word, tail = m.groups()
+            if feed or tail:
+                return (self.young[feed] if feed else b"") + self.young[word] + (self.young[tail] if tail else b"")
+            return self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        return self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        get = self.young.get
-        ids = [list(map(get, ps)) for ps in cut]
-        gaps = [None in xs for xs in ids]
-        more = self.lookup({p for ps, xs, gap in zip(cut, ids, gaps, strict=True) if gap for p, x in zip(ps, xs, strict=True) if x is None})
-        return [b"".join([more[p] if x is None else x for p, x in zip(ps, xs, strict=True)] if gap else xs) for ps, xs, gap in zip(cut, ids, gaps, strict=True)]
+        if len(self.young) > self.max_pieces:
+            self.old, self.young = dict(self.young), Pieces(self)
+        get = self.young.__getitem__
+        return [b"".join(map(get, self.pieces(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)
