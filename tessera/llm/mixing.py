@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, max_epochs: float = 3.0, cycle: tuple[int,
     )
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: int = 17, max_epochs: float = 3.0, bucket_rows: int = 20000, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: int = 17, max_epochs: float = 3.0, bucket_rows: int = 4000, good: float = 2.0, bad: float = 0.5) -> DataFrame:
     """One row per distinct (doc_id, source, size): these, copies, source_size, target, times.
 
     docs: doc_id, text, source. labels: doc_id, quality (1 good, 0 bad; unlabelled and null weigh 1,
