@@ -7,11 +7,11 @@
    by hash within each - which every text's prefix follows. Bitmap collisions only move a shingle
    within that order; links don't depend on it.
 3. A text's prefix is its first size - ceil(t * size) + 1 shingles. Two texts that link share one of them, so
-   texts whose prefix is all unique have no link. Texts with one prefix and size form a group.
-4. Groups that share a prefix shingle are candidates if their sizes and the number of shared prefix shingles allow
+   texts whose prefix is all unique have no link. Exact copies form one class.
+4. Classes that share a prefix shingle are candidates if their sizes and what is left of them from that shingle on allow
    the similarity. Pairs are not formed all at once: for a few turns every list is compared with a few leaders, other
-   ones each time, and links found so are contracted; in the end only pairs of different components remain.
-5. Candidate groups are expanded to their distinct sets and verified on whole sets.
+   ones each time, and links found so are contracted; in the end all pairs of different components are compared.
+5. Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -139,9 +139,9 @@ def _token(tokens: np.ndarray, bins: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, *, size: int, percent: int, bins: int) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n, digest (of the set), pkey (of the prefix), last, prefix and tokens.
+    """Per row of docs (doc_id, text): doc_id, n, digest (of the set), prefix and tokens.
 
-    last: the place of the prefix's last shingle in the global order. prefix: the prefix's shingles that other texts may have, in order; tokens: the whole set, only for texts with such a prefix.
+    prefix: the prefix's shingles that other texts may have, in order; tokens: the whole set, only for texts with such a prefix.
     """
     import xxhash
 
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, *, size: in
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_many, in_hot = maps.value
         for batch in batches:
-            ns, digests, keys, lasts, prefixes, sets = [], [], [], [], [], []
+            ns, digests, prefixes, sets = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), size)
                 name = _token(s, bins)
@@ -162,27 +162,20 @@ def signatures(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, *, size: in
                 open_ = head[rank[at] > 0].astype(np.int64)
                 ns.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(xxhash.xxh3_128_digest(head.tobytes()))
-                lasts.append((int(rank[at[-1]]) << 61) | (int(head[-1]) >> 3) if p else 0)
                 prefixes.append(open_)
                 sets.append(s.astype(np.int64) if len(open_) else s[:0].astype(np.int64))
             ragged = lambda xs: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in xs])], pa.int32()), pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64)))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(lasts, pa.int64()), ragged(prefixes), ragged(sets)], ["doc_id", "n", "digest", "pkey", "last", "prefix", "tokens"])
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), ragged(prefixes), ragged(sets)], ["doc_id", "n", "digest", "prefix", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, pkey binary, last long, prefix array<long>, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose whole sets reach the similarity."""
-    left, right = (sets.select(F.col("cid").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    """The (a, b) of pairs (a, ka, b, kb) whose whole sets reach the similarity."""
+    left, right = (sets.select(F.col("cid").alias(c), F.col("key").alias(f"k{c}"), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
+    both = pairs.join(left, ["a", "ka"]).join(right, ["b", "kb"])
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b")
-
-
-def _need(x: str, y: str, percent: int):
-    """Least overlap of sets with these sizes."""
-    return F.ceil(percent * (F.col(x) + F.col(y)) / F.lit(100 + percent) - F.lit(1e-9))
+    return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = 1024, hot_from: int = 32, max_bits: int = 1 << 27, rounds: int = 4, leaders: int = 8) -> DataFrame:
@@ -204,38 +197,34 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = 1024,
 
     signed = stored(signatures(known, shared, hot, size=size, percent=percent, bins=bins))
     #: Exact copies: one class per distinct set, named by its least doc_id.
-    filled = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("cid"), F.min("pkey").alias("pkey"), F.count("*").alias("copies"))
+    filled = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
     classes = stored(filled)
-    #: Groups: classes with one prefix and size, named by their least class, if others may share the prefix.
-    heads = signed.where(F.size("prefix") > 0).select(F.col("doc_id").alias("cid"), F.col("digest").alias("d"), "last", "prefix", "tokens")
-    sets = classes.join(heads, ["cid"]).where(F.col("d") == F.col("digest")).select("cid", "n", "pkey", "last", "prefix", "tokens").dropDuplicates(["cid", "n"])
+    #: The sets of classes whose prefix others may share.
+    heads = signed.where(F.size("prefix") > 0).select(F.col("doc_id").alias("cid"), F.col("digest").alias("d"), "prefix", "tokens")
+    sets = classes.join(heads, ["cid"]).where(F.col("d") == F.col("digest")).select("cid", F.col("n").alias("key"), "n", "prefix", "tokens").dropDuplicates(["cid", "key"])
     sets = stored(sets)
-    groups = sets.groupBy("n", "pkey").agg(F.min("cid").alias("gid"))
-    sets = stored(sets.join(groups, ["n", "pkey"]))
-    members = sets.select("gid", "cid")
 
-    #: Lists: the groups that have a shingle in their prefix, where they are several.
-    postings = sets.where("gid = cid").select(F.col("cid").alias("gid"), "n", "last", F.explode("prefix").alias("token"))
+    #: Lists: the classes that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.
+    postings = sets.select("cid", "key", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
+    postings = postings.select("cid", "key", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest"), "token")
     df = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     postings = stored(postings.join(df, "token"))
-    inside = members.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    links = stored(_verified(inside, sets, percent))
-    roots = components(links)
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for turn in range(rounds):
         labelled = stored(_labelled(postings, roots))
-        pairs = _with_leaders(labelled, turn, leaders, percent)
-        found = stored(_verified(_expanded(pairs, members, roots), sets, percent))
-        if found.isEmpty():
+        found = stored(_verified(_with_leaders(labelled, turn, leaders, percent), sets, percent))
+        if turn and found.isEmpty():
             break
         links = links.unionByName(found)
         roots = components(links)
     labelled = stored(_labelled(postings, roots))
-    other = labelled.select("token", F.col("gid").alias("g2"), F.col("n").alias("n2"), F.col("last").alias("last2"), F.col("root").alias("r2"))
-    near = (F.col("g1") < F.col("g2")) & (F.col("r1") != F.col("r2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
     mixed = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    left = labelled.join(mixed, "token").select("token", F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("last").alias("last1"), F.col("root").alias("r1"))
-    pairs = left.join(other, (left["token"] == other["token"]) & near).groupBy("g1", "g2", "n1", "n2", "last1", "last2").agg(F.count("*").alias("both"))
-    found = stored(_verified(_expanded(pairs.where(_possible(percent)).select("g1", "g2"), members, roots), sets, percent))
+    left, right = (labelled.select("token", F.col("cid").alias(c), F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("rest").alias(f"rest{c}"), F.col("root").alias(f"root{c}")) for c in "ab")
+    left = left.join(mixed, "token")
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & _near(percent))
+    pairs = pairs.groupBy(*PAIR).agg(F.count("*").alias("both"), F.min(F.least("resta", "restb")).alias("more"))
+    found = stored(_verified(pairs.where(_reaches(F.col("both") + F.col("more"), percent)).select("a", "ka", "b", "kb"), sets, percent))
     links = links.unionByName(found)
     #: Rows of one doc_id with different texts join their classes.
     ids = signed.select("doc_id", "digest", "n").where("n > 0").join(classes.select("digest", "n", "cid"), ["digest", "n"])
@@ -248,46 +237,47 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = 1024,
     return rows.unionByName(lone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+#: A pair of classes, by number and key, with its sizes.
+PAIR = ("a", "ka", "na", "b", "kb", "nb")
+
+
 def _with_leaders(labelled: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
-    """(g1, g2): members of each list and size band with its leaders in other components.
+    """(a, ka, b, kb): members of each list and size band with its leaders in other components.
 
-    The leaders have the least of ``leaders`` hashes of their number, other ones in every turn. A list of up to
-    ``leaders`` groups is nearly covered, so pairs of such lists must also share enough of their prefixes.
+    The leaders have the least of ``leaders`` hashes of their number, other ones in every turn; bands move by half
+    their width. A list of up to ``leaders`` classes is nearly covered, so pairs of such lists must also share enough of
+    their prefixes. What is left out here is compared in the end.
     """
-    band = F.floor(F.ln("n") / F.lit(float(np.log(100 / percent))))
+    band = F.floor(F.ln("n") / F.lit(float(np.log(100 / percent))) + F.lit(turn % 2 / 2))
     rows = labelled.withColumn("band", band)
-    one = F.struct("gid", "n", "last", "root")
-    chosen = [F.min_by(one, F.xxhash64("gid", F.lit(turn * leaders + k))).alias(f"l{k}") for k in range(leaders)]
+    one = F.struct("cid", "key", "n", "rest", "root")
+    chosen = [F.min_by(one, F.xxhash64("cid", "key", F.lit(turn * leaders + k))).alias(f"l{k}") for k in range(leaders)]
     lists = rows.groupBy("token", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *chosen).where("r0 <> r1")
     lead = lists.select("token", "band", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("x"))
-    lead = lead.select("token", "band", F.col("x.gid").alias("g1"), F.col("x.n").alias("n1"), F.col("x.last").alias("last1"), F.col("x.root").alias("r"))
-    pairs = rows.join(lead, ["token", "band"]).where("root <> r").groupBy("g1", F.col("gid").alias("g2"), "n1", F.col("n").alias("n2"), "last1", F.col("last").alias("last2")).agg(F.count("*").alias("both"), F.max("c").alias("most"))
-    sized = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    return pairs.where(sized & (_possible(percent) | (F.col("most") > leaders))).select("g1", "g2")
+    lead = lead.select("token", "band", F.col("x.cid").alias("a"), F.col("x.key").alias("ka"), F.col("x.n").alias("na"), F.col("x.rest").alias("resta"), F.col("x.root").alias("roota"))
+    rows = rows.select("token", "band", F.col("cid").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("rest").alias("restb"), F.col("root").alias("rootb"), "c")
+    pairs = rows.join(lead, ["token", "band"]).where((F.col("roota") != F.col("rootb")) & _near(percent))
+    pairs = pairs.groupBy(*PAIR).agg(F.count("*").alias("both"), F.min(F.least("resta", "restb")).alias("more"), F.max("c").alias("most"))
+    return pairs.where(_reaches(F.col("both") + F.col("more"), percent) | (F.col("most") > leaders)).select("a", "ka", "b", "kb")
 
 
 def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    return postings.join(roots, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "last", "c", F.coalesce("root", "gid").alias("root"))
+    return postings.join(roots, F.col("cid") == F.col("node"), "left").select("token", "cid", "key", "n", "rest", "c", F.coalesce("root", "cid").alias("root"))
+
+
+def _reaches(overlap, percent: int):
+    """Whether so many common shingles reach the similarity at the sizes na and nb."""
+    return (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
 
 
-def _possible(percent: int):
-    """Whether sizes and shared prefix shingles (``both``) allow the similarity.
+def _near(percent: int):
+    """Whether the sizes, and what follows a common shingle in both sets, allow the similarity.
 
-    Of two prefixes the one that ends first in the global order has all that it shares with the other text inside the
-    other's prefix, so only its own rest can add to ``both``.
+    All sets follow one order. The first shingle that two sets have in common has the whole overlap at and after it, so pairs
+    that link pass there; later common shingles pass until too little is left, which makes those that pass the first ones:
+    their number and what follows the last of them bound the overlap.
     """
-    least, most = F.least("n1", "n2"), F.greatest("n1", "n2")
-    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    more = F.when(F.col("last1") < F.col("last2"), rest("n1")).when(F.col("last1") > F.col("last2"), rest("n2")).otherwise(F.greatest(rest("n1"), rest("n2")))
-    return (100 * least >= percent * most) & (F.col("both") + more >= _need("n1", "n2", percent))
-
-
-def _expanded(pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) in different components, from pairs of groups."""
-    labels = members.join(roots, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
-    one = labels.select(F.col("gid").alias("g1"), F.col("cid").alias("a"), F.col("root").alias("ra"))
-    two = labels.select(F.col("gid").alias("g2"), F.col("cid").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(one, "g1").join(two, "g2").where("ra <> rb").select("a", "b").distinct()
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _reaches(1 + F.least("resta", "restb"), percent)
 
 
 def deduplicated(docs: DataFrame, joined: DataFrame) -> DataFrame:

@@ -89,6 +89,32 @@ def test_jaccard_join(spark, odd, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_join_links_classes_of_one_prefix(spark):
+    """Texts of one size and prefix, each with an exact copy: two link with each other, but not with the first."""
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(44)]
+    head = lambda words: jaccard.shingles(" ".join(words))[: jaccard.prefix_length(40, 75)].tolist()
+    known = head(base)
+    edits = defaultdict(list)
+    for at in range(4, 40):
+        for word in (f"e{k}" for k in range(2000)):
+            if len(edits[at]) < 2 and head([*base[:at], word, *base[at + 1 :]]) == known:
+                edits[at].append(word)
+    places = [at for at in edits if edits[at]]
+    pair = next(at for at in places if len(edits[at]) == 2)
+    far = [at for at in places if abs(at - pair) > 4]
+    far = next((x, y) for x in far for y in far if y - x > 4)
+    made = [list(base) for _ in range(3)]
+    for at in far:
+        made[0][at] = edits[at][0]
+    made[1][pair], made[2][pair] = edits[pair]
+    assert all(head(m) == known for m in made)
+    rows = [(10 * k + c, " ".join(m), "z") for k, m in enumerate(made, 1) for c in range(2)]
+    rows += [(None, "no id here", "z"), *((100 + k, " ".join(rng.choice(base, 30)), "z") for k in range(3))]
+    check_join(spark, rows, docs(spark, rows))
+    check_join(spark, rows, docs(spark, rows), rounds=0)
+
+
 def check_join(spark, rows, table, **options):
     def sets(t):
         w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
