@@ -199,9 +199,9 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = 1024,
     #: Exact copies: one class per distinct set, named by its least doc_id.
     filled = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
     classes = stored(filled)
-    #: The sets of classes whose prefix others may share.
+    #: The sets of classes whose prefix others may share. key: of the set, as one doc_id may name several classes.
     heads = signed.where(F.size("prefix") > 0).select(F.col("doc_id").alias("cid"), F.col("digest").alias("d"), "prefix", "tokens")
-    sets = classes.join(heads, ["cid"]).where(F.col("d") == F.col("digest")).select("cid", F.col("n").alias("key"), "n", "prefix", "tokens").dropDuplicates(["cid", "key"])
+    sets = classes.join(heads, ["cid"]).where(F.col("d") == F.col("digest")).select("cid", F.xxhash64("digest").alias("key"), "n", "prefix", "tokens").dropDuplicates(["cid", "key"])
     sets = stored(sets)
 
     #: Lists: the classes that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.

@@ -115,6 +115,12 @@ def test_jaccard_join_links_classes_of_one_prefix(spark):
     check_join(spark, rows, docs(spark, rows), rounds=0)
 
 
+def test_jaccard_join_keeps_all_texts_of_one_id(spark):
+    texts = [[f"{name}{i}" for i in range(24)] for name in "pqr"]
+    rows = [(None, "no id here", "z"), *((5, " ".join(t), "z") for t in texts), *((9 + k, " ".join([*t[:-1], "x"]), "z") for k, t in enumerate(texts))]
+    check_join(spark, rows, docs(spark, rows))
+
+
 def check_join(spark, rows, table, **options):
     def sets(t):
         w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
