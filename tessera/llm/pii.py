@@ -99,15 +99,19 @@ class Field:
     start: np.ndarray
     known: dict[bytes, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
+    most: int = 200_000
+
+    def forget(self) -> None:
+        """Drops the known shapes where they are more than ``most``; row numbers given before are void then."""
+        if len(self.known) > self.most:
+            self.known.clear()
+            self.rows = None
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """A row number for each shape; new shapes get their scores computed once."""
         get = self.known.get
         found = [get(w, -1) for w in words]
         if -1 in found:
-            if len(self.known) > 200_000:
-                self.known.clear()
-                self.rows = None
             new = list(dict.fromkeys(w for w in words if w not in self.known))
             x = np.stack([features(w) for w in new])
             scores = np.stack([x @ self.own, x @ self.before, x @ self.after])
@@ -312,9 +316,10 @@ def report(docs: DataFrame, model: Field | None = None, *, batch_words: int = 4_
             for i, t in enumerate(texts):
                 held.append(m.ids(shapes(t)))
                 n += len(held[-1])
-                if n >= batch_words or i == len(texts) - 1:
+                if n >= batch_words or len(m.known) > m.most or i == len(texts) - 1:
                     labels += decode(m, held)
                     held, n = [], 0
+                    m.forget()
             rows = []
             for t, found in zip(texts, labels, strict=True):
                 base = base_spans(t)

@@ -230,6 +230,20 @@ def test_pii(spark, odd, none):
     assert pii.redact("a b@c.de f", "email:2:8") == "a [email] f"
 
 
+def test_pii_is_the_same_with_a_small_shape_cache(spark):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(5)
+    ids = ["".join(rng.choice(list("aA1-"), 12)) for _ in range(300)]
+    said = "write to a.b@c.de or call +1 (555) 123-4567, host 10.0.0.255 card 4111 1111 1111 1111 (555) 123-4567 10.0.0.7,10.0.0.8"
+    rows = [(i, " ".join([*ids[10 * i : 10 * i + 10], said, *ids[5 * i : 5 * i + 5]]), "a") for i in range(30)]
+    table = docs(spark, rows).coalesce(1)
+    model = pii.train(pii.labelled_table(table))
+    want = sorted(map(tuple, pii.report(table, model).collect()))
+    for most in (0, 7, 40):
+        assert sorted(map(tuple, pii.report(table, replace(model, known={}, most=most)).collect())) == want
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     k = len(pii.LABELS)
