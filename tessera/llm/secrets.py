@@ -10,6 +10,13 @@ gives the window's Shannon entropy in constant work per step. Candidates that an
 
 from __future__ import annotations
 
+from functools import cache, reduce
+from math import comb, log2, sqrt
+from operator import or_
+from string import ascii_lowercase as LOWER
+from string import ascii_uppercase as UPPER
+from string import digits as DIGITS
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +27,43 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Symbols of each class and the least entropy, in bits a symbol, of a window that counts as random.
-CLASSES = {"hex": ("0123456789abcdef", 3.0), "base": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 4.0)}
+#: Symbols of each class; least_entropy() says from where on a window of them counts as random.
+CLASSES = {
+    "hex": DIGITS + "abcdef",
+    "base": UPPER + LOWER + DIGITS + "+/_=-",
+    "upper_hex": DIGITS + "ABCDEF",
+    "base32": UPPER + "234567",
+    "lower_base32": LOWER + "234567",
+    "base36": LOWER + DIGITS,
+    "upper_base36": UPPER + DIGITS,
+    "base62": UPPER + LOWER + DIGITS,
+}
 
 #: Whole candidates that are no secrets: ids in fixed groups, runs of words, paths, one repeated symbol, placeholders.
 ALLOW = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[A-Za-z]+",
+    r"[/_=-]*WORD(?:[/_=-]+WORD)++[/_=-]*".replace("WORD", r"(?:(?:[A-Z]?[a-z]+)++[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,4})"),
     r"[0-9+/_=-]+",
     r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*+[/_=-]*",
     r".*(?:EXAMPLE|example|XXXX|xxxx|0000).*",
 )
 
 
+@cache
+def least_entropy(symbols: int, window: int = 20) -> float:
+    """Expected entropy of a window of random symbols of a class of this size, less three standard deviations.
+
+    About 995 of 1,000 random windows reach it. Counts of symbols are multinomial; both moments of the sum of c*log2(c) are exact.
+    """
+    p, term = 1 / symbols, lambda c: c * log2(c) if c else 0.0
+    one = [comb(window, c) * p**c * (1 - p) ** (window - c) for c in range(window + 1)]
+    first, second = (sum(x * term(c) ** k for c, x in enumerate(one)) for k in (1, 2))
+    cross = sum(comb(window, c) * comb(window - c, d) * p ** (c + d) * (1 - 2 * p) ** (window - c - d) * term(c) * term(d) for c in range(window + 1) for d in range(window - c + 1))
+    variance = symbols * second + symbols * (symbols - 1) * cross - (symbols * first) ** 2
+    return log2(window) - (symbols * first + 3 * sqrt(max(variance, 0.0))) / window
+
+
 def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -104,8 +135,8 @@ def window_entropy(string: Column, symbols: str, window: int = 20) -> Column:
 def random_string(string: Column, window: int = 20) -> Column:
     """Whether some window of a candidate is random in its class, and nothing on the allow list explains it."""
     allowed = string.rlike("^(?:" + "|".join(f"(?:{a})" for a in ALLOW) + ")$") | string.rlike(r"^(.)\1*$")
-    tests = [F.when(string.rlike(f"[{symbols.replace('-', '')}-]{{{window}}}"), window_entropy(string, symbols, window) >= least).otherwise(F.lit(False)) for symbols, least in CLASSES.values()]
-    return ~allowed & (tests[0] | tests[1])
+    tests = [F.when(string.rlike(f"[{symbols.replace('-', '')}-]{{{window}}}"), window_entropy(string, symbols, window) >= least_entropy(len(symbols), window)).otherwise(F.lit(False)) for symbols in CLASSES.values()]
+    return ~allowed & reduce(or_, tests)
 
 
 def _of_kind(found: Column, kind: int) -> Column:

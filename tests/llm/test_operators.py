@@ -374,6 +374,18 @@ def test_secrets(spark, odd, none):
     assert "[secret]" in {r.doc_id: r.text for r in secrets.redact(table).collect()}[50] and secrets.report(none).count() == 0
 
 
+def test_secrets_find_random_keys_of_every_class(spark):
+    rng = np.random.default_rng(7)
+    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    classes = [digit + "abcdef", digit + "ABCDEF", up + "234567", low + "234567", low + digit, up + digit, up + low + digit, up + low + digit + "+/", up + low + digit + "-_"]
+    keys = {(k, n): ["".join(rng.choice(list(c), n)) for _ in range(100)] for k, c in enumerate(classes) for n in (20, 24, 40, 64)}
+    rows = [(1000 * k + n, f"key: {key} here", "a") for (k, n), made in keys.items() for key in made]
+    found = Counter(r.doc_id for r in secrets.report(docs(spark, rows)).where("spans <> ''").collect())
+    assert all(found[1000 * k + n] >= (93 if n == 20 else 96) for k, n in keys), found
+    words = ["my_module_name_v2_final_copy3", "release-notes2024/section3-overview", "getUserName2/setUserName2/theIndex", "internationalization_of_many_words", "/usr/local/lib/python3/site-packages", "zzzzzzzzzzzzzzzzzzzzzzzz1", "2024-11-27/2024-11-28", "SOME_LONG_CONSTANT_NAME_V2"]
+    assert secrets.report(docs(spark, [(i, f"see {w} here", "a") for i, w in enumerate(words)])).where("spans <> ''").count() == 0
+
+
 def test_window_entropy_equals_direct_counting(spark):
     from pyspark.sql import functions as F
 
