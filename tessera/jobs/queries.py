@@ -247,7 +247,8 @@ def nan_mean(spark, sf):
 
 @query("coobs_count", f"WITH {MASKED} SELECT a.var AS i, b.var AS j, count(*) AS n FROM k a JOIN k b USING (trial, t) WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY ALL")
 def coobs_count(spark, sf):
-    return lagcov.coobs_count(masked_counts(spark, sf), KINDS)
+    y = masked_counts(spark, sf)
+    return lagcov.coobs_count(y, (y.agg(F.max("var")).first()[0] or 0) + 1)
 
 
 CENTERED = MASKED + ", z AS (SELECT trial, var, t, y - avg(y) OVER (PARTITION BY var) AS z FROM k QUALIFY y IS NOT NULL)"

@@ -28,20 +28,23 @@ def initial(dep: DataFrame) -> DataFrame:
     return dep.where("dt < 0").select("parent").distinct()
 
 
-def sampling_order(dep: DataFrame, most: int = 64) -> DataFrame:
+def sampling_order(dep: DataFrame) -> DataFrame:
     """(node, generation): the longest chain of instantaneous parents above each node.
 
-    Generations settle by rounds over the edges; a node that still rises after as many rounds as there are nodes
-    lies on or below a cycle, and gets none.
+    Each round settles the nodes whose parents are all settled, until nothing changes. Nodes on or below a cycle get none.
     """
     edges = stored(dep.where("dt = 0").select("parent", "child").distinct())
-    nodes = stored(dep.select(F.col("parent").alias("node")).union(dep.select("child")).distinct())
-    rounds = min(most, nodes.count())
-    depth = nodes.withColumn("generation", F.lit(0))
-    for _ in range(rounds):
-        above = edges.join(depth, F.col("parent") == F.col("node")).groupBy("child").agg((F.max("generation") + 1).alias("g"))
-        depth = stored(nodes.join(above, F.col("node") == F.col("child"), "left").select("node", F.coalesce("g", F.lit(0)).alias("generation")))
-    return depth.where(F.col("generation") < rounds)
+    state = stored(dep.select(F.col("parent").alias("node")).union(dep.select("child")).distinct().withColumn("generation", F.lit(None).cast("int")))
+    unsettled, generation = state.count(), 0
+    while unsettled:
+        waiting = edges.join(state.where("generation IS NULL"), F.col("parent") == F.col("node")).select("child").distinct()
+        free = F.col("generation").isNull() & F.col("child").isNull()
+        state = stored(state.join(waiting, F.col("node") == F.col("child"), "left").select("node", F.when(free, F.lit(generation)).otherwise(F.col("generation")).alias("generation")))
+        now = state.where("generation IS NULL").count()
+        if now == unsettled:
+            break
+        unsettled, generation = now, generation + 1
+    return state.where("generation IS NOT NULL")
 
 
 def own_ancestors(dep: DataFrame, most: int = 64) -> DataFrame:

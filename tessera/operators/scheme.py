@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,13 +78,14 @@ def overlaps(subpop: DataFrame) -> DataFrame:
     return x.join(y, "var").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
-def traversal(subpop: DataFrame, root: int = 0, most: int = 64) -> DataFrame:
+def traversal(subpop: DataFrame, root: int = 0) -> DataFrame:
     """(pop_id, depth): distance of every reachable population from the root along overlaps, breadth first."""
     edges = overlaps(subpop)
     edges = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     seen = edges.sparkSession.range(1).select(F.lit(root).alias("pop_id"), F.lit(0).alias("depth"))
-    for depth in range(1, most):
-        front = seen.where(F.col("depth") == depth - 1).join(edges, F.col("pop_id") == F.col("a")).select(F.col("b").alias("pop_id")).distinct()
+    new = seen
+    for depth in count(1):
+        front = new.join(edges, F.col("pop_id") == F.col("a")).select(F.col("b").alias("pop_id")).distinct()
         new = stored(front.join(seen, "pop_id", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break

@@ -134,3 +134,18 @@ def test_schemes_mask_alike_by_interval_and_by_step(spark, most):
 def test_traversal_reaches_far_populations(spark):
     chain = spark.createDataFrame([(p, v) for p in range(12) for v in (p, p + 1)] + [(50, 99)], "pop_id int, var int")
     assert {r["pop_id"]: r["depth"] for r in scheme.traversal(chain).collect()} == {p: p for p in range(12)}
+
+
+def test_chains_longer_than_64_steps_are_whole(spark):
+    dep = spark.createDataFrame([(i, i + 1, 0) for i in range(69)] + [(200, 201, 0), (201, 200, 0), (201, 202, 0)], "parent long, child long, dt int")
+    assert {r["node"]: r["generation"] for r in graphs.sampling_order(dep).collect()} == {i: i for i in range(70)}
+    subpop = spark.createDataFrame([(p, v) for p in range(70) for v in (p, p + 1)], "pop_id int, var int")
+    assert {r["pop_id"]: r["depth"] for r in scheme.traversal(subpop).collect()} == {i: i for i in range(70)}
+
+
+def test_coobs_count_has_all_event_types(spark, tmp_path):
+    from tessera.jobs.queries import coobs_count
+
+    events = spark.sql("SELECT concat('type', id) AS event_type, 1.0D AS value, TIMESTAMP_NTZ '2024-01-02 03:00:00' AS ts FROM range(7)")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["i"] for r in coobs_count(spark, str(tmp_path)).collect()} == set(range(7))
