@@ -1,33 +1,42 @@
 """N-gram Jaccard join by grouped prefixes, and the components of its links.
 
-1. Every text becomes its set of distinct shingles (64-bit hashes of word n-grams).
-2. All shingles are counted. Tasks pack theirs into bins of the hash range and the bins are counted
-   apart, so a shingle costs four bytes of shuffle. Two bitmaps of bounded size come out: shingles that
-   occur in several texts, and frequent ones. They define one global order - unique, shared, frequent,
-   by hash within each - which every text's prefix follows. Bitmap collisions only move a shingle
-   within that order; links don't depend on it.
-3. A text's prefix is its first size - ceil(t * size) + 1 shingles. Two texts that link share one of them, so
-   texts whose prefix is all unique have no link. Exact copies form one class.
-4. Classes that share a prefix shingle are candidates if their sizes and what is left of them from that shingle on allow
-   the similarity. Pairs are not formed all at once: for a few turns every list is compared with a few leaders, other
-   ones each time, and links found so are contracted; in the end all pairs of different components are compared.
-5. Candidates are verified on whole sets.
+1. Tasks turn texts into sets of distinct shingles (64-bit hashes of word n-grams) and pack those of about a million
+   shingles, a chunk, into bins of the hash range. A bin counts its shingles and sends those that occur more than once, with
+   their counts, back to their chunks. A shingle of one text alone costs seven bytes of shuffle and goes no further.
+2. All sets follow one order, rarest shingle first, then by hash. A set's prefix is its first
+   size - ceil(t * size) + 1 shingles. Two sets that link share one of them, so a set whose prefix is all unique has no
+   link; of the others only the shared shingles are kept, which hold every overlap. Equal sets form one class.
+3. Classes of one size and with the same shared shingles in their prefixes form a group. Groups that share a prefix
+   shingle, each group with itself too, are pairs if sizes, places and the number of common prefix shingles allow the similarity.
+4. Pairs are expanded to their members, and these verified. This is not done for all pairs at once: for a few turns every list of
+   groups is compared with a few leaders, other ones each time, and what is found so is contracted to components; in the
+   end all pairs of groups that are not within one component are expanded to all pairs of members of different components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import small_batches, stored, unused
 from tessera.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bits of a shingle's hash within its bin; bytes of a shingle on its way to the bin, and on its way back.
+LOW_BITS, OUT_BYTES, BACK_BYTES = 40, 7, 9
+
+#: A document on its way: its id and whether it has one, the size of its set and its class in the chunk (-1: none).
+DOC = np.dtype([("doc_id", "<i8"), ("named", "?"), ("n", "<i8"), ("class", "<i4")])
+
+SIGNED = "doc_id long, n long, rep long, chunk long, digest binary, gid binary, prefix array<long>, tokens array<long>"
+
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; fewer words than ``size`` make one, none make none."""
@@ -50,244 +59,343 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def _bits(found: DataFrame, size: int) -> np.ndarray:
-    """Bitmap of ``size`` bits (a power of two) over the low bits of the column ``token``, put together from blocks."""
-    most = min(size, 1 << 18)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: int, bits: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+class Chunk:
+    """The sets of some documents until they are sent to the bins."""
+
+    def __init__(self, bins: int):
+        self.bits, self.n_tokens = bins.bit_length() - 1, 0
+        self.docs: list[tuple[int, bool, int, int]] = []
+        self.classes: dict[bytes, int] = {}
+        self.sets: list[np.ndarray] = []
+
+    def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
+        import xxhash
+
+        at = -1
+        if doc_id is not None and len(tokens):
+            digest = xxhash.xxh3_128_digest(tokens.tobytes())
+            at = self.classes.setdefault(digest, len(self.classes))
+            if at == len(self.sets):
+                self.sets.append(tokens)
+                self.n_tokens += len(tokens)
+        self.docs.append((doc_id or 0, doc_id is not None, len(tokens), at))
+
+    def rows(self, number: int) -> pa.RecordBatch:
+        """(bin, chunk, packed): one row a bin with its shingles, and one with the documents, which has no shingle.
+
+        The chunk's name is a hash of its number and documents, so parts of different attempts never mix.
+        """
+        import xxhash
+
+        bins, low = np.uint64(64 - self.bits), np.uint64(64 - self.bits - LOW_BITS)
+        every = np.concatenate([*self.sets, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(self.sets), dtype=np.uint16), [len(s) for s in self.sets])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        edges = np.searchsorted(every >> bins, np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        used = np.flatnonzero(np.diff(edges))
+        token = (every >> low) & np.uint64((1 << LOW_BITS) - 1)
+        high, last = (token >> np.uint64(8)).astype("<u4"), token.astype(np.uint8)
+        docs = np.array(self.docs, DOC).tobytes()
+        head = np.array([len(used), len(self.docs)], "<i8").tobytes() + docs + b"".join(self.classes)
+        name = xxhash.xxh3_64_intdigest(head, seed=number & 0xFFFFFFFFFFFFFFFF) >> 1
+        packed = [high[a:b].tobytes() + last[a:b].tobytes() + owner[a:b].tobytes() for a, b in zip(edges[used], edges[used + 1], strict=True)]
+        where = np.r_[used, name % (1 << self.bits)]
+        parts = [pa.array(where, pa.int32()), pa.array(np.full(len(where), name), pa.int64()), pa.array([*[False] * len(used), True]), pa.array([*packed, head], pa.binary())]
+        return pa.record_batch(parts, ["bin", "chunk", "is_head", "packed"])
+
+
+def _counted(number: int, chunks: list[int], parts: list[bytes]) -> pa.RecordBatch:
+    """The shingles of one bin that occur in several sets, back to their chunks, with their counts up to 65,535."""
+    sizes = [len(p) // OUT_BYTES for p in parts]
+    token = np.concatenate([np.frombuffer(p, "<u4", k).astype(np.uint64) << np.uint64(8) | np.frombuffer(p, np.uint8, k, 4 * k) for p, k in zip(parts, sizes, strict=True)])
+    owner = np.concatenate([np.frombuffer(p, "<u2", k, 5 * k) for p, k in zip(parts, sizes, strict=True)])
+    order = np.argsort(token, kind="stable")
+    ranked = token[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    times = np.diff(np.r_[first, len(ranked)])
+    n = np.empty(len(token), "<u2")
+    n[order] = np.repeat(np.minimum(times, 65535), times)
+    edges, out = np.r_[0, np.cumsum(sizes)], []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        keep = a + np.flatnonzero(n[a:b] > 1)
+        out.append((token[keep] >> np.uint64(8)).astype("<u4").tobytes() + token[keep].astype(np.uint8).tobytes() + owner[keep].tobytes() + n[keep].tobytes())
+    m = len(out)
+    return pa.record_batch([pa.array(chunks, pa.int64()), pa.array([number] * m, pa.int32()), pa.array([False] * m), pa.array(out, pa.binary())], ["chunk", "bin", "is_head", "packed"])
+
+
+def _ragged(arrays: list[np.ndarray]) -> pa.ListArray:
+    edges = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]), pa.int64()))
+
+
+def _signed(chunk: int, head: bytes, bins: list[int], parts: list[bytes], percent: int) -> pa.RecordBatch:
+    """The rows of one chunk in the columns of SIGNED."""
+    import xxhash
 
-        at, bits = None, np.zeros(most, bool)
-        for batch in batches:
-            blocks, places = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            for b in np.unique(blocks):
-                if at is not None and b != at:
-                    yield done(at, bits)
-                    bits = np.zeros(most, bool)
-                at = int(b)
-                bits[places[blocks == b]] = True
-        if at is not None:
-            yield done(at, bits)
-
-    rows = found.selectExpr(f"(token & {size - 1}L) DIV {most} AS block", f"token & {most - 1}L AS place")
-    drawn = rows.repartition("block").sortWithinPartitions("block").mapInArrow(draw, "block long, bits binary")
-    out = np.zeros((size // most, most // 32), np.uint32)
-    for r in drawn.collect():  # at most size / 8 bytes
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint32)
-    return out.ravel()
-
-
-def _test(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    at = tokens & np.uint64(len(bits) * 32 - 1)
-    return (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
-
-
-def token_counts(docs: DataFrame, size: int, bins: int, most: int = 1 << 12) -> DataFrame:
-    """(token, n) of the shingles of docs (text) that occur more than once, over all texts.
-
-    token: the hash without its lowest 16 bits. A batch names a shingle at most ``most`` times, which keeps hot
-    ones small; n is exact below that. bins must be a power of two up to 2**16.
+    n_parts, n_docs = np.frombuffer(head, "<i8", 2)
+    if n_parts != len(parts):
+        raise ValueError("documents came in another order when a lost task was run again: join() wants a stored table")
+    docs = np.frombuffer(head, DOC, n_docs, 16)
+    digests = head[16 + DOC.itemsize * n_docs :]
+    sizes = [len(p) // BACK_BYTES for p in parts]
+    token = np.concatenate([np.uint64(b << LOW_BITS) | np.frombuffer(p, "<u4", k).astype(np.uint64) << np.uint64(8) | np.frombuffer(p, np.uint8, k, 4 * k) for b, p, k in zip(bins, parts, sizes, strict=True)] or [np.empty(0, np.uint64)]).astype(np.int64)
+    owner, n = (np.concatenate([np.frombuffer(p, "<u2", k, at * k) for p, k in zip(parts, sizes, strict=True)] or [np.empty(0, "<u2")]) for at in (5, 7))
+    order = np.lexsort((token, n, owner))
+    token = token[order]
+    edges = np.searchsorted(owner[order], np.arange(len(digests) // 16 + 1))
+    rep = np.full(len(digests) // 16, np.iinfo(np.int64).max)
+    linked = docs["class"] >= 0
+    np.minimum.at(rep, docs["class"][linked], docs["doc_id"][linked])
+    none, seen = np.empty(0, np.int64), set()
+    reps, marks, gids, prefixes, sets = [], [], [], [], []
+    for doc_id, k, size in zip(docs["doc_id"].tolist(), docs["class"].tolist(), docs["n"].tolist(), strict=True):
+        first = k >= 0 and doc_id == rep[k] and k not in seen
+        own = token[edges[k] : edges[k + 1]] if first else none
+        open_ = own[: max(0, prefix_length(size, percent) - (size - len(own)))]
+        if first:
+            seen.add(k)
+        reps.append(int(rep[k]) if k >= 0 else None)
+        marks.append(digests[16 * k : 16 * k + 16] if first else None)
+        gids.append(xxhash.xxh3_128_digest(size.to_bytes(8, "little") + open_.tobytes()) if len(open_) else None)
+        prefixes.append(open_)
+        sets.append(own if len(open_) else none)
+    ids = pa.array(docs["doc_id"], pa.int64(), mask=~docs["named"])
+    columns = [ids, pa.array(docs["n"]), pa.array(reps, pa.int64()), pa.array(np.full(n_docs, chunk), pa.int64()), pa.array(marks, pa.binary()), pa.array(gids, pa.binary()), _ragged(prefixes), _ragged(sets)]
+    return pa.record_batch(columns, [c.split()[0] for c in SIGNED.split(", ")])
+
+
+def signatures(docs: DataFrame, *, size: int, percent: int, bins: int, chunk_tokens: int) -> DataFrame:
+    """Per row of docs (doc_id, text), which must be a stored table: the columns of SIGNED.
+
+    n: size of the set. rep: least doc_id with this set in the chunk, null for empty sets and null ids. digest: of the set, in the
+    first row of rep alone, as are the following: gid, of size and prefix; prefix: its shingles that other sets have;
+    tokens: all such shingles. These three are empty if the prefix is unique.
     """
-    shift, low = np.uint64(64 - bins.bit_length() + 1), np.uint64(32 - bins.bit_length() + 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = Chunk(bins), TaskContext.get().partitionId() << 32
         for batch in batches:
-            held: list[np.ndarray] = []
-            n = 0
-            texts = batch.column(0)
-            for i in range(len(texts)):
-                held.append(shingles(texts[i].as_py(), size))
-                n += len(held[-1])
-                if n > 1 << 20 or i == len(texts) - 1:
-                    every = np.sort(np.concatenate(held))
-                    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if n else np.empty(0, np.int64)
-                    times = np.diff(np.r_[first, n])
-                    if n and times.max() > most:
-                        every = np.repeat(every[first], np.minimum(times, most))
-                    edges = np.searchsorted(every >> shift, np.arange(bins + 1, dtype=np.uint64))
-                    used = np.flatnonzero(np.diff(edges))
-                    small = (every >> low).astype(np.uint32)
-                    yield pa.record_batch([pa.array(used, pa.int32()), pa.array([small[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary())], ["bin", "packed"])
-                    held, n = [], 0
+            for doc_id, text in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1), strict=True):
+                held.add(doc_id, shingles(text.as_py(), size))
+                if held.n_tokens >= chunk_tokens or len(held.docs) == 1 << 16:
+                    yield held.rows(number)
+                    held, number = Chunk(bins), number + 1
+        if held.docs:
+            yield held.rows(number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(b: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
-            many = n > 1
-            whole = (np.uint64(b) << np.uint64(32)) | token[many].astype(np.uint64)
-            return pa.record_batch([pa.array(whole.astype(np.int64)), pa.array(n[many])], ["token", "n"])
-
-        at, parts = None, []
+        at, chunks, parts = -1, [], []
         for batch in batches:
-            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != at and parts:
-                    yield done(at, parts)
-                    parts = []
-                at = b
-                parts.append(np.frombuffer(packed.as_buffer(), np.uint32))
+            for number, chunk, is_head, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if number != at and parts:
+                    yield _counted(at, chunks, parts)
+                    chunks, parts = [], []
+                at = number
+                if is_head:
+                    yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([True]), pa.array([packed], pa.binary())], ["chunk", "bin", "is_head", "packed"])
+                else:
+                    chunks.append(chunk)
+                    parts.append(packed)
         if parts:
-            yield done(at, parts)
+            yield _counted(at, chunks, parts)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head, numbers, parts = -1, b"", [], []
+        for batch in batches:
+            for chunk, number, is_head, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if is_head:  # the first row of a chunk
+                    if head:
+                        yield _signed(at, head, numbers, parts, percent)
+                    at, head, numbers, parts = chunk, packed, [], []
+                elif chunk != at:
+                    raise ValueError("documents came in another order when a lost task was run again: join() wants a stored table")
+                else:
+                    numbers.append(number)
+                    parts.append(packed)
+        if head:
+            yield _signed(at, head, numbers, parts, percent)
+
+    packed = small_batches(docs).select("doc_id", "text").mapInArrow(pack, "bin int, chunk long, is_head boolean, packed binary")
+    counted = packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(count, "chunk long, bin int, is_head boolean, packed binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk", "bin").mapInArrow(sign, SIGNED)
+
+
+def _reaches(overlap: Column, percent: int) -> Column:
+    """Whether so many common shingles reach the similarity at the sizes nx and ny."""
+    return (100 + percent) * overlap >= percent * (F.col("nx") + F.col("ny"))
+
+
+def _near(percent: int) -> Column:
+    """Whether the sizes, and what follows a common shingle in both sets, allow the similarity.
+
+    All sets follow one order. The first shingle that two sets have in common has the whole overlap at and after it, so pairs
+    that link pass there; later common shingles pass until too little is left, which makes those that pass the first ones:
+    their number and what follows the last of them bound the overlap.
+    """
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & _reaches(1 + F.least("restx", "resty"), percent)
+
+
+def _one_root(*names: str) -> Column:
+    """Whether all members of the groups are of one component."""
+    return F.least(*[f"lo{c}" for c in names]) == F.greatest(*[f"hi{c}" for c in names])
 
-    packed = docs.select("text").mapInArrow(pack, "bin int, packed binary")
-    return packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(count, "token long, n long")
 
+def _side(lists: DataFrame, name: str, *more: str) -> DataFrame:
+    return lists.select("token", *more, *[F.col(c).alias(c + name) for c in ("gid", "n", "rest", "lo", "hi")])
 
-def _token(tokens: np.ndarray, bins: int) -> np.ndarray:
-    """As token_counts() names them: the bin, then 32 bits."""
-    return tokens >> np.uint64(32 - bins.bit_length() + 1)
 
+def _bounded_pairs(found: DataFrame, percent: int, few: Column | None = None) -> DataFrame:
+    """(gidx, gidy) of the rows of found, one row a common shingle, whose common shingles leave the similarity open."""
+    pairs = found.groupBy("gidx", "nx", "gidy", "ny").agg(F.count("*").alias("both"), F.min(F.least("restx", "resty")).alias("more"), F.max("c").alias("c"))
+    enough = _reaches(F.col("both") + F.col("more"), percent)
+    return pairs.where(enough if few is None else enough | ~few).select("gidx", "gidy")
 
-def signatures(docs: DataFrame, shared: np.ndarray, hot: np.ndarray, *, size: int, percent: int, bins: int) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n, digest (of the set), prefix and tokens.
 
-    prefix: the prefix's shingles that other texts may have, in order; tokens: the whole set, only for texts with such a prefix.
+def _with_leaders(lists: DataFrame, turn: int, leaders: int, percent: int, hot_from: int) -> DataFrame:
+    """Pairs of groups: the members of each list and size band with its leaders, unless both are of one component.
+
+    The leaders have the least of ``leaders`` hashes of their number, other ones in every turn; bands move by half
+    their width. A list of up to ``leaders`` groups is nearly covered, so pairs of such lists must also share enough of
+    their prefixes. Long lists are dealt out in parts. What is left out here is compared in the end.
     """
-    import xxhash
+    band = F.floor(F.ln("n") / F.lit(log(100 / percent)) + F.lit(turn % 2 / 2))
+    rows = lists.withColumn("band", band)
+    one = F.struct("gid", "n", "rest", "lo", "hi")
+    chosen = [F.min_by(one, F.xxhash64("gid", F.lit(turn * leaders + k))).alias(f"l{k}") for k in range(leaders)]
+    parts = F.ceil(F.col("c") / hot_from)
+    lead = rows.groupBy("token", "band").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("c").alias("c"), *chosen).where("least <> most")
+    lead = lead.select("token", "band", "c", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("x"))
+    lead = lead.select("token", "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *[F.col(f"x.{c}").alias(c + "x") for c in ("gid", "n", "rest", "lo", "hi")])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
+    pairs = _side(rows, "y", "band", "part", "c").join(lead, ["token", "band", "part"])
+    pairs = pairs.where((F.col("gidx") != F.col("gidy")) & ~_one_root("x", "y") & _near(percent))
+    return _bounded_pairs(pairs, percent, F.col("c") <= leaders)
+
+
+def _all_pairs(lists: DataFrame, percent: int, hot_from: int) -> DataFrame:
+    """All pairs of groups of a list that are not of one component, the first the smaller one or the one with the lesser gid.
+
+    Sizes that allow the similarity lie in one band or in the next. Long lists are dealt out in parts.
+    """
+    parts = F.ceil(F.col("c") / hot_from)
+    mixed = lists.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
+    rows = lists.join(mixed, "token").withColumn("band", F.floor(F.ln("n") / F.lit(log(100 / percent))))
+    right = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    right = _side(right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), "y", "band", "part")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
+    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("gidx") < F.col("gidy")))
+    pairs = _side(rows, "x", "band", "part", "c").join(right, ["token", "band", "part"]).where(first & ~_one_root("x", "y") & _near(percent))
+    return _bounded_pairs(pairs, percent)
 
-    maps = docs.sparkSession.sparkContext.broadcast((shared, hot))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_many, in_hot = maps.value
-        for batch in batches:
-            ns, digests, prefixes, sets = [], [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), size)
-                name = _token(s, bins)
-                many = _test(in_many, name)
-                rank = many + (many & _test(in_hot, name))
-                p = prefix_length(len(s), percent)
-                at = np.argsort(rank, kind="stable")[:p]
-                head = s[at]
-                open_ = head[rank[at] > 0].astype(np.int64)
-                ns.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefixes.append(open_)
-                sets.append(s.astype(np.int64) if len(open_) else s[:0].astype(np.int64))
-            ragged = lambda xs: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in xs])], pa.int32()), pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64)))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), ragged(prefixes), ragged(sets)], ["doc_id", "n", "digest", "prefix", "tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>, tokens array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs (a, ka, b, kb) whose whole sets reach the similarity."""
-    left, right = (sets.select(F.col("cid").alias(c), F.col("key").alias(f"k{c}"), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    both = pairs.join(left, ["a", "ka"]).join(right, ["b", "kb"])
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
-
-
-def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int = 1024, hot_from: int = 32, max_bits: int = 1 << 27, rounds: int = 4, leaders: int = 8) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, slices: int = 16) -> DataFrame:
+    """The (a, b) of pairs (a, b) of classes whose sets reach the similarity.
 
-    Documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id reachable
-    by links. Texts that are null or have no words are empty, link with nothing and keep their own id, as does a null
-    doc_id (which then stands for no component). Rows that repeat a doc_id share its smallest component. Empty
-    tables give no rows; other columns are ignored.
+    Partners of a class come in at most ``slices`` rows, so that one with very many is no hot key.
     """
-    known = docs.where(F.col("doc_id").isNotNull())
-    counts = stored(token_counts(known, size, bins))
-    many = counts.count()
-    room = lambda n: min(max_bits, max(1 << 12, 1 << (16 * max(n, 1)).bit_length()))
-    while 4 * counts.where(F.col("n") > hot_from).count() > max_bits:
-        hot_from *= 2
-    often = counts.where(F.col("n") > hot_from)
-    shared, hot = _bits(counts, room(many)), _bits(often, room(often.count()))
-
-    signed = stored(signatures(known, shared, hot, size=size, percent=percent, bins=bins))
-    #: Exact copies: one class per distinct set, named by its least doc_id.
-    filled = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
-    classes = stored(filled)
-    #: The sets of classes whose prefix others may share. key: of the set, as one doc_id may name several classes.
-    heads = signed.where(F.size("prefix") > 0).select(F.col("doc_id").alias("cid"), F.col("digest").alias("d"), "prefix", "tokens")
-    sets = classes.join(heads, ["cid"]).where(F.col("d") == F.col("digest")).select("cid", F.xxhash64("digest").alias("key"), "n", "prefix", "tokens").dropDuplicates(["cid", "key"])
-    sets = stored(sets)
-
-    #: Lists: the classes that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.
-    postings = sets.select("cid", "key", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
-    postings = postings.select("cid", "key", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest"), "token")
-    df = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    postings = stored(postings.join(df, "token"))
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for turn in range(rounds):
-        labelled = stored(_labelled(postings, roots))
-        found = stored(_verified(_with_leaders(labelled, turn, leaders, percent), sets, percent))
-        if turn and found.isEmpty():
-            break
-        links = links.unionByName(found)
-        roots = components(links)
-    labelled = stored(_labelled(postings, roots))
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    left, right = (labelled.select("token", F.col("cid").alias(c), F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("rest").alias(f"rest{c}"), F.col("root").alias(f"root{c}")) for c in "ab")
-    left = left.join(mixed, "token")
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & _near(percent))
-    pairs = pairs.groupBy(*PAIR).agg(F.count("*").alias("both"), F.min(F.least("resta", "restb")).alias("more"))
-    found = stored(_verified(pairs.where(_reaches(F.col("both") + F.col("more"), percent)).select("a", "ka", "b", "kb"), sets, percent))
-    links = links.unionByName(found)
-    #: Rows of one doc_id with different texts join their classes.
-    ids = signed.select("doc_id", "digest", "n").where("n > 0").join(classes.select("digest", "n", "cid"), ["digest", "n"])
-    ids = stored(ids.select("doc_id", "cid").where("doc_id <> cid"))
-    roots = components(links.unionByName(ids.select(F.col("cid").alias("a"), F.col("doc_id").alias("b"))))
-    rows = signed.select("doc_id", "n").join(roots, F.col("doc_id") == F.col("node"), "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    nameless = docs.where(F.col("doc_id").isNull())
-    lone = signatures(nameless, shared, hot, size=size, percent=percent, bins=bins)
-    return rows.unionByName(lone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    left, right = (sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    packed = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(slices)).alias("slice")).agg(F.collect_set("b").alias("bs"))
+    both = packed.join(left, "a").select("a", "na", "ta", F.explode("bs").alias("b")).join(right, "b")
+    common = F.size(F.array_intersect("ta", "tb"))
+    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
 
-#: A pair of classes, by number and key, with its sizes.
-PAIR = ("a", "ka", "na", "b", "kb", "nb")
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) with more links (a, b) between nodes."""
+    named = links
+    for c in "ab":
+        named = named.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    moved = components(named).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    now = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return stored(now.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))))
 
 
-def _with_leaders(labelled: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
-    """(a, ka, b, kb): members of each list and size band with its leaders in other components.
+def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None = None, chunk_tokens: int = 1 << 20, hot_from: int = 500, rounds: int = 2, leaders: int = 4) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
-    The leaders have the least of ``leaders`` hashes of their number, other ones in every turn; bands move by half
-    their width. A list of up to ``leaders`` classes is nearly covered, so pairs of such lists must also share enough of
-    their prefixes. What is left out here is compared in the end.
-    """
-    band = F.floor(F.ln("n") / F.lit(float(np.log(100 / percent))) + F.lit(turn % 2 / 2))
-    rows = labelled.withColumn("band", band)
-    one = F.struct("cid", "key", "n", "rest", "root")
-    chosen = [F.min_by(one, F.xxhash64("cid", "key", F.lit(turn * leaders + k))).alias(f"l{k}") for k in range(leaders)]
-    lists = rows.groupBy("token", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *chosen).where("r0 <> r1")
-    lead = lists.select("token", "band", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("x"))
-    lead = lead.select("token", "band", F.col("x.cid").alias("a"), F.col("x.key").alias("ka"), F.col("x.n").alias("na"), F.col("x.rest").alias("resta"), F.col("x.root").alias("roota"))
-    rows = rows.select("token", "band", F.col("cid").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("rest").alias("restb"), F.col("root").alias("rootb"), "c")
-    pairs = rows.join(lead, ["token", "band"]).where((F.col("roota") != F.col("rootb")) & _near(percent))
-    pairs = pairs.groupBy(*PAIR).agg(F.count("*").alias("both"), F.min(F.least("resta", "restb")).alias("more"), F.max("c").alias("most"))
-    return pairs.where(_reaches(F.col("both") + F.col("more"), percent) | (F.col("most") > leaders)).select("a", "ka", "b", "kb")
+    docs must be a stored table. Documents link when 100 * intersection >= percent * union; component_id is the smallest
+    doc_id reachable by links. Texts that are null or have no words are empty, link with nothing and keep their own id,
+    as does a null doc_id (which then stands for no component). Rows that repeat a doc_id share its smallest component, also
+    where their texts differ. Long texts are shingled whole. Empty tables give no rows; other columns are ignored.
 
+    bins (a power of two) defaults to one for about a million shingles; lists of more than hot_from groups are dealt to several
+    tasks.
+    """
+    if bins is None:
+        about = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bins = min(1 << 18, max(1 << 10, 1 << (about >> 23).bit_length()))
+    signed = stored(signatures(docs, size=size, percent=percent, bins=bins, chunk_tokens=max(chunk_tokens, 64 * bins)))
+    #: Equal sets: one class per digest, named by its least doc_id. A chunk has one row of each.
+    heads = signed.where("digest IS NOT NULL")
+    classes = stored(heads.groupBy("digest").agg(F.min(F.struct("rep", "chunk")).alias("x")).select("digest", "x.rep", "x.chunk"))
+    named = heads.select("digest", F.col("rep").alias("node")).join(classes.select("digest", F.col("rep").alias("root")), "digest")
+    #: node, root: of chunks' names for classes, later of all linked names. A doc_id with several texts may stand for several.
+    named = named.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    named = stored(named.where("node <> root OR root <> other"))
+    roots = named.select("node", "root").where("node <> root")
+
+    #: Classes with a shared shingle in their prefix. A doc_id with several texts may name several of them.
+    open_ = heads.where("gid IS NOT NULL").select("digest", "chunk", "n", "gid", "prefix", "tokens")
+    sets = stored(open_.join(classes, ["digest", "chunk"]).select(F.col("rep").alias("cid"), "gid", "n", "prefix", "tokens"))
+    members = sets.select("gid", "cid")
+    #: Lists: the groups that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.
+    lists = sets.select("gid", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
+    lists = lists.select("token", "gid", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest")).distinct()
+    several = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    lists = stored(lists.join(several, "token"))
 
-def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    return postings.join(roots, F.col("cid") == F.col("node"), "left").select("token", "cid", "key", "n", "rest", "c", F.coalesce("root", "cid").alias("root"))
+    for turn in range(rounds):
+        rooted = _rooted(members, roots)
+        groups = _spans(rooted)
+        apart = _with_leaders(lists.join(groups, "gid"), turn, leaders, percent, hot_from)
+        pairs = apart.unionByName(groups.where("lo <> hi").select(F.col("gid").alias("gidx"), F.col("gid").alias("gidy")))
+        one = rooted.groupBy("gid").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(turn))).alias("x"))
+        one = one.select(F.col("gid").alias("gidx"), F.col("x.cid").alias("a"), F.col("x.root").alias("ra"))
+        every = rooted.select(F.col("gid").alias("gidy"), F.col("cid").alias("b"), F.col("root").alias("rb"))
+        found = stored(_verified(pairs.join(one, "gidx").join(every, "gidy").where("ra <> rb").select("a", "b"), sets, percent))
+        if found.isEmpty():
+            break
+        roots = _merged(roots, found)
+    rooted = _rooted(members, roots)
+    groups = _spans(rooted)
+    pairs = _all_pairs(lists.join(groups, "gid"), percent, hot_from).unionByName(groups.where("lo <> hi").select(F.col("gid").alias("gidx"), F.col("gid").alias("gidy")))
+    left, right = (rooted.select(F.col("gid").alias(f"gid{g}"), F.col("cid").alias(c), F.col("root").alias(f"r{c}")) for g, c in ("xa", "yb"))
+    pairs = pairs.join(left, "gidx").join(right, "gidy").where("ra <> rb AND (gidx <> gidy OR a < b)").select("a", "b")
+    found = _verified(pairs, sets, percent)
+    #: Rows of one doc_id with different texts join their classes.
+    reps = signed.where("rep IS NOT NULL").select("doc_id", "rep")
+    twice = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    twice = twice.join(reps, "doc_id").select("a", F.col("rep").alias("b"))
+    roots = _merged(roots, found.unionByName(twice).unionByName(named.where("root <> other").select(F.col("root").alias("a"), F.col("other").alias("b"))))
 
+    rows = signed.select("doc_id", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
-def _reaches(overlap, percent: int):
-    """Whether so many common shingles reach the similarity at the sizes na and nb."""
-    return (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gid, cid, root) of members (gid, cid)."""
+    return stored(members.join(roots, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root")))
 
-def _near(percent: int):
-    """Whether the sizes, and what follows a common shingle in both sets, allow the similarity.
 
-    All sets follow one order. The first shingle that two sets have in common has the whole overlap at and after it, so pairs
-    that link pass there; later common shingles pass until too little is left, which makes those that pass the first ones:
-    their number and what follows the last of them bound the overlap.
-    """
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _reaches(1 + F.least("resta", "restb"), percent)
+def _spans(rooted: DataFrame) -> DataFrame:
+    """(gid, lo, hi): the least and largest root of a group's members."""
+    return rooted.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
 
 
 def deduplicated(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id.
 
-    Rows that repeat this doc_id leave one, the least by text and the other columns. Rows without an id stay.
+    Rows that repeat this doc_id leave one, the least by text and the other columns. Rows without an id stay. Null and
+    empty texts stay too, an empty table gives no rows, and docs keeps its columns, whatever their names.
     """
-    gone = stored(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    again = stored(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
-    several = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
-    first = several.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])).alias("_row"))
-    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(first.select("_row.*").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    one, row = unused(docs.columns, "one", "row")
+    same = F.col("doc_id") == F.col(one)
+    gone = stored(joined.where("doc_id <> component_id").select(F.col("doc_id").alias(one)).distinct())
+    again = stored(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias("times")).where("times > 1").select(one))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, same, "left_semi")
+    first = several.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])).alias(row))
+    return kept.join(again, same, "left_anti").unionByName(first.select(f"{row}.*").select(*[F.col(f"`{c}`") for c in docs.columns]))
