@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -43,16 +45,16 @@ class Roll:
             self.out = None
 
 
-def ranged(frames: Iterator[pd.DataFrame], gap: int = 64 << 10, most: int = 8 << 20) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Each frame of rows (file, offset, length), sorted by file and offset, with the rows' bytes.
+def ranged(batches: Iterator[pa.RecordBatch], gap: int = 64 << 10, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches of rows (file, offset, length), sorted by file and offset, in parts of about ``most`` bytes, with the rows' bytes.
 
     Neighbours in a file that lie at most ``gap`` bytes apart are read at once, up to ``most`` bytes.
     """
     opened, source = None, None
-    for frame in frames:
+    for batch in batches:
+        files, at, length = (batch.column(c).to_pylist() for c in ("file", "offset", "length"))
+        i = first = size = 0
         found: list[bytes] = []
-        files, at, length = frame["file"].tolist(), frame["offset"].tolist(), frame["length"].tolist()
-        i = 0
         while i < len(files):
             j, end = i + 1, at[i] + length[i]
             while j < len(files) and files[j] == files[i] and 0 <= at[j] - end <= gap and at[j] + length[j] - at[i] <= most:
@@ -63,5 +65,15 @@ def ranged(frames: Iterator[pd.DataFrame], gap: int = 64 << 10, most: int = 8 <<
                 opened, source = files[i], fs.open_input_file(path)
             block = source.read_at(end - at[i], at[i])
             found += [block[at[k] - at[i] : at[k] - at[i] + length[k]] for k in range(i, j)]
-            i = j
-        yield frame, found
+            i, size = j, size + end - at[i]
+            if size >= most:
+                yield batch.slice(first, i - first), found
+                first, size, found = i, 0, []
+        if found:
+            yield batch.slice(first), found
+
+
+def dealt(index: DataFrame, chunk: int) -> DataFrame:
+    """The rows of an index (file, offset, length), dealt out by file and chunk to about a task a chunk, sorted by place."""
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // chunk)
+    return index.repartition(max(1, tasks), "file", F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.store import shared_dir, stored
 
-__all__ = ["SPACE_CHARS", "SPACE_CLASS", "ascii_lower", "bounded", "join_hot", "shared_dir", "small_batches", "space_words", "split_words", "stored", "table", "unused"]
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "ascii_lower", "bounded", "join_hot", "repeated", "shared_dir", "small_batches", "space_words", "split_words", "stored", "table", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -68,6 +68,14 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def repeated(df: DataFrame, times: Column, block: int = 10_000) -> DataFrame:
+    """Every row as often as ``times`` says, in steps of bounded arrays; rows with null, 0 or less go."""
+    n, at = unused(df.columns, "n", "at")
+    rows = df.withColumn(n, times.cast("long")).where(F.col(n) > 0)
+    rows = rows.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block))))
+    return rows.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(block), F.col(n) - F.col(at) * block)))).drop(n, at)
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], by: str, *, how: str = "inner", part_rows: int = 2000, most_keys: int = 10000) -> DataFrame:
     """left joined with right on keys, where right has few rows a key and left may have very many.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, bounded, split_words, stored
+from tessera.llm.common import ascii_lower, bounded, join_hot, repeated, split_words, stored, unused
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -31,9 +31,9 @@ def window_key(words: Column, at: Column, size: int) -> Column:
 def benchmark_windows(items: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame]:
     """(windows: key, length, window; members: key, window, item_id), both distinct.
 
-    Items with null, empty or wordless texts have no window. A null item_id counts as no item.
+    Items with null, empty or wordless texts have no window. Items without an id are one item without a name.
     """
-    rows = items.where(F.col("item_id").isNotNull()).select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    rows = items.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     rows = rows.withColumn("length", F.least(F.size("w"), F.lit(size)))
     rows = rows.select("item_id", "length", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at"))
     window = F.slice("w", F.col("at"), F.col("length"))
@@ -45,10 +45,11 @@ def benchmark_windows(items: DataFrame, size: int = 10) -> tuple[DataFrame, Data
 
 
 def scan(docs: DataFrame, items: DataFrame, *, size: int = 10, max_broadcast: int = 500_000) -> DataFrame:
-    """Per row of docs: doc_id, text_key, copies, n_words, hits (sorted array of word spans), item_ids (sorted strings).
+    """Per row of docs: doc_id, text_key, copies, n_words, hits (sorted array of word spans), item_ids (sorted strings), n_items.
 
     Rows that repeat both doc_id and text come as one row with their number in ``copies``. Null texts
-    have no words. Columns other than doc_id and text are ignored.
+    have no words. A window of several items counts for each; items without an id count as one that item_ids leaves out.
+    Columns other than doc_id and text are ignored.
     """
     windows, members = benchmark_windows(items, size)
     members = stored(members)
@@ -90,11 +91,12 @@ def scan(docs: DataFrame, items: DataFrame, *, size: int = 10, max_broadcast: in
         F.array_sort(F.collect_set(F.when(inside, F.struct("at", (F.col("at") + F.col("length")).alias("end"))))).alias("hits"),
     )
     found = hit.where(inside).select("doc_id", "text_key", "key", "window").distinct()
-    found = found.join(F.broadcast(members) if small else members, ["key", "window"]).select("doc_id", "text_key", F.col("item_id").cast("string").alias("item"))
-    found = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item_ids")
+    owners = members.select("key", "window", F.col("item_id").cast("string").alias("item"))
+    both = found.join(F.broadcast(owners), ["key", "window"]) if bounded(members, max_broadcast) else join_hot(stored(found), owners, ["key", "window"], "doc_id")
+    found = both.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max(F.col("item").isNull().cast("int")).alias("nameless"))
+    found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item_ids", (F.size("item_ids") + F.col("nameless")).cast("long").alias("n_items"))
     both = spans.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").drop("d", "k")
-    return both.withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    return both.withColumns({"item_ids": F.coalesce("item_ids", F.array().cast("array<string>")), "n_items": F.coalesce("n_items", F.lit(0).cast("long"))})
 
 
 def covered(hits: Column) -> Column:
@@ -105,23 +107,28 @@ def covered(hits: Column) -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, *, size: int = 10, max_broadcast: int = 500_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Nulls, repeated rows and other columns are as in scan(); long texts are scanned whole; without items, or items with
+    words, nothing is hit; an empty table of documents gives no rows.
+    """
     rows = scan(docs, items, size=size, max_broadcast=max_broadcast)
-    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     n_hit = covered(F.col("hits"))
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    rows = repeated(rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "copies"), F.col("copies"))
+    return rows.drop("copies")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, remove: str = "documents", min_share: float = 0.0, max_broadcast: int = 500_000) -> DataFrame:
-    """docs without what the benchmark holds, in docs' own columns.
+    """docs without what the benchmark holds, in docs' own columns, whatever their names.
 
     remove="documents" drops rows in which more than min_share of the words are hit; remove="spans"
-    cuts the hit words, with the gap behind each, out of the texts and keeps the rows.
+    cuts the hit words, with the gap behind each, out of the texts and keeps the rows. Null and empty texts stay as they
+    are, repeated rows meet the same fate, empty tables give no rows.
     """
+    d, k, own = unused(docs.columns, "d", "k", "hits")
     hits = scan(docs, items, size=size, max_broadcast=max_broadcast).where(F.size("hits") > 0)
-    hits = hits.where(covered(F.col("hits")) > min_share * F.col("n_words")).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "hits")
-    hits = hits.withColumnRenamed("hits", "_hits")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
+    hits = hits.where(covered(F.col("hits")) > min_share * F.col("n_words")).select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("hits").alias(own))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k))
     if remove == "documents":
         return docs.join(hits, same, "left_anti")
     if remove != "spans":
@@ -129,7 +136,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, remove:
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     head = F.regexp_extract("text", f"^{gap}", 0)
     pieces = F.regexp_extract_all("text", F.lit(f"({word}(?:{gap})?)"), 1)
-    kept = F.filter(pieces, lambda p, i: ~F.exists(F.col("_hits"), lambda h: (i >= h["at"]) & (i < h["end"])))
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
+    kept = F.filter(pieces, lambda p, i: ~F.exists(F.col(own), lambda h: (i >= h["at"]) & (i < h["end"])))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
     joined = docs.join(hits, same, "left").withColumn("text", text)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

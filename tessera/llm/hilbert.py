@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,10 +48,19 @@ def curve_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def by_share(rows: DataFrame, column: str, bits: int) -> DataFrame:
-    """(value, cell): distinct values in order, null first, spread over 2**bits cells by the rows before them."""
+    """(value, cell): distinct values in order, null first, spread over 2**bits cells by the rows before them.
+
+    Values are sorted by range; only one sum a task goes through a single window.
+    """
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", F.floor(before * (1 << bits) / F.sum("n").over(W.partitionBy(F.lit(1)))).cast("long").alias("cell"))
+    counts = counts.repartitionByRange(F.col("value").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    counts = stored(counts)
+    parts = counts.groupBy("part").agg(F.sum("n").alias("own"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("first"), F.sum("own").over(W.partitionBy(F.lit(1))).alias("total"))
+    within = W.partitionBy("part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("first") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    return counts.join(parts, "part").select("value", F.floor(before * (1 << bits) / F.col("total")).cast("long").alias("cell"))
 
 
 def size_cell(size: Column, bits: int) -> Column:
@@ -62,8 +72,10 @@ def shard(docs: DataFrame, n_shards: int = 24, *, bits: int = 8) -> DataFrame:
     """Per row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, law, shard, slot, grown_shard, cell.
 
     The law is ``rows``: shards' counts differ by one at most; slot numbers a shard's rows from 0 in curve order.
-    Ties on the curve are ordered by doc_id, then checksum and size. A null text has size 8 and the checksum of an
-    empty one; null lang, source and doc_id are values like others. Empty tables give no rows.
+    Ties on the curve are ordered by checksum, size and doc_id, so equal texts of one cell lie side by side; where a shard
+    ends between them they are cut, as the law asks for. A null text has size 8 and the checksum of an empty one; null lang,
+    source and doc_id are values like others, repeated rows are placed one by one, other columns are ignored. Empty tables
+    give no rows.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", "lang", "source", (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -72,17 +84,17 @@ def shard(docs: DataFrame, n_shards: int = 24, *, bits: int = 8) -> DataFrame:
         rows = rows.join(cells, F.col(column).eqNullSafe(F.col("value")), "left").drop("value")
     index = F.pandas_udf(lambda a, b, c: pd.Series(curve_index([a.to_numpy(), b.to_numpy(), c.to_numpy()], bits)), "long")
     rows = rows.withColumn("cell", index("lang_cell", "source_cell", size_cell(F.col("size"), bits)))
-    order = ["cell", "doc_id", "text_crc32", "size"]
-    rows = rows.select("doc_id", "size", "text_crc32", "cell").repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["cell", "text_crc32", "size", "doc_id"]
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", "cell").repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id())
 
-    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        for frame in frames:
-            yield frame.astype({"doc_id": "Int64"}).assign(pos=np.arange(n, n + len(frame)))
-            n += len(frame)
+        for batch in batches:
+            yield batch.append_column("pos", pa.array(np.arange(n, n + batch.num_rows)))
+            n += batch.num_rows
 
-    placed = stored(rows.mapInPandas(number, "doc_id long, size long, text_crc32 long, cell long, part int, pos long"))
+    placed = stored(rows.mapInArrow(number, "doc_id long, size long, text_crc32 long, cell long, part int, pos long"))
     #: One row a task of the sort.
     parts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CLASS, stored
+from tessera.llm.common import SPACE_CLASS, repeated, stored, unused
 
 
 def word_count(text: Column) -> Column:
@@ -106,8 +106,11 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: int = 17, max
 
 
 def mixed(docs: DataFrame, mixture: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it."""
-    key = mixture.where("times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("times").alias("_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    many = docs.join(key, same).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
-    return many.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, each as often as the mixture takes it, in docs' own columns, whatever their names.
+
+    docs is the table that the mixture was made of: nulls and repeated rows meet the fate that mix() gives them.
+    """
+    names = unused(docs.columns, "id", "of", "words", "times")
+    key = mixture.where("times > 0").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size", "times"), names, strict=True)])
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1])) & (word_count(F.col("text")) == F.col(names[2]))
+    return repeated(docs.join(key, same), F.col(names[3])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, hilbert, jaccard, langid, mixing, pii, quality, secrets, tokenfiles, warc
-from tessera.llm.common import table
+from tessera.llm.common import repeated, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixture = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    rows = mixture.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    return repeated(mixture, F.col("copies")).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.blobs import Roll, ranged, store
-from tessera.llm.common import shared_dir, stored
+from tessera.llm.blobs import Roll, dealt, ranged, store
+from tessera.llm.common import shared_dir, small_batches, stored
 
 MAGIC = b"TOKZ1"
 HEAD = len(MAGIC) + 1 + 32
@@ -54,21 +54,26 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Token ids as little-endian bytes, through a cache of pieces.
+    """Token ids as little-endian bytes, as the library gives them without special tokens of its own, through a cache of pieces.
 
     The byte-level pre-tokenizer never joins a character to a blank or line feed behind it, nor a letter to
     punctuation that ends a piece, so a text may be cut there and its pieces encoded alone. Pieces recur, and each new
     one is encoded once: plain words by the library's model, all others by its whole tokenizer. The cache has two
     generations of max_pieces: when the young one is full it becomes the old one, and old pieces that recur move on.
+    Texts with an added token written out, and all texts of tokenizers of any other kind, are encoded whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 250_000, max_piece: int = 64):
+    def __init__(self, path: str, max_pieces: int = 60_000, max_piece: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        cut = self.tokenizer.pre_tokenizer
+        plain = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.tokenizer.normalizer is None
+        self.in_pieces = plain and isinstance(self.model, models.BPE) and self.model.dropout is None
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.letters = byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.max_pieces, self.max_piece = max_pieces, max_piece
@@ -94,35 +99,28 @@ class Encoder:
             return self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
         return self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
+        if not self.in_pieces or self.added.search(text):
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.young) > self.max_pieces:
             self.old, self.young = dict(self.young), Pieces(self)
-        get = self.young.__getitem__
-        return [b"".join(map(get, self.pieces(t))) for t in texts]
+        return b"".join(map(self.young.__getitem__, self.pieces(text)))
 
+    def forget(self) -> None:
+        """Empties the cache, as a task's end is not that of its Python worker."""
+        self.old, self.young = {}, Pieces(self)
 
-@lru_cache(maxsize=2)
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _texts(frame: pd.DataFrame, most: int = 1 << 20) -> Iterator[list[int]]:
-    """Row numbers in groups of about ``most`` characters."""
-    group, size = [], 0
-    for i, t in enumerate(frame["text"]):
-        group.append(i)
-        size += len(t)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_docs: int = 2000, sample_bytes: int = 16384, size: int = 64 << 10) -> bytes:
     """A zstandard dictionary over serialized id arrays of about sample_docs documents, or b"" if they are too few.
 
     The sample is drawn by a hash of the text and each array cut to sample_bytes, which bounds what the driver gets.
+    Null texts don't count; repeated texts are drawn together.
     """
     import zstandard
 
@@ -131,13 +129,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_doc
     if share < 1:
         texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            e = encoder(tokenizer)
-            for group in _texts(frame):
-                yield pd.DataFrame({"ids": [x[:sample_bytes] for x in e.encode([frame["text"].iloc[i] for i in group])]})
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(tokenizer)
+        end = end_id.to_bytes(e.width, "little")
+        for batch in batches:
+            yield pa.record_batch([pa.array([(e.encode(t.as_py()) + end)[:sample_bytes] for t in batch.column(0)], pa.binary())], ["ids"])
+        e.forget()
 
-    samples = sorted(bytes(r[0]) for r in texts.mapInPandas(ids, "ids binary").collect() if r[0])
+    samples = sorted(bytes(r[0]) for r in small_batches(texts).mapInArrow(ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 7 else b""
     except zstandard.ZstdError:
@@ -149,7 +148,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, leve
 
     Index: doc_id, file, offset, length, n_tokens (with end_id), start (ids of all documents before). Null
     texts are empty and hold end_id alone. Null ids come first; rows that repeat an id are ordered by
-    a hash of their text. Other columns are ignored; an empty table gives an empty index.
+    a hash of their text. Long texts are encoded whole. Other columns are ignored; an empty table gives an empty index.
     """
     import zstandard
 
@@ -160,28 +159,28 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, leve
     with fs.open_output_stream(path) as out:
         out.write(words)
     tie = F.xxhash64("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         files = Roll(folder, ".tok", MAGIC + bytes([e.width]) + digest, max_file)
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         end = end_id.to_bytes(e.width, "little")
-        for frame in frames:
-            ids_of = frame["doc_id"].tolist()
-            for group in _texts(frame):
-                out = []
-                for i, ids in zip(group, e.encode([frame["text"].iloc[i] for i in group]), strict=True):
-                    n = len(ids) // e.width + 1
-                    data = squeeze.compress(ids + end)
-                    file, at = files.append(data)
-                    out.append((part, None if ids_of[i] != ids_of[i] else ids_of[i], file, at, len(data), n, before))
-                    before += n
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in WRITTEN.split(", ")]).astype({"doc_id": "Int64"})
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                ids = e.encode(text.as_py()) + end
+                data = squeeze.compress(ids)
+                out.append((*files.append(data), len(data), len(ids) // e.width, before))
+                before += out[-1][-2]
+            names, *numbers = zip(*out, strict=True) if out else [()] * 5
+            columns = [pa.array([part] * len(out), pa.int32()), batch.column(0), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
+            yield pa.record_batch(columns, [c.split()[0] for c in WRITTEN.split(", ")])
         files.close()
+        e.forget()
 
-    written = stored(rows.mapInPandas(put, WRITTEN))
+    written = stored(rows.mapInArrow(put, WRITTEN))
     #: One row a task: where its first id stands among all.
     parts = written.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
@@ -218,17 +217,22 @@ def frame_ids(file: str, data: bytes) -> np.ndarray:
 
 
 def read(index: DataFrame, *, chunk: int = 16 << 20, with_ids: bool = False) -> DataFrame:
-    """Per row of an index: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids, from the files."""
-    places = index.select("doc_id", "start", "file", "offset", "length").repartition("file", F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")
+    """Per row of an index: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids, from the files.
+
+    Any selection of an index's rows will do; null and repeated ids come back as they are, no rows give none.
+    """
+    places = dealt(index.select("doc_id", "start", "file", "offset", "length"), chunk)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
-    def get(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, blocks in ranged(frames):
-            ids = [frame_ids(f, b) for f, b in zip(frame["file"], blocks, strict=True)]
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "start": frame["start"], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
-            yield out.assign(ids=[x.astype(np.int64) for x in ids]) if with_ids else out
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, blocks in ranged(batches):
+            ids = [frame_ids(f, b) for f, b in zip(batch.column("file").to_pylist(), blocks, strict=True)]
+            columns = [batch.column("doc_id"), batch.column("start"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
+            if with_ids:
+                columns.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+            yield pa.record_batch(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return places.mapInPandas(get, schema)
+    return places.mapInArrow(get, schema)
 
 
 def report(docs: DataFrame, tokenizer: str, *, end_id: int = 2) -> DataFrame:

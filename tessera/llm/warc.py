@@ -12,20 +12,26 @@ import gzip
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blobs import Roll, ranged
-from tessera.llm.common import shared_dir, stored
+from tessera.llm.blobs import Roll, dealt, ranged
+from tessera.llm.common import bounded, shared_dir, small_batches, stored
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 PAGE = "urn:page:"
 
 
-def _number(value: object) -> int | None:
-    return None if value is None or value != value else int(value)
+#: Arrow types of both tables' columns.
+TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.record_batch([pa.array(x, TYPES[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -69,48 +75,64 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, max_file: int =
 
     Of pages with equal bytes (at least min_bytes of them) the one with the largest page_id is the response,
     the others revisit it. A null html is an empty payload; a null page_id never stands for others, and
-    where all ids of equal pages are null all are responses; so are rows that repeat the largest page_id.
-    Other columns are ignored, an empty table gives an empty index.
+    where all ids of equal pages are null all are responses; so are rows that repeat the largest page_id, and these
+    share its record id. Other columns are ignored, an empty table gives an empty index.
     """
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.length("payload")})
     #: Only what repeats, without its bytes; hot payloads are summed up before the shuffle.
     twice = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    twice = stored(twice.select("sha", "size", "first"))
-    rows = rows.join(twice, ["sha", "size"], "left")
+    twice = stored(twice.select("sha", "size", "first", "n"))
+    rows = _with_first(rows, twice)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
+    rows = small_batches(rows.select("page_id", "url", "payload", refers.alias("refers_to")))
 
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Roll(folder, ".warc.gz", most=max_file)
-        for frame in frames:
+        for batch in batches:
             out = []
-            for page_id, url, payload, refers_to in zip(frame["page_id"], frame["url"], frame["payload"], frame["refers_to"], strict=True):
-                page_id, refers_to, payload = _number(page_id), _number(refers_to), bytes(payload)
+            for page_id, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 data = gzip.compress(record(page_id, url, payload, digest, refers_to, date), 6, mtime=0)
                 file, at = files.append(data)
                 out.append((page_id, url, file, at, len(data), digest, len(payload), "response" if refers_to is None else "revisit", refers_to))
-            made = pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")])
-            yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _batch(out, INDEX)
         files.close()
 
-    return stored(rows.mapInPandas(put, INDEX))
+    return stored(rows.mapInArrow(put, INDEX))
+
+
+def _with_first(rows: DataFrame, twice: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows with ``first`` from twice (sha, size, first, n), null where a payload doesn't repeat.
+
+    Up to ``most`` repeated payloads are broadcast. Where they are more, those with more than rows / most rows are, which are
+    at most ``most``, and only the others, with few pages each, are joined by shuffling.
+    """
+    small = twice.select("sha", "size", "first")
+    if bounded(twice, most):
+        return rows.join(F.broadcast(small), ["sha", "size"], "left")
+    often = F.col("n") > rows.count() // most
+    hot = rows.join(F.broadcast(small.where(often).withColumnRenamed("first", "hot")), ["sha", "size"], "left")
+    hot = hot.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.xxhash64("page_id", "url").cast("string")))
+    rare = small.where(~often).withColumnsRenamed({"sha": "key", "size": "s"})
+    same = (hot["key"] == rare["key"]) & (F.col("size") == F.col("s"))
+    return hot.join(rare, same, "left").withColumn("first", F.coalesce("hot", "first"))
 
 
 def read(index: DataFrame, *, chunk: int = 32 << 20, gap: int = 64 << 10) -> DataFrame:
     """The records that the rows of an index name, parsed from the archives, in the columns of RECORD.
 
-    Selected records are dealt out by file and chunk, sorted by offset and fetched in coalesced ranges.
+    Selected records are dealt out by file and chunk, sorted by offset and fetched in coalesced ranges. Any selection of an
+    index's rows will do; a row that is named twice is read twice, no rows give none. Null ids and urls come back as null, and
+    so does the payload of a revisit.
     """
-    places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")
+    places = dealt(index.select("file", "offset", "length"), chunk)
 
-    def get(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, blocks in ranged(frames, gap):
-            out = [parse(gzip.decompress(b)) for b in blocks]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in ranged(batches, gap):
+            yield _batch([parse(gzip.decompress(b)) for b in blocks], RECORD)
 
-    return places.mapInPandas(get, RECORD)
+    return places.mapInArrow(get, RECORD)
 
 
 def report(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:

@@ -35,3 +35,26 @@ def test_pipeline_stages(spark):
     times = {r.doc_id: r.times for r in mixing.mix(seen[3], table(spark, SF, "labels")).collect()}
     assert sorted(ids[4]) == sorted(i for i, n in times.items() for _ in range(n))
     assert sorted(ids[5]) == sorted(ids[4])
+
+
+def test_pipeline_with_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and columns of any name pass through every stage."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tessera.llm.common import stored, table
+
+    names = "score lang_pred guess one row d k hits id of words times n at part root".split()
+    given = table(spark, SF, "documents").limit(60)
+    odd = [(None, None, None, None), (901, None, "en", "a"), (902, "", None, None), (903, " \n 12", "en", "a"), (904, "a text in the year of the mouse " * 5000, None, None), (905, "the same row twice and again", "en", "b"), (905, "the same row twice and again", "en", "b"), (None, "a row without an id in it", "en", "b")]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast(given.schema["n_chars"].dataType))
+    docs = stored(given.unionByName(more.select(*given.columns)).withColumns({c: F.lit(f"{c}!") for c in names}))
+    seen = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        seen.append(stored(stage(spark, seen[-1], SF)))
+    assert all(x.columns == docs.columns and (x.count() == 0 or [x.first()[c] for c in names] == [f"{c}!" for c in names]) for x in seen[:-1])
+    ids = [[r.doc_id for r in x.select("doc_id").collect()] for x in seen]
+    assert not {901, 902, 903} & set(ids[1]) and ids[1].count(905) == 2 and None in ids[1] and 904 in ids[1]
+    assert ids[2].count(905) == 1 and ids[2].count(None) == 1
+    assert sorted(map(str, ids[5])) == sorted(map(str, ids[4]))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
