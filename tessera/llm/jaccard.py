@@ -246,10 +246,10 @@ def _side(lists: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def _bounded_pairs(found: DataFrame, percent: int, few: Column | None = None) -> DataFrame:
-    """(gidx, gidy) of the rows of found, one row a common shingle, whose common shingles leave the similarity open."""
+    """(gidx, gidy, both) of the rows of found, one row a common shingle, whose common shingles leave the similarity open."""
     pairs = found.groupBy("gidx", "nx", "gidy", "ny").agg(F.count("*").alias("both"), F.min(F.least("restx", "resty")).alias("more"), F.max("c").alias("c"))
     enough = _reaches(F.col("both") + F.col("more"), percent)
-    return pairs.where(enough if few is None else enough | ~few).select("gidx", "gidy")
+    return pairs.where(enough if few is None else enough | ~few).select("gidx", "gidy", "both")
 
 
 def _with_leaders(lists: DataFrame, turn: int, leaders: int, percent: int, hot_from: int) -> DataFrame:
@@ -257,7 +257,8 @@ def _with_leaders(lists: DataFrame, turn: int, leaders: int, percent: int, hot_f
 
     The leaders have the least of ``leaders`` hashes of their number, other ones in every turn; bands move by half
     their width. A list of up to ``leaders`` groups is nearly covered, so pairs of such lists must also share enough of
-    their prefixes. Long lists are dealt out in parts. What is left out here is compared in the end.
+    their prefixes. Of all leaders of its lists a group keeps the one with which it shares most and ``leaders`` others at most,
+    so pairs grow with the groups, not with the lists. Long lists are dealt out in parts. What is left out here is compared in the end.
     """
     band = F.floor(F.ln("n") / F.lit(log(100 / percent)) + F.lit(turn % 2 / 2))
     rows = lists.withColumn("band", band)
@@ -270,7 +271,10 @@ def _with_leaders(lists: DataFrame, turn: int, leaders: int, percent: int, hot_f
     rows = rows.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
     pairs = _side(rows, "y", "band", "part", "c").join(lead, ["token", "band", "part"])
     pairs = pairs.where((F.col("gidx") != F.col("gidy")) & ~_one_root("x", "y") & _near(percent))
-    return _bounded_pairs(pairs, percent, F.col("c") <= leaders)
+    pairs = _bounded_pairs(pairs, percent, F.col("c") <= leaders)
+    best = F.max_by("gidx", F.struct("both", F.xxhash64("gidx")))
+    others = [F.min_by("gidx", F.xxhash64("gidx", F.lit(turn * leaders + k))) for k in range(leaders)]
+    return pairs.groupBy("gidy").agg(F.array_distinct(F.array(best, *others)).alias("xs")).select(F.explode("xs").alias("gidx"), "gidy")
 
 
 def _all_pairs(lists: DataFrame, percent: int, hot_from: int) -> DataFrame:
@@ -286,7 +290,7 @@ def _all_pairs(lists: DataFrame, percent: int, hot_from: int) -> DataFrame:
     rows = rows.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
     first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("gidx") < F.col("gidy")))
     pairs = _side(rows, "x", "band", "part", "c").join(right, ["token", "band", "part"]).where(first & ~_one_root("x", "y") & _near(percent))
-    return _bounded_pairs(pairs, percent)
+    return _bounded_pairs(pairs, percent).select("gidx", "gidy")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, slices: int = 16) -> DataFrame:
