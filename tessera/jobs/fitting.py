@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.kalman import Model, matrix, smoothed
+from tessera.sources.store import shared_dir, stored
 
 STATS = "name string, i int, j int, s double"
 
@@ -80,17 +85,89 @@ def m_step(s: dict[str, np.ndarray]) -> Model:
     return Model(a, q, mu0, v0, c, d, np.maximum(r, 1e-6))
 
 
-def fit(packed: DataFrame, start: Model, rounds: int = 10, gain: float = 1e-6) -> tuple[Model, list[float]]:
-    """Rounds of e_step and m_step until the log-likelihood gains less than ``gain``; returns the model and the trace."""
-    packed = packed.repartition("trial").cache()
-    model, trace = start, []
-    for _ in range(rounds):
+PARAMETERS = "round int, name string, i int, j int, value double"
+
+
+def saved(model: Model, number: int, loglik: float) -> list[tuple]:
+    """The rows of PARAMETERS of one round; loglik is that of the model before it."""
+    cells = {**{k: np.atleast_2d(v) for k, v in vars(model).items()}, "loglik": np.array([[loglik]])}
+    return [(number, k, i, j, float(x)) for k, a in cells.items() for (i, j), x in np.ndenumerate(a)]
+
+
+def restored(table: DataFrame) -> tuple[int, Model, list[float]] | None:
+    """The last round of a table of PARAMETERS, its model, and the log-likelihoods so far; None for an empty table.
+
+    Its size is that of the parameters times the rounds.
+    """
+    rows = table.collect()
+    if not rows:
+        return None
+    last = max(r["round"] for r in rows)
+    trace = [r["value"] for r in sorted(rows, key=lambda r: r["round"]) if r["name"] == "loglik"]
+    cells = {}
+    for name in vars_of(Model):
+        own = [r for r in rows if r["round"] == last and r["name"] == name]
+        cells[name] = np.zeros((max(r["i"] for r in own) + 1, max(r["j"] for r in own) + 1))
+        for r in own:
+            cells[name][r["i"], r["j"]] = r["value"]
+    return last, Model(**{k: v[0] if k in ("mu0", "d", "R") else v for k, v in cells.items()}), trace
+
+
+def vars_of(kind: type) -> list[str]:
+    return [f.name for f in fields(kind)]
+
+
+def fit(packed: DataFrame, start: Model, rounds: int = 10, gain: float = 1e-6, folder: str | None = None) -> tuple[Model, list[float]]:
+    """Rounds of e_step and m_step until the log-likelihood gains less than ``gain``; returns the model and the trace.
+
+    Every round's parameters are appended to a table in ``folder``; a fit that finds one there goes on from its last round.
+    packed holds every step of a trial's span; it is stored once.
+    """
+    spark = packed.sparkSession
+    folder = folder or shared_dir(spark) + "/rounds"
+    packed = stored(packed.repartition("trial"))
+    number, model, trace = restored(spark.read.schema(PARAMETERS).parquet(folder)) or (0, start, []) if _exists(spark, folder) else (0, start, [])
+    while number < rounds and not (len(trace) > 1 and trace[-1] - trace[-2] <= gain):
         s = e_step(packed, model)
         trace.append(float(s["ll"][0, 0]))
-        if len(trace) > 1 and trace[-1] - trace[-2] <= gain:
-            break
-        model = m_step(s)
-    packed.unpersist()
+        model, number = m_step(s), number + 1
+        spark.createDataFrame(saved(model, number, trace[-1]), PARAMETERS).coalesce(1).write.mode("append").parquet(folder)
+    return model, trace
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark can read a table there."""
+    try:
+        spark.read.parquet(folder)
+    except AnalysisException:
+        return False
+    return True
+
+
+def saved_rounds(packed: DataFrame, start: Model, rounds: int) -> DataFrame:
+    """The table of PARAMETERS that a fit leaves."""
+    folder = shared_dir(packed.sparkSession) + "/rounds"
+    fit(packed, start, rounds, folder=folder)
+    return packed.sparkSession.read.schema(PARAMETERS).parquet(folder)
+
+
+def online(packed: DataFrame, start: Model, *, batches: int = 4, blend: float = 0.6) -> tuple[Model, list[tuple[int, float]]]:
+    """Expectation maximisation by batches of trials, dealt by a hash: sums are blended with those of batches before.
+
+    Batch k counts with weight (k + 1) ** -blend, and the older sums with what is left; returns the model and, by batch, its
+    trials and their mean log-likelihood. Sums are per trial, so batches of different sizes mix.
+    """
+    packed = stored(packed.repartition("trial"))
+    model, held, trace = start, None, []
+    for k in range(batches):
+        s = e_step(packed.where(F.pmod(F.xxhash64("trial"), F.lit(batches)) == k), model)
+        if not s:
+            continue
+        trials = s["trials"][0, 0]
+        trace.append((int(trials), float(s["ll"][0, 0] / trials)))
+        weight = 1.0 if held is None else (k + 1) ** -blend
+        held = {name: weight * a / trials + (1 - weight) * (0 if held is None else held[name]) for name, a in s.items()}
+        model = m_step(held)
     return model, trace
 
 

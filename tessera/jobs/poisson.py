@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from tessera.jobs import fitting
 from tessera.operators.kalman import Model, matrix
+from tessera.sources.store import stored
 
 
 def _solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,31 +145,43 @@ def e_step(packed: DataFrame, model: Model) -> dict[str, np.ndarray]:
     return fitting.gathered(packed.groupBy("trial").applyInPandas(run, fitting.STATS))
 
 
-def fit(packed: DataFrame, start: Model, rounds: int = 5) -> tuple[Model, list[float]]:
-    """Laplace EM: closed-form dynamics, one damped Newton step of every variable's loading and offset a round."""
-    packed = packed.repartition("trial").cache()
+def fit(packed: DataFrame, start: Model, rounds: int = 5, gain: float = 1e-6) -> tuple[Model, list[float]]:
+    """Laplace EM: closed-form dynamics, one damped Newton step of every variable's loading and offset a round.
+
+    It ends after ``rounds`` or as soon as the evidence gains no more than ``gain``. packed holds every step of a trial's span.
+    """
+    packed = stored(packed.repartition("trial"))
     model, trace = start, []
     for _ in range(rounds):
         s = e_step(packed, model)
         trace.append(float(s["ll"][0, 0]))
+        if len(trace) > 1 and trace[-1] - trace[-2] <= gain:
+            break
         a, q, mu0, v0 = fitting.dynamics(s)
         n = len(mu0)
         step = np.linalg.solve(s["hess"].reshape(len(model.d), n + 1, n + 1) + 1e-3 * np.eye(n + 1), s["grad"][:, :, None])[:, :, 0]
         step *= np.minimum(1.0, 1.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-12))
         model = Model(a, q, mu0, v0, model.C + step[:, :n], model.d + step[:, n], model.R)
-    packed.unpersist()
     return model, trace
 
 
 def predict(packed: DataFrame, model: Model, condition: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """(trial, t, var, rate): expected counts at target steps given the counts of the condition steps (ends exclusive)."""
+    """(trial, t, var, rate): expected counts at target steps given the counts of the condition steps (ends exclusive).
+
+    Steps are those of the column t; unseen ones among the condition steps are predicted through. The state starts at
+    the trial's first step in the condition range; a trial without any has no rows.
+    """
     p = len(model.d)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        y = matrix(frame, p)
-        x, v, _, _ = laplace(model, y[condition[0] : condition[1]])
+        frame = frame[frame["t"].between(condition[0], condition[1] - 1)].sort_values("t")
+        if not len(frame):
+            return pd.DataFrame([], columns=["trial", "t", "var", "rate"])
+        y = np.full((int(frame["t"].iloc[-1]) - int(frame["t"].iloc[0]) + 1, p), np.nan)
+        y[frame["t"].to_numpy() - int(frame["t"].iloc[0])] = matrix(frame, p)
+        x, v, _, _ = laplace(model, y)
         m, c, rows = x[-1], v[-1], []
-        for t in range(condition[1], target[1]):
+        for t in range(int(frame["t"].iloc[-1]) + 1, target[1]):
             m, c = model.A @ m, model.A @ c @ model.A.T + model.Q
             if t >= target[0]:
                 rate = np.exp(model.C @ m + model.d + 0.5 * np.einsum("pi,ij,pj->p", model.C, c, model.C))

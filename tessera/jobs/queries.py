@@ -20,7 +20,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-HOURS, KINDS, DIMS = 24, 5, 64
+HOURS = 24
+
+
+def kinds(spark: SparkSession, sf: str) -> int:
+    """The number of event types, which are the variables of the count panels."""
+    return panels.table(spark, sf, "events").select("event_type").distinct().count()
+
+
+def dims(spark: SparkSession, sf: str) -> int:
+    """The number of variables of the vector panels."""
+    return panels.table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 
 #: Shared table expressions of the SQL side: counts (y), vectors (e), populations (sp), schedule (sc).
 SPIKES = """
@@ -149,7 +161,7 @@ def find_overlaps(spark, sf):
 
 
 @query("traverse_subpops", f"""WITH RECURSIVE {SCHEME}, ed AS (SELECT DISTINCT x.pop_id AS a, y.pop_id AS b FROM sp x JOIN sp y USING (var) WHERE x.pop_id <> y.pop_id),
-w AS (SELECT 0 AS pop_id, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN ed ON a = pop_id WHERE depth < 8) SELECT CAST(pop_id AS INTEGER) AS pop_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY pop_id""")
+w AS (SELECT 0 AS pop_id, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN ed ON a = pop_id WHERE depth < (SELECT count(DISTINCT pop_id) FROM sp)) SELECT CAST(pop_id AS INTEGER) AS pop_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY pop_id""")
 def traverse_subpops(spark, sf):
     return scheme.traversal(_pops(spark, sf))
 
@@ -220,9 +232,15 @@ def drop_silent_rows(spark, sf):
     return panel.silent(counts(spark, sf)).groupBy("var").agg(F.count("*").alias("n"))
 
 
-@query("rate_filter", f"WITH {SPIKES} SELECT var, count(*) AS n, round(count(*) / 720.0, 6) AS rate FROM sk GROUP BY var HAVING count(*) / 720.0 >= 1.0")
+def _hours(spikes: DataFrame) -> float:
+    """Hours of the days that the spikes span."""
+    return float((spikes.agg(F.max("trial") - F.min("trial") + 1).first()[0] or 1) * HOURS)
+
+
+@query("rate_filter", f"WITH {SPIKES}, h AS (SELECT (max(trial) - min(trial) + 1) * 24.0 AS hours FROM sk) SELECT var, count(*) AS n, round(count(*) / any_value(hours), 6) AS rate FROM sk CROSS JOIN h GROUP BY var HAVING count(*) / any_value(hours) >= 1.0")
 def rate_filter(spark, sf):
-    return rounded(panel.rates(panels.spikes(spark, sf), 720.0, 1.0))
+    s = panels.spikes(spark, sf)
+    return rounded(panel.rates(s, _hours(s), 1.0))
 
 
 @query("psth_layout", f"WITH {COUNTS} SELECT var, t, round(avg(y), 6) AS rate, count(*) AS n_trials FROM y GROUP BY ALL")
@@ -256,7 +274,7 @@ LINEAR = CENTERED + ", q AS (SELECT CAST(m AS INTEGER) AS m, a.var AS i, b.var A
 
 
 def linear(spark, sf, lags=4):
-    return lagcov.lag_cov(masked_counts(spark, sf), KINDS, lags)
+    return lagcov.lag_cov(masked_counts(spark, sf), kinds(spark, sf), lags)
 
 
 @query("lag_cov_linear", f"WITH {LINEAR} SELECT m, i, j, round(q, 6) + 0.0 AS q, n FROM q")
@@ -267,14 +285,14 @@ def lag_cov_linear(spark, sf):
 @query("lag_cov_circ", f"""WITH {CENTERED}, s AS (SELECT CAST(m AS INTEGER) AS m, a.var AS i, b.var AS j, sum(a.z * b.z) AS s, count(*) AS n FROM z a CROSS JOIN range(4) r(m) JOIN z b ON a.trial = b.trial AND b.t = (a.t - m + 24) % 24 GROUP BY ALL)
 SELECT m, i, j, round(s / n0, 6) + 0.0 AS q, n0 AS n FROM s JOIN (SELECT i, j, n AS n0 FROM s WHERE m = 0) USING (i, j)""")
 def lag_cov_circ(spark, sf):
-    return rounded(lagcov.lag_cov(masked_counts(spark, sf), KINDS, 4, circular=True, length=HOURS))
+    return rounded(lagcov.lag_cov(masked_counts(spark, sf), kinds(spark, sf), 4, circular=True, length=HOURS))
 
 
 @query("lag_cov_vectors", f"""WITH {VECTORS}, z AS (SELECT t, var, y - avg(y) OVER (PARTITION BY var) AS z FROM e)
 SELECT CAST(m AS INTEGER) AS m, a.var AS i, b.var AS j, round(avg(a.z * b.z), 6) + 0.0 AS q, count(*) AS n FROM z a CROSS JOIN range(2) r(m) JOIN z b ON b.t = a.t - m GROUP BY ALL""")
 def lag_cov_vectors(spark, sf):
     v = panels.vectors(spark, sf).select(F.lit(0).alias("trial"), "t", "var", "y")
-    return rounded(lagcov.lag_cov(v, DIMS, 2))
+    return rounded(lagcov.lag_cov(v, dims(spark, sf), 2))
 
 
 @query("hankel", f"WITH {LINEAR} SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, i, j, round(q, 6) + 0.0 AS q FROM q CROSS JOIN range(2) a(r) CROSS JOIN range(2) b(c) WHERE m = r + c + 1")
@@ -291,7 +309,7 @@ def symmetrize(spark, sf):
 s AS (SELECT a.var, CAST(m AS INTEGER) AS m, sum(a.z * b.z) AS s FROM z a CROSS JOIN range(6) r(m) JOIN z b ON a.trial = b.trial AND a.var = b.var AND b.t = a.t - m GROUP BY ALL)
 SELECT var, m, round(s / s0, 6) + 0.0 AS acf FROM s JOIN (SELECT var, s AS s0 FROM s WHERE m = 0) USING (var)""")
 def autocorr(spark, sf):
-    return rounded(lagcov.autocorr(counts(spark, sf), KINDS, 6))
+    return rounded(lagcov.autocorr(counts(spark, sf), kinds(spark, sf), 6))
 
 
 @query("corr_cov", f"""WITH {LINEAR}, {SPIKES.replace('v AS', 'v2 AS').replace('sk AS', 'sk2 AS').replace('JOIN v USING', 'JOIN v2 USING')},
@@ -299,7 +317,7 @@ zc AS (SELECT trial, var, t, y - avg(y) OVER (PARTITION BY var) AS z FROM y),
 f AS (SELECT CAST(m AS INTEGER) AS m, a.var AS i, b.var AS j, avg(a.z * b.z) AS q FROM zc a CROSS JOIN range(4) r(m) JOIN zc b ON a.trial = b.trial AND b.t = a.t - m GROUP BY ALL)
 SELECT f.m, abs(f.i - f.j) < 2 AS observed, round(corr(f.q, q.q), 6) AS corr, round(avg((f.q - q.q) * (f.q - q.q)), 6) AS mse, count(*) AS n FROM f JOIN q ON f.m = q.m AND f.i = q.i AND f.j = q.j GROUP BY ALL""")
 def corr_cov(spark, sf):
-    full = lagcov.lag_cov(counts(spark, sf), KINDS, 4)
+    full = lagcov.lag_cov(counts(spark, sf), kinds(spark, sf), 4)
     part = linear(spark, sf)
     near = full.where(F.abs(F.col("i") - F.col("j")) < 2).select("i", "j").distinct()
     return rounded(lagcov.pair_scores(full, part, near))
@@ -327,7 +345,7 @@ def links(spark, sf):
 
 
 @query("poisson_scores", f"""WITH {COUNTS}, p AS (SELECT var, t, avg(y) + 0.1 AS rate FROM y GROUP BY ALL)
-SELECT trial, var, round(sum(-y * ln(rate) + exp(ln(rate) + 0.05)), 6) AS poisson_like, round(sum(rate * (ln(rate) - 1)), 6) AS poisson_dual, round(-sum(lgamma(y + 1)), 6) AS base_measure, bool_and(rate >= 0) AS in_domain
+SELECT trial, var, round(sum(-y * ln(rate) + exp(ln(rate) + 0.05)), 6) AS poisson_like, round(sum(rate * (ln(rate) - 1)), 6) AS poisson_dual, round(-sum(lgamma(y + 1)), 6) + 0.0 AS base_measure, bool_and(rate >= 0) AS in_domain
 FROM y JOIN p USING (var, t) GROUP BY ALL""")
 def poisson_scores(spark, sf):
     y = counts(spark, sf)
@@ -367,10 +385,10 @@ def em_suffstats_scalar(spark, sf):
 
 
 def _start(spark, sf, n=2):
-    y = masked_counts(spark, sf)
+    y, p = masked_counts(spark, sf), kinds(spark, sf)
     got = {r["var"]: r for r in y.groupBy("var").agg(F.avg("y").alias("m"), F.var_pop("y").alias("v")).collect()}  # one row a variable
-    value = lambda c: np.array([got[i][c] if i in got and got[i][c] is not None else 0.0 for i in range(KINDS)])
-    return lagcov.packed(y, KINDS), fitting.start_model(n, value("m"), value("v"))
+    value = lambda c: np.array([got[i][c] if i in got and got[i][c] is not None else 0.0 for i in range(p)])
+    return lagcov.packed(y, p, every_step=True), fitting.start_model(n, value("m"), value("v"))
 
 
 @query("kalman_smoother")
@@ -390,9 +408,10 @@ def em_fit(spark, sf):
 @query("ssid_svd")
 def ssid_svd(spark, sf):
     """Model lag covariances next to the measured ones, from subspace identification."""
-    q = lagcov.lag_cov(counts(spark, sf), KINDS, 4)
-    a, c, pi, r = fitting.subspace(fitting.dense(q, 4, KINDS), 2, 2)
-    made = [(m, i, j, float((c @ np.linalg.matrix_power(a, m) @ pi @ c.T)[i, j] + (r[i] if m == 0 and i == j else 0.0))) for m in range(4) for i in range(KINDS) for j in range(KINDS)]
+    p = kinds(spark, sf)
+    q = lagcov.lag_cov(counts(spark, sf), p, 4)
+    a, c, pi, r = fitting.subspace(fitting.dense(q, 4, p), 2, 2)
+    made = [(m, i, j, float((c @ np.linalg.matrix_power(a, m) @ pi @ c.T)[i, j] + (r[i] if m == 0 and i == j else 0.0))) for m in range(4) for i in range(p) for j in range(p)]
     return q.join(spark.createDataFrame(made, "m int, i int, j int, model double"), ["m", "i", "j"])
 
 
@@ -460,7 +479,7 @@ def initial_subgroups(spark, sf):
 
 
 @query("sampling_order", f"""WITH RECURSIVE {DEP}, nd AS (SELECT parent AS node FROM dep UNION SELECT child FROM dep),
-w AS (SELECT node, 0 AS g FROM nd UNION SELECT child, g + 1 FROM w JOIN dep ON parent = node AND dt = 0 WHERE g < 20) SELECT node, CAST(max(g) AS INTEGER) AS generation FROM w GROUP BY node""")
+w AS (SELECT node, 0 AS g FROM nd UNION SELECT child, g + 1 FROM w JOIN dep ON parent = node AND dt = 0) SELECT node, CAST(max(g) AS INTEGER) AS generation FROM w GROUP BY node""")
 def sampling_order(spark, sf):
     return graphs.sampling_order(dependencies(spark, sf))
 
@@ -510,11 +529,11 @@ def sign_flip_check(spark, sf):
 
 
 def _poisson_start(spark, sf, n=2):
-    y = masked_counts(spark, sf)
+    y, p = masked_counts(spark, sf), kinds(spark, sf)
     got = {r["var"]: r["m"] for r in y.groupBy("var").agg(F.avg("y").alias("m")).collect()}  # one row a variable
-    level = np.log(np.maximum([got.get(i) or 0.0 for i in range(KINDS)], 1e-2))
+    level = np.log(np.maximum([got.get(i) or 0.0 for i in range(p)], 1e-2))
     rng = np.random.default_rng(0)
-    return lagcov.packed(y, KINDS), kalman.Model(0.8 * np.eye(n), 0.36 * np.eye(n), np.zeros(n), np.eye(n), 0.1 * rng.standard_normal((KINDS, n)), level, np.ones(KINDS))
+    return lagcov.packed(y, p, every_step=True), kalman.Model(0.8 * np.eye(n), 0.36 * np.eye(n), np.zeros(n), np.eye(n), 0.1 * rng.standard_normal((p, n)), level, np.ones(p))
 
 
 @query("laplace_inference")
@@ -548,17 +567,29 @@ def plds_sample(spark, sf):
 def iter_ssid(spark, sf):
     """Lag covariances of a stitched panel: pairs never seen together are filled in by the model."""
     seen = counts(spark, sf).withColumn("y", F.when(((F.col("trial") % 2 == 0) & (F.col("var") <= 2)) | ((F.col("trial") % 2 == 1) & (F.col("var") >= 2)), F.col("y").cast("double")))
-    q = lagcov.lag_cov(seen, KINDS, 4)
-    full, trace = stitching.fill(fitting.dense(q, 4, KINDS), stitching.observed(q, 4, KINDS), 2, 2)
+    p = kinds(spark, sf)
+    q = lagcov.lag_cov(seen, p, 4)
+    full, trace = stitching.fill(fitting.dense(q, 4, p), stitching.observed(q, 4, p), 2, 2)
     rows = [(m, i, j, float(full[m, i, j])) for m, i, j in np.ndindex(*full.shape)]
     out = spark.createDataFrame(rows, "m int, i int, j int, filled double")
     return out.join(q, ["m", "i", "j"], "left").select("m", "i", "j", "filled", "q")
 
 
-@query("online_filter")
+STREAM = "w AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h FROM events), n AS (SELECT event_type, h, count(*) AS n FROM w WHERE (h + 1) * 3600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 7200000000 FROM events) GROUP BY ALL)"
+
+
+@query("online_filter", f"""WITH RECURSIVE {STREAM}, b AS (SELECT event_type, min(h) AS lo, max(h) AS hi FROM n GROUP BY event_type),
+k AS (SELECT event_type, x.h, n.n, lo, hi FROM (SELECT event_type, lo, hi, unnest(range(lo, hi + 1)) AS h FROM b) x LEFT JOIN n USING (event_type, h)),
+o AS (
+  SELECT event_type, h, hi, n, (1 / (1 / 2.0::DOUBLE + 1)) * (n - 0.2) / 2.0 AS mu, 1 / (1 / 2.0::DOUBLE + 1) AS v FROM k WHERE h = lo
+  UNION ALL
+  SELECT k.event_type, k.h, k.hi, k.n, CASE WHEN k.n IS NULL THEN 0.9 * mu ELSE 0.9 * mu + 1 / (1 / 2.0::DOUBLE + 1 / (0.81 * v + 0.5)) * (k.n - 0.2 - 0.9 * mu) / 2.0 END,
+    CASE WHEN k.n IS NULL THEN 0.81 * v + 0.5 ELSE 1 / (1 / 2.0::DOUBLE + 1 / (0.81 * v + 0.5)) END
+  FROM o JOIN k ON k.event_type = o.event_type AND k.h = o.h + 1)
+SELECT event_type, h, round(mu, 6) + 0.0 AS mu, round(v, 6) AS v FROM o WHERE n IS NOT NULL""")
 def online_filter(spark, sf):
     """Filtered level of every event type's hourly counts, from a stream of events."""
-    return online.filtered_counts(spark, sf, **{k: v for k, v in SCALAR.items()})
+    return rounded(online.filtered_counts(spark, sf, **{k: v for k, v in SCALAR.items()}))
 
 
 @query("stream_counts", """WITH w AS (SELECT event_type, epoch_us(ts) // 3600000000 AS h FROM events)
@@ -623,12 +654,12 @@ def poisson_mixture(spark, sf):
     return rounded(rows.groupBy("trial", "var").agg(F.sum(0.7 * level(1.0) + 0.3 * level(2.0)).alias("like_"), F.sum(L.mixture_dual(F.col("rate"), 0.7)).alias("dual")))
 
 
-@query("ingest_spikes", f"""WITH {SPIKES}, k AS (SELECT var FROM sk GROUP BY var HAVING count(*) / 720.0 >= 1.0)
+@query("ingest_spikes", f"""WITH {SPIKES}, k AS (SELECT var FROM sk GROUP BY var HAVING count(*) / (SELECT (max(trial) - min(trial) + 1) * 24.0 FROM sk) >= 1.0)
 SELECT trial, var, CAST(floor(ts / 6) AS INTEGER) AS t, count(*) AS y, round(sum(value), 4) AS total FROM sk WHERE var IN (SELECT var FROM k) GROUP BY ALL""")
 def ingest_spikes(spark, sf):
     """Spikes of cells above a rate, in six-hour bins, with their summed values."""
     s = panels.spikes(spark, sf)
-    kept = s.join(panel.rates(s, 720.0, 1.0).select("var"), "var", "left_semi")
+    kept = s.join(panel.rates(s, _hours(s), 1.0).select("var"), "var", "left_semi")
     return kept.groupBy("trial", "var", F.floor(F.col("ts") / 6).cast("int").alias("t")).agg(F.count("*").alias("y"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -59,3 +59,16 @@ def own_ancestors(dep: DataFrame, most: int = 64) -> DataFrame:
             break
         size = now
     return reach.where("parent = child").select(F.col("parent").alias("node"))
+
+
+def check(dependencies: DataFrame) -> DataFrame:
+    """(rule, violations): what dependencies (parent, child, dt) may not hold."""
+    key = F.struct("parent", "child", "dt")
+    unknown = F.col("parent").isNull() | F.col("child").isNull() | F.col("dt").isNull()
+    counts = dependencies.agg(
+        F.count_if(F.col("dt") > 0).alias("acausal"), F.count_if((F.col("dt") == 0) & (F.col("parent") == F.col("child"))).alias("instant_self"), F.count_if(unknown).alias("unknown")
+    )
+    again = dependencies.groupBy(key.alias("key")).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    one = counts.join(F.broadcast(again))  # one row each
+    names = ["acausal", "instant_self", "repeated", "unknown"]
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in names])).alias("x")).select("x.*")

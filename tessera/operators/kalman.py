@@ -1,11 +1,13 @@
-"""Linear dynamical systems per trial: filter, smoother, moments, and the scalar filter in SQL functions."""
+"""Linear dynamical systems per trial: filter, smoother, moments; one-dimensional ones over every series."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,10 @@ def matrix(frame: pd.DataFrame, n_vars: int) -> np.ndarray:
 
 
 def posterior(packed: DataFrame, model: Model) -> DataFrame:
-    """(trial, t, x, v, vv, loglik) per step of a packed panel (trial, t, y array); loglik is the trial's, at t = 0 only."""
+    """(trial, t, x, v, vv, loglik) per step of a packed panel (trial, t, y array); loglik is the trial's, at its first step only.
+
+    The panel must hold every step of a trial's span: packed(every_step=True).
+    """
     n_vars = len(model.d)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -77,22 +82,100 @@ def posterior(packed: DataFrame, model: Model) -> DataFrame:
     return packed.groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, vv array<double>, loglik double")
 
 
-def scalar_filter(panel: DataFrame, *, a: float, q: float, c: float, d: float, r: float, mu0: float, v0: float) -> DataFrame:
-    """(trial, var, t, mu, v): a one-dimensional filter for each series, folded over its sorted cells in SQL functions."""
-    cells = panel.groupBy("trial", "var").agg(F.sort_array(F.collect_list(F.struct("t", F.col("y").cast("double").alias("y")))).alias("cells"))
-    step_type = "array<struct<t:int,mu:double,v:double>>"
-    start = F.struct(F.lit(None).cast("double").alias("mu"), F.lit(0.0).alias("v"), F.array().cast(step_type).alias("out"))
+def _series(panel: DataFrame, schema: str, run: Callable[[list[int], list[float | None]], Iterator[tuple]]) -> DataFrame:
+    """(trial, var, *schema): what ``run`` makes of the sorted steps and values of each series (trial, var).
+
+    Series are dealt out by hash and stream through their tasks sorted, one at a time.
+    """
+    names = ["trial", "var", *[c.split()[0] for c in schema.split(", ")]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, steps, values, out = None, [], [], []
+        made = lambda: pa.record_batch([pa.array(c, pa.int32() if k < 3 else pa.float64()) for k, c in enumerate(zip(*out, strict=True))], names)
+        for batch in batches:
+            for trial, var, t, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (trial, var) != key:
+                    if steps:
+                        out += [(*key, *x) for x in run(steps, values)]
+                    key, steps, values = (trial, var), [], []
+                    if len(out) > 50_000:
+                        yield made()
+                        out = []
+                steps.append(t)
+                values.append(y)
+        if steps:
+            out += [(*key, *x) for x in run(steps, values)]
+        if out:
+            yield made()
+
+    rows = panel.select(*[F.col(c).cast("int").alias(c) for c in ("trial", "var", "t")], F.col("y").cast("double").alias("y"))
+    rows = rows.repartition("trial", "var").sortWithinPartitions("trial", "var", "t")
+    return rows.mapInArrow(fold, f"trial int, var int, {schema}")
 
-    def step(acc, x):
-        m = F.when(acc["mu"].isNull(), F.lit(mu0)).otherwise(a * acc["mu"])
-        p = F.when(acc["mu"].isNull(), F.lit(v0)).otherwise(a * a * acc["v"] + q)
-        v = 1 / (c * c / F.lit(r) + 1 / p)
-        mu = F.when(x["y"].isNull(), m).otherwise(m + v * c * (x["y"] - d - c * m) / r)
-        v = F.when(x["y"].isNull(), p).otherwise(v)
-        return F.struct(mu.alias("mu"), v.alias("v"), F.concat(acc["out"], F.array(F.struct(x["t"].cast("int").alias("t"), mu.alias("mu"), v.alias("v")))).alias("out"))
 
-    out = cells.select("trial", "var", F.explode(F.aggregate("cells", start, step, lambda acc: acc["out"])).alias("s"))
-    return out.select("trial", "var", "s.t", "s.mu", "s.v")
+@dataclass(frozen=True)
+class Scalar:
+    """x' = a x + noise(q), y = c x + d + noise(r), x_0 ~ (mu0, v0)."""
+
+    a: float
+    q: float
+    c: float
+    d: float
+    r: float
+    mu0: float
+    v0: float
+
+    def passed(self, steps: list[int], values: list[float | None]) -> Iterator[tuple[int, float, float, float, float]]:
+        """(t, predicted mean and variance, mean, variance) of every step from the first to the last; steps that are missing or null are predicted through."""
+        mu, v, seen = 0.0, 0.0, dict(zip(steps, values, strict=True))
+        for t in range(steps[0], steps[-1] + 1):
+            m, p = (self.mu0, self.v0) if t == steps[0] else (self.a * mu, self.a * self.a * v + self.q)
+            y = seen.get(t)
+            mu, v = m, p
+            if y is not None and y == y:
+                v = 1 / (self.c * self.c / self.r + 1 / p)
+                mu = m + v * self.c * (y - self.d - self.c * m) / self.r
+            yield t, m, p, mu, v
+
+
+def scalar_filter(panel: DataFrame, *, every_step: bool = False, **model: float) -> DataFrame:
+    """(trial, var, t, mu, v): a one-dimensional filter over each series; a null or missing step is predicted through.
+
+    Missing steps have rows of their own only with every_step.
+    """
+    one = Scalar(**model)
+
+    def run(steps: list[int], values: list[float | None]) -> Iterator[tuple[int, float, float]]:
+        given = set(steps)
+        return ((t, mu, v) for t, _, _, mu, v in one.passed(steps, values) if every_step or t in given)
+
+    return _series(panel, "t int, mu double, v double", run)
+
+
+def scalar_smoother(panel: DataFrame, **model: float) -> DataFrame:
+    """(trial, var, t, x, v) for every step between a series' first and last: a one-dimensional smoother."""
+    one = Scalar(**model)
+
+    def run(steps: list[int], values: list[float | None]) -> list[tuple[int, float, float]]:
+        done = list(one.passed(steps, values))
+        out = [(done[-1][0], done[-1][3], done[-1][4])]
+        for (t, _, _, mu, v), (_, m1, p1, _, _) in zip(done[-2::-1], done[:0:-1], strict=True):
+            j = v * one.a / p1
+            out.append((t, mu + j * (out[-1][1] - m1), v + j * j * (out[-1][2] - p1)))
+        return out[::-1]
+
+    return _series(panel, "t int, x double, v double", run)
+
+
+def transformed(states: DataFrame, by: np.ndarray) -> DataFrame:
+    """states (x array, v flat array, other columns) in other coordinates: M x and M V M'."""
+    n = len(by)
+    m = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in by])
+    dot = lambda row, col: F.aggregate(F.zip_with(row, col, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    x = F.transform(m, lambda row: dot(row, F.col("x")))
+    left = F.flatten(F.transform(m, lambda row: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: dot(row, F.filter("v", lambda _, k: k % n == j - 1)))))
+    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(m, lambda row: dot(row, F.slice("left", i * n + 1, n)))))
+    return states.withColumn("left", left).withColumns({"x": x, "v": both}).drop("left")
 
 
 def suffstats(panel: DataFrame, states: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.store import stored
+
 
 def nan_mean(panel: DataFrame) -> DataFrame:
     """(var, mean, n) over observed cells; nulls and NaN are not observed."""
@@ -20,13 +22,27 @@ def nan_mean(panel: DataFrame) -> DataFrame:
     return panel.groupBy("var").agg(F.avg(y).alias("mean"), F.count(y).alias("n"))
 
 
-def packed(panel: DataFrame, n_vars: int) -> DataFrame:
-    """(trial, t, y array) with null for cells that aren't observed."""
+def packed(panel: DataFrame, n_vars: int, *, every_step: bool = False) -> DataFrame:
+    """(trial, t, y array) with null for cells that aren't observed.
+
+    Steps without any observed cell have no row, unless every_step asks for all steps between a trial's first and last one.
+    """
     rows = panel.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
     cells = rows.groupBy("trial", "t").agg(F.map_from_entries(F.collect_list(F.struct("var", F.col("y").cast("double").alias("y")))).alias("m"))
+    if every_step:
+        spans = panel.groupBy("trial").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+        cells = spans.select("trial", F.explode(F.sequence("a", "b")).alias("t")).join(cells, ["trial", "t"], "left")
     return cells.select("trial", "t", F.transform(F.sequence(F.lit(0), F.lit(n_vars - 1)), lambda v: F.element_at("m", v)).alias("y"))
 
 
+def _means(rows: DataFrame, n_vars: int) -> np.ndarray:
+    """Means over the observed cells of packed rows; NaN where there are none. One row a variable is collected."""
+    out = np.full(n_vars, np.nan)
+    for r in rows.select(F.posexplode("y").alias("var", "y")).groupBy("var").agg(F.avg("y").alias("mean")).collect():
+        out[r["var"]] = np.nan if r["mean"] is None else r["mean"]
+    return out
+
+
 def _products(pairs: DataFrame, means: np.ndarray) -> DataFrame:
     """(m, i, j, s, n): sums of centred products of now and before, and how many there were."""
 
@@ -47,26 +63,70 @@ def _products(pairs: DataFrame, means: np.ndarray) -> DataFrame:
     return made.groupBy("m", "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
+def _lagged(rows: DataFrame, lags: int, length: int | None = None) -> DataFrame:
+    """(trial, t, m, now, before): each packed row next to the one m steps before, for m < lags; time wraps at ``length``."""
+    now = rows.select("trial", "t", F.col("y").alias("now"), F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("m"))
+    back = F.col("t") - F.col("m") if length is None else F.pmod(F.col("t") - F.col("m"), F.lit(length))
+    return now.withColumn("u", back).join(rows.select("trial", F.col("t").alias("u"), F.col("y").alias("before")), ["trial", "u"])
+
+
+def lag_sums(panel: DataFrame, n_vars: int, lags: int, *, length: int | None = None) -> DataFrame:
+    """(m, i, j, s, n) for m < lags: sums of (y_i(t) - mean_i)(y_j(t - m) - mean_j) within trials, not divided by anything.
+
+    With a length time wraps there. The packed panel is stored once.
+    """
+    rows = stored(packed(panel, n_vars))
+    return _products(_lagged(rows, lags, length), _means(rows, n_vars))
+
+
 def lag_cov(panel: DataFrame, n_vars: int, lags: int, *, circular: bool = False, length: int | None = None) -> DataFrame:
     """(m, i, j, q, n) for m < lags: mean of (y_i(t) - mean_i)(y_j(t - m) - mean_j) within trials.
 
     Linear: over the n products there are. Circular (needs length): time wraps and sums are divided by the
     co-observation count of lag 0; pairs never seen together have no row.
     """
-    means = np.full(n_vars, np.nan)
-    for r in nan_mean(panel).collect():  # one row a variable
-        means[r["var"]] = np.nan if r["mean"] is None else r["mean"]
-    rows = packed(panel, n_vars)
-    now = rows.select("trial", "t", F.col("y").alias("now"), F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("m"))
-    back = F.pmod(F.col("t") - F.col("m"), F.lit(length)) if circular else F.col("t") - F.col("m")
-    pairs = now.withColumn("u", back).join(rows.select("trial", F.col("t").alias("u"), F.col("y").alias("before")), ["trial", "u"])
-    sums = _products(pairs, means)
+    sums = lag_sums(panel, n_vars, lags, length=length if circular else None)
     if not circular:
         return sums.select("m", "i", "j", (F.col("s") / F.col("n")).alias("q"), "n")
+    sums = stored(sums)
     n0 = sums.where("m = 0").select("i", "j", F.col("n").alias("n0"))
     return sums.join(n0, ["i", "j"]).select("m", "i", "j", (F.col("s") / F.col("n0")).alias("q"), F.col("n0").alias("n"))
 
 
+def window_cov(panel: DataFrame, n_vars: int, k: int) -> DataFrame:
+    """(r, c, i, j, q): covariances of future and past blocks of k steps, over all full windows of 2 k steps of all trials.
+
+    Series are centred within their trials; trials of at most two windows don't count. Block (r, c) pairs step k + r of a
+    window with step k - 1 - c. Every trial's steps are 0 to its last one, all observed.
+    """
+    centred = panel.join(panel.groupBy("trial", "var").agg(F.avg("y").alias("mean")), ["trial", "var"])
+    rows = stored(packed(centred.select("trial", "var", "t", (F.col("y") - F.col("mean")).alias("y")), n_vars))
+    trials = rows.groupBy("trial").agg((F.max("t") + 2 - 2 * k).alias("windows")).where("windows > 2")
+    blocks = [F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(k) for c in range(k)]
+    now = rows.join(trials, "trial").select("trial", "t", "windows", F.col("y").alias("now"), F.explode(F.array(*blocks)).alias("x"))
+    now = now.where(F.col("t").between(k + F.col("x.r"), k - 1 + F.col("x.r") + F.col("windows")))
+    now = now.select("trial", (F.col("x.r") * k + F.col("x.c")).alias("m"), (F.col("t") - F.col("x.r") - F.col("x.c") - 1).alias("u"), "now")
+    sums = _products(now.join(rows.select("trial", F.col("t").alias("u"), F.col("y").alias("before")), ["trial", "u"]), np.zeros(n_vars))
+    total = trials.agg(F.sum("windows").alias("total"))
+    return sums.join(F.broadcast(total)).select(F.floor(F.col("m") / k).cast("int").alias("r"), (F.col("m") % k).alias("c"), "i", "j", (F.col("s") / F.col("total")).alias("q"))
+
+
+def sample_cov(panel: DataFrame, n_vars: int, k: int, l: int) -> DataFrame:  # noqa: E741
+    """(m, i, j, q) for m < k + l: sample covariance of y_i(t + m) and y_j(t) over the same steps t for every lag.
+
+    These are all steps of a trial but its last k + l; panels are without gaps. A constant as one more variable
+    gives the sums that centre each lag's own steps.
+    """
+    rows = packed(panel, n_vars).select("trial", "t", F.concat("y", F.array(F.lit(1.0))).alias("y"))
+    rows = stored(rows.join(panel.groupBy("trial").agg((F.max("t") - k - l).alias("last")), "trial"))
+    pairs = _lagged(rows.select("trial", "t", "y"), k + l).join(rows.select("trial", "last").distinct(), "trial").where(F.col("t") - F.col("m") <= F.col("last"))
+    sums = stored(_products(pairs, np.zeros(n_vars + 1)))
+    left = sums.where((F.col("j") == n_vars) & (F.col("i") < n_vars)).select("m", "i", F.col("s").alias("si"))
+    right = sums.where((F.col("i") == n_vars) & (F.col("j") < n_vars)).select("m", "j", F.col("s").alias("sj"))
+    both = sums.where((F.col("i") < n_vars) & (F.col("j") < n_vars)).join(left, ["m", "i"]).join(right, ["m", "j"])
+    return both.select("m", "i", "j", ((F.col("s") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("q"))
+
+
 def coobs_count(panel: DataFrame, n_vars: int) -> DataFrame:
     """(i, j, n): time steps at which both variables are observed."""
     rows = packed(panel, n_vars).select(F.lit(0).alias("m"), F.col("y").alias("now"), F.col("y").alias("before"))
@@ -88,17 +148,50 @@ def symmetrized(lagcov: DataFrame) -> DataFrame:
 
 def autocorr(panel: DataFrame, n_vars: int, lags: int) -> DataFrame:
     """(var, m, acf): sums of lagged products over the sum of squares, within trials."""
-    means = np.zeros(n_vars)
-    for r in nan_mean(panel).collect():  # one row a variable
-        means[r["var"]] = r["mean"]
-    rows = packed(panel, n_vars)
-    now = rows.select("trial", "t", F.col("y").alias("now"), F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("m"))
-    pairs = now.withColumn("u", F.col("t") - F.col("m")).join(rows.select("trial", F.col("t").alias("u"), F.col("y").alias("before")), ["trial", "u"])
-    sums = _products(pairs, means).where("i = j")
+    sums = stored(lag_sums(panel, n_vars, lags).where("i = j"))
     zero = sums.where("m = 0").select("i", F.col("s").alias("s0"))
     return sums.join(zero, "i").select(F.col("i").alias("var"), "m", (F.col("s") / F.col("s0")).alias("acf"))
 
 
+def acf_bounds(acf: DataFrame, panel: DataFrame, n_ma: int = 0, n_std: float = 2.0) -> DataFrame:
+    """(var, lower, upper): where an autocorrelation beyond lag n_ma is no sign of anything, by Bartlett's variance."""
+    early = acf.where(F.col("m").between(1, n_ma)).groupBy("var").agg(F.sum(F.col("acf") ** 2).alias("squares"))
+    rows = panel.groupBy("var").agg(F.count("y").alias("n")).join(early, "var", "left")
+    edge = n_std * F.sqrt((1 + 2 * F.coalesce("squares", F.lit(0.0))) / F.col("n"))
+    return rows.select("var", (-edge).alias("lower"), edge.alias("upper"))
+
+
+def model_cov(loadings: DataFrame, inner: DataFrame, noise: DataFrame) -> DataFrame:
+    """(m, i, j, q): C A^m Pi C' + R at lag 0, from loadings (var, k, w), inner = A^m Pi (m, k, l, w) and noise (var, r)."""
+    left = loadings.select(F.col("var").alias("i"), "k", F.col("w").alias("wi"))
+    right = loadings.select(F.col("var").alias("j"), F.col("k").alias("l"), F.col("w").alias("wj"))
+    rows = inner.join(left, "k").groupBy("m", "i", "l").agg(F.sum(F.col("w") * F.col("wi")).alias("x"))
+    q = rows.join(right, "l").groupBy("m", "i", "j").agg(F.sum(F.col("x") * F.col("wj")).alias("q"))
+    own = noise.select(F.lit(0).alias("m"), F.col("var").alias("i"), F.col("var").alias("j"), "r")
+    return q.join(own, ["m", "i", "j"], "left").select("m", "i", "j", (F.col("q") + F.coalesce("r", F.lit(0.0))).alias("q"))
+
+
+def hankel_loss(measured: DataFrame, modelled: DataFrame, mask: DataFrame) -> DataFrame:
+    """(m, loss, n): half the mean squared difference of two lag covariances over the pairs (i, j) of a mask."""
+    rows = measured.select("m", "i", "j", F.col("q").alias("x")).join(modelled.select("m", "i", "j", F.col("q").alias("y")), ["m", "i", "j"])
+    rows = rows.join(mask.select("i", "j").distinct(), ["i", "j"])
+    return rows.groupBy("m").agg((F.avg((F.col("x") - F.col("y")) ** 2) / 2).alias("loss"), F.count("*").alias("n"))
+
+
+def loading_gradient(measured: DataFrame, modelled: DataFrame, mask: DataFrame, loadings: DataFrame, inner: DataFrame) -> DataFrame:
+    """(var, k, g): derivative by the loadings of the sum over lags of squared differences / 2 over the pairs of a mask.
+
+    With residual e = C A^m Pi C' - q at (i, j), row i gets e (A^m Pi C'_j) and row j gets e (C_i A^m Pi).
+    """
+    e = measured.select("m", "i", "j", F.col("q").alias("x")).join(modelled.select("m", "i", "j", F.col("q").alias("y")), ["m", "i", "j"]).join(mask.select("i", "j").distinct(), ["i", "j"])
+    e = e.select("m", "i", "j", (F.col("y") - F.col("x")).alias("e"))
+    right = inner.join(loadings.select(F.col("var").alias("j"), F.col("k").alias("l"), F.col("w").alias("wj")), "l").groupBy("m", "j", "k").agg(F.sum(F.col("w") * F.col("wj")).alias("z"))
+    left = inner.join(loadings.select(F.col("var").alias("i"), "k", F.col("w").alias("wi")), "k").groupBy("m", "i", F.col("l").alias("k")).agg(F.sum(F.col("w") * F.col("wi")).alias("z"))
+    one = e.join(right, ["m", "j"]).select(F.col("i").alias("var"), "k", (F.col("e") * F.col("z")).alias("g"))
+    two = e.join(left, ["m", "i"]).select(F.col("j").alias("var"), "k", (F.col("e") * F.col("z")).alias("g"))
+    return one.unionByName(two).groupBy("var", "k").agg(F.sum("g").alias("g"))
+
+
 def pair_scores(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
     """Correlation and mean squared error of two lag covariances, apart for pairs in mask (i, j) and others."""
     rows = a.select("m", "i", "j", F.col("q").alias("x")).join(b.select("m", "i", "j", F.col("q").alias("y")), ["m", "i", "j"])

@@ -11,17 +11,20 @@ def series():
     return W.partitionBy("trial", "var").orderBy("t")
 
 
-def bin_spike_times(spikes: DataFrame, dt: float, n_bins: int) -> DataFrame:
+def bin_spike_times(spikes: DataFrame, dt: float, n_bins: int | None = None) -> DataFrame:
     """Counts per trial, variable and bin, zeros included; times outside the bins don't count.
 
-    Bins are counted before the grid is built, so the join sees one row a filled bin.
+    Without n_bins a trial has as many bins as fit between 0 and its last spike's time, rounded up. Bins are counted before
+    the grid is built, so the join sees one row a filled bin.
     """
-    counts = spikes.select("trial", "var", F.floor(F.col("ts") / dt).cast("int").alias("t")).where(F.col("t").between(0, n_bins - 1))
+    counts = spikes.select("trial", "var", "ts", F.floor(F.col("ts") / dt).cast("int").alias("t"))
+    last = F.lit(n_bins) if n_bins is not None else F.floor(F.ceil(F.max("ts")) / dt).cast("int")
+    trials = counts.groupBy("trial").agg(last.alias("bins")).where("bins > 0")
     counts = counts.groupBy("trial", "var", "t").agg(F.count("*").alias("y"))
-    filled = counts.groupBy("trial", "var").agg(F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("m"))  # at most n_bins entries
+    filled = counts.groupBy("trial", "var").agg(F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("m"))  # one entry a filled bin
     variables = counts.agg(F.collect_set("var").alias("vars"))  # one row, as long as there are variables
-    pairs = counts.select("trial").distinct().join(F.broadcast(variables), how="cross").select("trial", F.explode("vars").alias("var"))
-    rows = pairs.join(filled, ["trial", "var"], "left").select("trial", "var", "m", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("t"))
+    pairs = trials.join(F.broadcast(variables), how="cross").select("trial", "bins", F.explode("vars").alias("var"))
+    rows = pairs.join(filled, ["trial", "var"], "left").select("trial", "var", "m", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("t"))
     return rows.select("trial", "var", "t", F.coalesce(F.element_at("m", F.col("t")), F.lit(0)).cast("long").alias("y"))
 
 
@@ -48,18 +51,15 @@ def catalog(panel: DataFrame) -> DataFrame:
     return panel.groupBy("experiment").agg(F.countDistinct("t").alias("n_t"), (F.max("t") + 1).cast("long").alias("length"), F.countDistinct("var").alias("n_var"), F.count("*").alias("n_cells"))
 
 
-def apply_scheme(panel: DataFrame, subpop: DataFrame, schedule: DataFrame, max_segments: int = 10_000) -> DataFrame:
+def apply_scheme(panel: DataFrame, subpop: DataFrame, schedule: DataFrame, max_steps: int = 100_000) -> DataFrame:
     """y is null where the population active at t doesn't hold var.
 
-    A schedule of at most max_segments rows joins by interval, broadcast; beyond that it joins on time, every segment
-    spread over its steps. Membership joins by (pop, var).
+    The schedule is spread over its steps and joins on time, membership on (pop, var), both by equality. Up to max_steps
+    steps are broadcast.
     """
-    if schedule.limit(max_segments + 1).count() <= max_segments:
-        rows = panel.join(F.broadcast(schedule), (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end")))
-    else:
-        steps = schedule.select("pop_id", F.explode(F.sequence("t_start", F.col("t_end") - 1)).alias("t"))
-        rows = panel.join(steps, "t")
-    rows = rows.join(subpop.withColumn("seen", F.lit(True)), ["pop_id", "var"], "left")
+    steps = schedule.select("pop_id", F.explode(F.sequence("t_start", F.col("t_end") - 1)).alias("t"))
+    length = schedule.agg(F.sum(F.col("t_end") - F.col("t_start"))).first()[0] or 0
+    rows = panel.join(F.broadcast(steps) if length <= max_steps else steps, "t").join(subpop.withColumn("seen", F.lit(True)), ["pop_id", "var"], "left")
     return rows.select(*[c for c in panel.columns if c != "y"], F.when(F.col("seen"), F.col("y")).alias("y"))
 
 
@@ -84,6 +84,18 @@ def history(panel: DataFrame, q: int) -> DataFrame:
     return rows.where(F.col(f"h{q}").isNotNull())
 
 
+def io_windows(outputs: DataFrame, inputs: DataFrame, k: int, l: int) -> DataFrame:  # noqa: E741
+    """(trial, row, side, lag, var, y): rows of k steps of inputs (side u) and outputs (y), row n from step l + n on.
+
+    A trial has its number of steps - k - l + 1 rows, by its outputs.
+    """
+    spans = outputs.groupBy("trial").agg((F.max("t") - k - l + 1).alias("last")).where("last >= 0")
+    both = inputs.select("trial", "t", "var", F.lit("u").alias("side"), "y").unionByName(outputs.select("trial", "t", "var", F.lit("y").alias("side"), "y"))
+    rows = both.join(spans, "trial").select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("lag"))
+    rows = rows.withColumn("row", F.col("t") - l - F.col("lag")).where(F.col("row").between(0, F.col("last")))
+    return rows.select("trial", "row", "side", "lag", "var", "y")
+
+
 def concat_trials(panel: DataFrame) -> DataFrame:
     """Trials laid end to end: t becomes the time in all of them. One row a trial goes through the window."""
     lengths = panel.groupBy("trial").agg((F.max("t") + 1).alias("length"))

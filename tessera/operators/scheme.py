@@ -65,6 +65,21 @@ def observed_pairs(subpop: DataFrame) -> DataFrame:
     return a.join(b, "pop_id").groupBy("i", "j").agg(F.count("*").alias("n_pops"))
 
 
+def double_pairs(subpop: DataFrame) -> DataFrame:
+    """(i, j): variable pairs that share more than one population."""
+    return observed_pairs(subpop).where("n_pops > 1").select("i", "j")
+
+
+def cross_pairs(subpop: DataFrame) -> DataFrame:
+    """(i, j): pairs of one population and different groups, of which one group at least is in several populations."""
+    shared = index_overlaps(subpop).select("grp", F.lit(True).alias("several"))
+    named = index_groups(subpop).join(shared, "grp", "left").select("var", "grp", F.coalesce("several", F.lit(False)).alias("several"))
+    rows = observed_pairs(subpop).select("i", "j")
+    for c in "ij":
+        rows = rows.join(named.select(F.col("var").alias(c), F.col("grp").alias(f"g{c}"), F.col("several").alias(f"s{c}")), c)
+    return rows.where("gi <> gj AND (si OR sj)").select("i", "j")
+
+
 def stitched_pairs(subpop: DataFrame) -> DataFrame:
     """(i, j) with i < j that share no population. The output itself is quadratic in the variables."""
     v = subpop.select("var").distinct()

@@ -20,9 +20,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finished(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns what it wrote."""
-    spark, folder = rows.sparkSession, shared_dir(rows.sparkSession)
+def _finished(rows: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is and returns what it wrote below folder."""
+    spark, folder = rows.sparkSession, folder or shared_dir(rows.sparkSession)
     query = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
@@ -58,12 +58,9 @@ def filtered_counts(spark: SparkSession, sf_dir: str, *, a: float, q: float, c:
         state.update((last, mu, v))
         yield pd.DataFrame(out, columns=["event_type", "h", "mu", "v"])
 
-    counts = table_stream(closed_counts(spark, sf_dir))
+    folder = shared_dir(spark)
+    written = _finished(hourly(event_stream(spark, sf_dir)), folder)
+    counts = spark.readStream.schema(written.schema).parquet(f"{folder}/out")
     found = counts.groupBy("event_type").applyInPandasWithState(step, "event_type string, h long, mu double, v double", "last long, mu double, v double", "append", GroupStateTimeout.NoTimeout)
     return _finished(found)
 
-
-def table_stream(written: DataFrame) -> DataFrame:
-    """A written Parquet table as a stream of its files."""
-    folder = written.inputFiles()[0].rpartition("/")[0]
-    return written.sparkSession.readStream.schema(written.schema).parquet(folder)

@@ -34,6 +34,6 @@ def duck():
 def same_rows(a, b) -> bool:
     """Whether two pandas frames hold the same rows and columns, in any order."""
     assert sorted(a.columns) == sorted(b.columns)
-    show = lambda x: "" if x is None or x != x else f"{float(x):.5f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    show = lambda x: "" if x is None or x != x else f"{float(x) + 0.0:.5f}".replace("-0.00000", "0.00000") if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     rows = lambda f: sorted(tuple(show(x) for x in r) for r in f.astype(object).where(f.notna(), None)[sorted(f.columns)].itertuples(index=False))
     return rows(a) == rows(b)

@@ -91,3 +91,74 @@ def test_binning_keeps_silent_bins_and_drops_late_spikes(spark):
     rows = spark.createDataFrame([(0, 0, 0.2), (0, 0, 0.9), (0, 1, 2.0), (1, 0, 9.0), (1, 0, 1.0)], "trial int, var int, ts double")
     got = {(r["trial"], r["var"], r["t"]): r["y"] for r in panel.bin_spike_times(rows, 1.0, 3).collect()}
     assert len(got) == 12 and got[0, 0, 0] == 2 and got[0, 1, 2] == 1 and got[1, 0, 1] == 1 and sum(got.values()) == 4
+
+
+def test_posterior_goes_through_steps_that_nobody_saw(spark):
+    """Rows of t = 2..4 are missing altogether: the smoothed path equals dense conditioning on all seven steps."""
+    model, steps = system(), 7
+    y = drawn(model, steps, 5)
+    cells = [(trial, t, i, float(y[t, i])) for trial in (1, 2) for t in range(steps) if not 2 <= t <= 4 for i in range(4) if trial == 1 or i != 3]
+    panel_ = spark.createDataFrame([(a, b + 10, c, d) for a, b, c, d in cells], "trial int, t int, var int, y double")
+    got = {(r.trial, r.t): r for r in kalman.posterior(lagcov.packed(panel_, 4, every_step=True), model).collect()}
+    assert sorted(got) == [(k, t + 10) for k in (1, 2) for t in range(steps)]
+    mean, cov = joint(model, steps)
+    for trial in (1, 2):
+        seen = [(t, i) for k, t, i, _ in cells if k == trial]
+        h = np.zeros((len(seen), steps * 2))
+        for row, (t, i) in enumerate(seen):
+            h[row, 2 * t : 2 * t + 2] = model.C[i]
+        e = np.array([y[t, i] - model.d[i] for t, i in seen]) - h @ mean
+        gain = cov @ h.T @ np.linalg.inv(h @ cov @ h.T + np.diag([model.R[i] for _, i in seen]))
+        x, v = mean + gain @ e, cov - gain @ h @ cov
+        for t in range(steps):
+            s = slice(2 * t, 2 * t + 2)
+            assert np.allclose(got[trial, t + 10].x, x[s]) and np.allclose(np.reshape(got[trial, t + 10].v, (2, 2)), v[s, s])
+
+
+def test_prediction_slices_by_time(spark):
+    from tessera.jobs import poisson
+
+    model = kalman.Model(0.9 * np.eye(1), 0.1 * np.eye(1), np.zeros(1), np.eye(1), np.ones((2, 1)), np.zeros(2), np.ones(2))
+    rows = [(0, t, i, float((t + i) % 3)) for t in (0, 1, 5, 6, 9) for i in range(2)]
+    whole = spark.createDataFrame(rows + [(0, t, i, None) for t in (2, 3, 4, 7) for i in range(2)], "trial int, t int, var int, y double")
+    got = [poisson.predict(lagcov.packed(p, 2, every_step=e), model, (0, 8), (8, 10)).orderBy("t", "var").collect() for p, e in ((whole, True), (whole.where("y IS NOT NULL"), False))]
+    assert [(r.t, r.var) for r in got[0]] == [(8, 0), (8, 1), (9, 0), (9, 1)]
+    assert np.allclose([r.rate for r in got[0]], [r.rate for r in got[1] if r.t >= 8])
+
+
+def test_a_fit_goes_on_where_it_stopped(spark):
+    from tessera.sources.store import shared_dir
+
+    model = system(2, 3)
+    rows = [(k, t, i, float(v)) for k in range(4) for t, row in enumerate(drawn(model, 30, k)) for i, v in enumerate(row)]
+    packed = lagcov.packed(spark.createDataFrame(rows, "trial int, t int, var int, y double"), 3, every_step=True)
+    start = fitting.start_model(2, np.zeros(3), np.ones(3))
+    whole, trace = fitting.fit(packed, start, rounds=4)
+    folder = shared_dir(spark)
+    fitting.fit(packed, start, rounds=2, folder=folder)
+    again, more = fitting.fit(packed, None, rounds=4, folder=folder)
+    assert np.allclose(trace, more) and np.allclose(whole.C, again.C) and np.allclose(whole.mu0, again.mu0) and np.all(np.diff(trace) > -1e-9)
+    batched, seen = fitting.online(packed, start, batches=2)
+    assert sum(n for n, _ in seen) == 4 and np.isfinite(batched.C).all()
+
+
+def test_smoother_of_one_series_is_the_vector_smoother(spark):
+    rows = [(0, 0, t, None if t in (3, 4) else float(t % 4)) for t in range(9) if t != 6]
+    given = spark.createDataFrame(rows, "trial int, var int, t int, y double")
+    one = dict(a=0.8, q=0.3, c=1.5, d=0.1, r=0.7, mu0=0.2, v0=2.0)
+    got = kalman.scalar_smoother(given, **one).orderBy("t").collect()
+    y = np.full((9, 1), np.nan)
+    for _, _, t, v in rows:
+        y[t, 0] = np.nan if v is None else v
+    m = kalman.Model(*[np.array([[one[k]]]) for k in "aq"], np.array([one["mu0"]]), np.array([[one["v0"]]]), np.array([[one["c"]]]), np.array([one["d"]]), np.array([one["r"]]))
+    x, v, _, _ = kalman.smoothed(m, y)
+    assert [r.t for r in got] == list(range(9)) and np.allclose([r.x for r in got], x[:, 0]) and np.allclose([r.v for r in got], v[:, 0, 0])
+    assert [r.t for r in kalman.scalar_filter(given, **one).orderBy("t").collect()] == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_transformed_states_equal_matrix_products(spark):
+    rng = np.random.default_rng(8)
+    m, x, v = rng.standard_normal((2, 3)), rng.standard_normal(3), rng.standard_normal((3, 3))
+    m = np.vstack([m, rng.standard_normal((1, 3))])
+    r = kalman.transformed(spark.createDataFrame([(x.tolist(), v.ravel().tolist())], "x array<double>, v array<double>"), m).first()
+    assert np.allclose(r.x, m @ x) and np.allclose(np.reshape(r.v, (3, 3)), m @ v @ m.T)
