@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 
@@ -301,9 +303,10 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def report(docs: DataFrame, model: Field | None = None, *, batch_words: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    A null text is an empty one. Repeated rows are read one by one; an empty table trains nothing and gives
-    no rows; other columns are ignored.
+    A null text is an empty one. Long texts are read whole, spans that begin at one place are ordered by kind, repeated rows
+    are read one by one; an empty table trains nothing and gives no rows; other columns are ignored.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_table(docs)) if model is None else model)
 
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -90,30 +90,37 @@ def default_rules(max_symbol_ratio: float = 0.3, min_word: float = 1.5, max_word
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500) -> list[Rule]:
-    """Rules by falling rejection per second, both measured on a bounded sample.
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, times: int = 20) -> list[Rule]:
+    """Rules by falling rejection per second, both measured on a sample of about sample_rows rows from all of the table.
 
-    The sample is spread over the table (a Bernoulli draw of about twice sample_rows, then a limit).
-    Ties and rules that reject nothing keep their order by cost.
+    One pass counts what each rule rejects and compiles them all; then every rule is evaluated ``times`` times a row in a pass
+    of its own, and the time of a pass without a rule taken off. Ties and rules that reject nothing keep their order by cost.
     """
-    share = min(1.0, 2 * sample_rows / max(docs.count(), 1))
-    sample = base_figures(docs.select("doc_id", "text").sample(share, seed=11).limit(sample_rows)).cache()
-    n = max(1, sample.count())
-    gain: dict[str, tuple[float, float]] = {}
-    for rule in rules:
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = base_figures(docs.select("doc_id", "text").sample(share, seed=11)).cache()
+    lost = sample.agg(F.count("*"), *[F.count_if(r.rejects) for r in rules]).first()
+    many = sample.withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def seconds(rejects: Column) -> float:
         began = time.perf_counter()
-        lost = sample.agg(F.count_if(rule.rejects)).first()[0]
-        spent = time.perf_counter() - began
-        gain[rule.name] = (-(lost / n) / spent, spent)
+        many.agg(F.count_if(rejects)).first()
+        return time.perf_counter() - began
+
+    nothing = F.col("time") < 0
+    seconds(nothing)
+    empty = seconds(nothing)
+    cost = {r.name: max(seconds(r.rejects) - empty, 1e-6) for r in rules}
     sample.unpersist()
+    gain = {r.name: (-(n / max(lost[0], 1)) / cost[r.name], cost[r.name]) for r, n in zip(rules, lost[1:], strict=True)}
     return sorted(rules, key=lambda r: gain[r.name])
 
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, *, min_words: int = 20, max_repeat_percent: int = 30, ordered: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): the base figures, base_failed, kept, and reason of a rejection.
 
-    Null and empty texts have no words and fail the base. Repeated rows are judged one by one, empty
-    tables give no rows, other columns of docs are ignored.
+    Null and empty texts have no words and fail the base. Long texts are read whole, repeated rows are judged one by one,
+    empty tables give no rows, other columns of docs are ignored. Where several rules reject, the first in the measured order is
+    the reason; the verdict is the same in any order.
     """
     figures = base_figures(docs)
     rules = default_rules() if rules is None else rules

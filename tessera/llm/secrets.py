@@ -4,7 +4,7 @@ Matches are found by ``regexp_extract_all`` and placed by the lengths of the pie
 leaves between them, so a match's offset needs no row-at-a-time code. Candidates for the entropy scan
 are unbroken runs of key-like characters. A window slides over a candidate; counts per character class
 are kept incrementally (one symbol enters, one leaves) together with the sum of c*log2(c), which
-gives the window's Shannon entropy in constant work per step. Candidates that an allow list explains
+gives the window's Shannon entropy in work that depends on the window's length alone. Candidates that an allow list explains
 (words, paths, ids with structure) are suppressed.
 """
 
@@ -68,19 +68,26 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(numbers: Column, block: int = 128) -> Column:
+    """Sums of an array's elements before each one, in steps of blocks: n * block + (n / block)^2 / 2 additions, no copies."""
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    count = lambda xs: F.greatest(F.lit(1), F.ceil(F.size(xs) / block).cast("int"))
+    sums = lambda xs: F.transform(F.sequence(F.lit(0), count(xs) - 1), lambda k: add(F.slice(xs, k * block + 1, block)))
+    firsts = lambda own: F.transform(own, lambda _, k: add(F.slice(own, 1, k)))
+    whole = lambda xs, first: F.transform(xs, lambda _, i: F.get(first, F.floor(i / block).cast("int")) + add(F.slice(xs, i - i % block + 1, i % block)))
+    return _with(numbers, lambda xs: _with(_with(sums(xs), firsts), lambda first: whole(xs, first)))
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("out"))
-
     def place(m: Column, gaps: Column) -> Column:
-        pairs = F.transform(m, lambda s, i: F.struct(s.alias("m"), F.get(gaps, i).alias("gap")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        start = lambda before, i: F.get(before, i) + F.get(gaps, i)
+        span = lambda before, s, i: F.struct(start(before, i).alias("start"), (start(before, i) + F.length(s)).alias("end"), s.alias("match"))
+        used = F.transform(m, lambda s, i: F.length(s) + F.get(gaps, i))
+        return _with(running(used), lambda before: F.transform(m, lambda s, i: span(before, s, i)))
 
     def placed(m: Column) -> Column:
         return _with(F.transform(F.split(text, pattern), lambda g: F.length(g)), lambda gaps: place(m, gaps))
@@ -88,45 +95,51 @@ def located(text: Column, pattern: str) -> Column:
     return _with(whole, lambda m: F.when(F.size(m) == 0, empty).otherwise(placed(m)))
 
 
+def overlaps(x: Column, spans: Column, halvings: int = 31) -> Column:
+    """Whether x touches one of the sorted, disjoint spans: binary search for the last that begins before x ends."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    middle = lambda acc: F.shiftright(acc["lo"] + acc["hi"], 1)
+    down = lambda acc: F.struct(acc["lo"].alias("lo"), middle(acc).alias("hi"))
+    up = lambda acc: F.struct((middle(acc) + 1).alias("lo"), acc["hi"].alias("hi"))
+    step = lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.when(F.get(spans, middle(acc))["start"] < x["end"], up(acc)).otherwise(down(acc)))
+    steps = F.sequence(F.lit(0), F.least(F.lit(halvings), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int")))
+    before = F.aggregate(steps, start, step, lambda acc: acc["lo"])
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(_with(before, lambda k: F.coalesce(F.get(spans, k - 1)["end"] > x["start"], F.lit(False))))
+
+
 def window_entropy(string: Column, symbols: str, window: int = 20) -> Column:
     """Largest Shannon entropy (bits a symbol) of a window of ``window`` symbols of the class; 0 if none fits.
 
-    A symbol outside the class empties the window. Only the entering and the leaving count change in a
-    step, and the sum of c*log2(c) follows them.
+    A symbol outside the class empties the window. In a step one symbol leaves and one enters: their counts in the window
+    change by one, and the sum of c*log2(c) follows them.
     """
-    zero = F.array_repeat(F.lit(0), len(symbols))
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    bump = lambda counts, k, by: F.transform(counts, lambda c, i: F.when(i == k, c + by).otherwise(c))
+    terms = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 1)])
     codes = F.transform(F.split(string, ""), lambda ch: F.when(ch == "", F.lit(-1)).otherwise(F.instr(F.lit(symbols), ch) - 1))
+    same = lambda xs, k: F.size(F.filter(xs, lambda x: x == k))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"))
 
     def run(code: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            k = F.get(code, i)
-            full = acc["n"] == window
-            old = F.when(full, F.get(code, i - window))
-            less = F.when(full, F.get(acc["counts"], old))
-            counts = F.when(full, bump(acc["counts"], old, -1)).otherwise(acc["counts"])
-            total = acc["s"] - F.when(full, term(less) - term(less - 1)).otherwise(F.lit(0.0))
+        def entered(acc: Column, k: Column, held: Column) -> Column:
+            """With k as one more symbol of a window of n held ones whose sum is s."""
             return _with(
-                F.struct(counts.alias("counts"), total.alias("s")),
-                lambda a: _with(
-                    F.get(a["counts"], k),
-                    lambda c: F.when(
-                        k >= 0,
-                        _with(
-                            F.struct(F.least(acc["n"] + 1, F.lit(window)).alias("n"), (a["s"] + term(c + 1) - term(c)).alias("s")),
-                            lambda b: F.struct(
-                                bump(a["counts"], k, 1).alias("counts"),
-                                b["n"].alias("n"),
-                                b["s"].alias("s"),
-                                F.greatest(acc["best"], F.when(b["n"] == window, F.log2(F.lit(float(window))) - b["s"] / window).otherwise(F.lit(0.0))).alias("best"),
-                            ),
-                        ),
-                    ).otherwise(F.struct(zero.alias("counts"), F.lit(0).alias("n"), F.lit(0.0).alias("s"), acc["best"].alias("best"))),
+                same(held, k),
+                lambda c: _with(
+                    acc["s"] + F.get(terms, c + 1) - F.get(terms, c),
+                    lambda s: F.struct((acc["n"] + 1).alias("n"), s.alias("s"), F.greatest(acc["best"], F.when(acc["n"] + 1 == window, F.lit(log2(window)) - s / window).otherwise(F.lit(0.0))).alias("best")),
                 ),
             )
 
-        start = F.struct(zero.alias("counts"), F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        def left(acc: Column, i: Column) -> Column:
+            """A full window without its first symbol."""
+            one = lambda c: F.struct((acc["n"] - 1).alias("n"), (acc["s"] - F.get(terms, c) + F.get(terms, c - 1)).alias("s"), acc["best"].alias("best"))
+            return F.when(acc["n"] < window, acc).otherwise(_with(same(F.slice(code, i - window + 1, window), F.get(code, i - window)), one))
+
+        def step(acc: Column, i: Column) -> Column:
+            k = F.get(code, i)
+            with_k = _with(left(acc, i), lambda a: entered(a, k, F.slice(code, i - a["n"] + 1, a["n"])))
+            return F.when(k >= 0, with_k).otherwise(F.struct(zero["n"].alias("n"), zero["s"].alias("s"), acc["best"].alias("best")))
+
+        start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
         return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, step, lambda acc: acc["best"])
 
     return F.when(F.length(string) < window, F.lit(0.0)).otherwise(_with(codes, run))
@@ -146,19 +159,19 @@ def _of_kind(found: Column, kind: int) -> Column:
 def scan(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text, base (array of kind, start, end), added (likewise).
 
-    A null text is an empty one. Added spans are entropy hits that overlap no base span. Repeated rows
-    are scanned one by one, empty tables give no rows, other columns are ignored.
+    A null text is an empty one. Added spans are entropy hits that overlap no base span. Long texts are scanned whole,
+    spans that begin at one place are ordered by kind, repeated rows are scanned one by one, empty tables give no rows, other
+    columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     long_value = lambda x: F.length(F.regexp_extract(x["match"], f"^{ASSIGN}$", 1)) >= 6
     found = {"assign": F.filter(located(F.col("text"), ASSIGN), long_value), "access": located(F.col("text"), ACCESS), "hex": located(F.col("text"), HEX)}
-    spans = [_of_kind(s, k) for k, s in enumerate(found.values())]
-    rows = rows.select("doc_id", "text", F.concat(*spans).alias("base"))
-    apart = lambda x, spans: ~F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    odd = _with(F.col("base"), lambda spans: F.filter(located(F.col("text"), CANDIDATE), lambda x: apart(x, spans)))
-    odd = F.filter(odd, lambda x: random_string(x["match"], window))
-    return rows.select("doc_id", "text", "base", _of_kind(odd, 3).alias("added"))
+    rows = rows.select("doc_id", "text", *[spans.alias(kind) for kind, spans in found.items()])
+    apart = lambda x: ~reduce(or_, [overlaps(x, F.col(kind)) for kind in found])
+    odd = F.filter(F.filter(located(F.col("text"), CANDIDATE), apart), lambda x: random_string(x["match"], window))
+    base = F.concat(*[_of_kind(F.col(kind), k) for k, kind in enumerate(found)])
+    return rows.select("doc_id", "text", base.alias("base"), _of_kind(odd, 3).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -168,14 +181,17 @@ def listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, *, window: int = 20) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, per row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, per row of docs, which scan() reads; nulls and the rest as there."""
     rows = scan(docs, window=window)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
 
 
 def redact(docs: DataFrame, *, window: int = 20, mask: str = "[secret]") -> DataFrame:
-    """doc_id and the text with every span, base or added, replaced by ``mask``."""
+    """doc_id and the text with every span, base or added, replaced by ``mask``; overlapping spans give one mask each where they begin outside the one before.
+
+    Nulls become empty texts; repeated rows, empty tables and other columns are as in scan().
+    """
     rows = scan(docs, window=window).withColumn("spans", F.sort_array(F.concat("base", "added")))
     step = lambda acc, x: F.when(x["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))).otherwise(F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)).alias("out"), x["end"].alias("at")))
     done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))

@@ -261,6 +261,54 @@ def test_pii(spark, odd, none):
     assert pii.redact("a b@c.de f", "email:2:8") == "a [email] f"
 
 
+def test_pii_base_kinds_equal_plain_matching(spark):
+    """Against re over all documents and odd texts: places, counts and hashes of the base kinds."""
+    pieces = ["a.b", "@", "x-y", ".co", "10.0.0.1", ".", "256", "1.2.3.4.5", "4111111111111111", "4111 1111 1111 1111", "-", " ", "+", "49 (30) 123456", "7", "00", "\u00e9", "\U0001f600", "\n", "%_", "+1 555 123 4567 89"]
+    rng = np.random.default_rng(15)
+    rows = [(i, "".join(rng.choice(pieces, int(rng.integers(0, 40)))), "a") for i in range(300)]
+    rows += [(10_000 + r.doc_id, r.text, "a") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    only = lambda s: re.sub("[^0-9]", "", s)
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) < 256 for x in m[0].split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(only(m[0])) <= 19 and luhn(only(m[0]))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(only(m[0])) <= 15),
+    ]
+    got, n, more, planted, caught, spans = {r.doc_id: r for r in pii.report(docs(spark, rows)).collect()}, 0, 0, 0, 0, 0
+    for i, t, _ in rows:
+        found = [[(m.start(), k, m.end()) for m in re.finditer(p, t or "") if good(m)] for k, (p, good) in enumerate(kinds)]
+        n += sum(map(len, found))
+        listed = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(sum(found, []))]
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [len(f) for f in found] and got[i].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(filter(None, got[i].spans.split(",")))
+    assert n > 300
+
+
+def test_pii_field_adds_what_the_patterns_miss(spark):
+    """Planted numbers that no pattern takes whole, and clean texts: what the field adds is measured."""
+    rng = np.random.default_rng(16)
+    words = "the report of that office was sent on monday with all the other letters about it".split()
+    say = lambda: " ".join(rng.choice(words, 12))
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    rows, want = [], {}
+    for i in range(120):
+        phone = f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{digits(4)}"  # without a plus sign
+        head = say() + " call "
+        rows.append((i, f"{head}{phone} {say()}", "a"))
+        want[i] = (len(head), len(head) + len(phone))
+    rows += [(1000 + i, f"{say()} write to a{i}@b.org or +1 555 {digits(3)} {digits(4)} {say()}", "a") for i in range(60)]
+    rows += [(2000 + i, f"{say()} {rng.integers(1, 40)} {say()} {rng.integers(1900, 2030)} {say()}", "a") for i in range(120)]
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in filter(None, r.spans.split(","))] for r in pii.report(docs(spark, rows)).collect()}
+    touched = lambda i: any(a < want[i][1] and want[i][0] < b for a, b in got[i])
+    recall, false = sum(map(touched, want)) / len(want), sum(bool(got[2000 + i]) for i in range(120)) / 120
+    print("recall of planted numbers", recall, "clean texts with a span", false)
+    assert false <= 0.05
+
+
 def test_pii_is_the_same_with_a_small_shape_cache(spark):
     from dataclasses import replace
 
@@ -431,6 +479,50 @@ def test_secrets(spark, odd, none):
     assert "[secret]" in {r.doc_id: r.text for r in secrets.redact(table).collect()}[50] and secrets.report(none).count() == 0
 
 
+def test_secrets_base_kinds_equal_plain_matching(spark):
+    """Against re over all documents and odd texts: places, counts and hashes of the base kinds."""
+    pieces = ["secret", "API-key", "token=", "'", '"', " : ", "=", "a1b2c3", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "\u00e9", "\U0001f600", " ", "\n", "passwd", "xyz.-_/+", "AKIA" + "Z" * 40]
+    rng = np.random.default_rng(12)
+    rows = [(i, "".join(rng.choice(pieces, int(rng.integers(0, 60)))), "a") for i in range(150)]
+    rows += [(10_000 + r.doc_id, r.text, "a") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in secrets.report(docs(spark, rows)).collect()}
+    kinds = [(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) > 5), (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) > 19), (r"[0-9a-f]+", lambda m: len(m[0]) > 23)]
+    n = 0
+    for i, t, _ in rows:
+        found = [[(m.start(), k, m.end()) for m in re.finditer(p, t or "") if good(m)] for k, (p, good) in enumerate(kinds)]
+        n += sum(map(len, found))
+        listed = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(sum(found, [])))
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [len(f) for f in found] and got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+    assert n > 100
+
+
+def test_secrets_of_a_long_text_take_little_time(spark):
+    import time
+
+    rng = np.random.default_rng(13)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 24)) for _ in range(5000)]
+    rows = [(1, " ".join(keys), "a")]
+    began = time.perf_counter()
+    r = secrets.report(docs(spark, rows)).first()
+    assert r.n_hex == 5000 and r.spans == ",".join(f"hex:{25 * k}:{25 * k + 24}" for k in range(5000))
+    assert time.perf_counter() - began < 60
+
+
+def test_running_sums_and_overlaps(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(14)
+    rows = [([int(x) for x in rng.integers(0, 9, n)],) for n in (0, 1, 2, 127, 128, 129, 700)]
+    for r in spark.createDataFrame(rows, "x array<int>").select("x", secrets.running(F.col("x")).alias("s")).collect():
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))]
+    spans = [(int(a), int(a) + int(rng.integers(1, 4))) for a in range(0, 200, 5)]
+    asked = [(a, a + int(rng.integers(1, 6))) for a in range(0, 210)]
+    for own in (spans, spans[:1], []):
+        frame = spark.createDataFrame([((a, b), own) for a, b in asked], "x struct<start:int,end:int>, spans array<struct<start:int,end:int>>")
+        for r in frame.select("x", secrets.overlaps(F.col("x"), F.col("spans")).alias("hit")).collect():
+            assert r.hit == any(a < r.x.end and r.x.start < b for a, b in own)
+
+
 def test_secrets_find_random_keys_of_every_class(spark):
     rng = np.random.default_rng(7)
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
