@@ -242,39 +242,43 @@ def _one_root(*names: str) -> Column:
 
 
 def _side(lists: DataFrame, name: str, *more: str) -> DataFrame:
-    return lists.select("token", *more, *[F.col(c).alias(c + name) for c in ("gid", "n", "rest", "lo", "hi")])
+    return lists.select("token", *more, *[F.col(c).alias(c + name) for c in ("gid", "n", "rest", "open", "lo", "hi")])
 
 
 def _bounded_pairs(found: DataFrame, percent: int, few: Column | None = None) -> DataFrame:
-    """(gidx, gidy, both) of the rows of found, one row a common shingle, whose common shingles leave the similarity open."""
-    pairs = found.groupBy("gidx", "nx", "gidy", "ny").agg(F.count("*").alias("both"), F.min(F.least("restx", "resty")).alias("more"), F.max("c").alias("c"))
+    """(gidx, gidy, both, open) of the rows of found, one row a common shingle, whose common shingles leave the similarity open."""
+    pairs = found.groupBy("gidx", "nx", "gidy", "ny").agg(F.count("*").alias("both"), F.min(F.least("restx", "resty")).alias("more"), F.max("c").alias("c"), F.max("openx").alias("open"))
     enough = _reaches(F.col("both") + F.col("more"), percent)
-    return pairs.where(enough if few is None else enough | ~few).select("gidx", "gidy", "both")
+    return pairs.where(enough if few is None else enough | ~few).select("gidx", "gidy", "both", "open")
 
 
 def _with_leaders(lists: DataFrame, turn: int, leaders: int, percent: int, hot_from: int) -> DataFrame:
     """Pairs of groups: the members of each list and size band with its leaders, unless both are of one component.
 
-    The leaders have the least of ``leaders`` hashes of their number, other ones in every turn; bands move by half
-    their width. A list of up to ``leaders`` groups is nearly covered, so pairs of such lists must also share enough of
-    their prefixes. Of all leaders of its lists a group keeps the one with which it shares most and ``leaders`` others at most,
-    so pairs grow with the groups, not with the lists. Long lists are dealt out in parts. What is left out here is compared in the end.
+    Of the leaders one half has the most shared shingles in the prefix, of all groups or of a random quarter: what such a set
+    holds, its near copies hold too, so even copies that are far from each other are near to it. The others are random. They
+    change in every turn; bands move by half their width. A list of up to ``leaders`` groups is nearly covered, so pairs of
+    such lists must also share enough of their prefixes. Of all leaders of its lists a group keeps those with which it shares
+    most and which have most shared shingles, and ``leaders`` others at most, so pairs grow with the groups, not with the lists.
+    Long lists are dealt out in parts. What is left out here is compared in the end.
     """
     band = F.floor(F.ln("n") / F.lit(log(100 / percent)) + F.lit(turn % 2 / 2))
     rows = lists.withColumn("band", band)
-    one = F.struct("gid", "n", "rest", "lo", "hi")
-    chosen = [F.min_by(one, F.xxhash64("gid", F.lit(turn * leaders + k))).alias(f"l{k}") for k in range(leaders)]
+    one = F.struct("gid", "n", "rest", "open", "lo", "hi")
+    mark = lambda k: F.xxhash64("gid", F.lit(turn * leaders + k))
+    rich = lambda k: F.max_by(one, F.when(F.lit(k + turn == 0) | (F.pmod(mark(k), F.lit(4)) == 0), F.struct("open", mark(k))))
+    chosen = [(F.min_by(one, mark(k)) if k % 2 else rich(k)).alias(f"l{k}") for k in range(leaders)]
     parts = F.ceil(F.col("c") / hot_from)
     lead = rows.groupBy("token", "band").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.max("c").alias("c"), *chosen).where("least <> most")
-    lead = lead.select("token", "band", "c", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("x"))
-    lead = lead.select("token", "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *[F.col(f"x.{c}").alias(c + "x") for c in ("gid", "n", "rest", "lo", "hi")])
+    lead = lead.select("token", "band", "c", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)]))).alias("x")).where("x IS NOT NULL")
+    lead = lead.select("token", "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *[F.col(f"x.{c}").alias(c + "x") for c in ("gid", "n", "rest", "open", "lo", "hi")])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
     pairs = _side(rows, "y", "band", "part", "c").join(lead, ["token", "band", "part"])
     pairs = pairs.where((F.col("gidx") != F.col("gidy")) & ~_one_root("x", "y") & _near(percent))
     pairs = _bounded_pairs(pairs, percent, F.col("c") <= leaders)
-    best = F.max_by("gidx", F.struct("both", F.xxhash64("gidx")))
+    best = [F.max_by("gidx", F.struct(c, F.xxhash64("gidx"))) for c in ("both", "open")]
     others = [F.min_by("gidx", F.xxhash64("gidx", F.lit(turn * leaders + k))) for k in range(leaders)]
-    return pairs.groupBy("gidy").agg(F.array_distinct(F.array(best, *others)).alias("xs")).select(F.explode("xs").alias("gidx"), "gidy")
+    return pairs.groupBy("gidy").agg(F.array_distinct(F.array(*best, *others)).alias("xs")).select(F.explode("xs").alias("gidx"), "gidy")
 
 
 def _all_pairs(lists: DataFrame, percent: int, hot_from: int) -> DataFrame:
@@ -315,7 +319,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(now.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))))
 
 
-def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None = None, chunk_tokens: int = 1 << 20, hot_from: int = 500, rounds: int = 2, leaders: int = 4) -> DataFrame:
+def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None = None, chunk_tokens: int = 1 << 20, hot_from: int = 500, rounds: int = 4, leaders: int = 4) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     docs must be a stored table. Documents link when 100 * intersection >= percent * union; component_id is the smallest
@@ -345,7 +349,7 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None
     members = sets.select("gid", "cid")
     #: Lists: the groups that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.
     lists = sets.select("gid", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
-    lists = lists.select("token", "gid", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest")).distinct()
+    lists = lists.select("token", "gid", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest"), "open").distinct()
     several = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     lists = stored(lists.join(several, "token"))
 
