@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.store import shared_dir, stored
 
-__all__ = ["SPACE_CHARS", "SPACE_CLASS", "ascii_lower", "bounded", "join_hot", "repeated", "shared_dir", "small_batches", "space_words", "split_words", "stored", "table", "unused"]
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "ascii_lower", "bounded", "give_back", "join_hot", "repeated", "shared_dir", "small_batches", "space_words", "split_words", "stored", "table", "tidy", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -31,6 +36,23 @@ def small_batches(df: DataFrame, most: str = "4m") -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns memory that a task's Python code has freed to the system: the worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a partition's batches that gives memory back when it is through."""
+
+    def done(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return done
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

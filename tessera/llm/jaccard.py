@@ -1,6 +1,6 @@
 """N-gram Jaccard join by grouped prefixes, and the components of its links.
 
-1. Tasks turn texts into sets of distinct shingles (64-bit hashes of word n-grams) and pack those of about a million
+1. Tasks turn texts into sets of distinct shingles (64-bit hashes of word n-grams) and pack those of about half a million
    shingles, a chunk, into bins of the hash range. A bin counts its shingles and sends those that occur more than once, with
    their counts, back to their chunks. A shingle of one text alone costs seven bytes of shuffle and goes no further.
 2. All sets follow one order, rarest shingle first, then by hash. A set's prefix is its first
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, stored, unused
+from tessera.llm.common import small_batches, stored, tidy, unused
 from tessera.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -216,9 +216,9 @@ def signatures(docs: DataFrame, *, size: int, percent: int, bins: int, chunk_tok
         if head:
             yield _signed(at, head, numbers, parts, percent)
 
-    packed = small_batches(docs).select("doc_id", "text").mapInArrow(pack, "bin int, chunk long, is_head boolean, packed binary")
-    counted = packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(count, "chunk long, bin int, is_head boolean, packed binary")
-    return counted.repartition("chunk").sortWithinPartitions("chunk", "bin").mapInArrow(sign, SIGNED)
+    packed = small_batches(docs).select("doc_id", "text").mapInArrow(tidy(pack), "bin int, chunk long, is_head boolean, packed binary")
+    counted = packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(tidy(count), "chunk long, bin int, is_head boolean, packed binary")
+    return counted.repartition("chunk").sortWithinPartitions("chunk", "bin").mapInArrow(tidy(sign), SIGNED)
 
 
 def _reaches(overlap: Column, percent: int) -> Column:
@@ -319,7 +319,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stored(now.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))))
 
 
-def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None = None, chunk_tokens: int = 1 << 20, hot_from: int = 500, rounds: int = 4, leaders: int = 4) -> DataFrame:
+def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None = None, chunk_tokens: int = 1 << 19, hot_from: int = 500, rounds: int = 4, leaders: int = 4) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     docs must be a stored table. Documents link when 100 * intersection >= percent * union; component_id is the smallest

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, small_batches, unused
+from tessera.llm.common import bounded, give_back, small_batches, tidy, unused
 
 #: Odd multipliers of the n-gram hash, by position; and code points scored at once.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, *, max_docs: int = 20000, buckets: int = 1 << 16, siz
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
 
     # Bounded: one row a language and bucket.
-    found = named.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = named.mapInPandas(tidy(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(found["lang"].unique()))
     counts = np.zeros((len(langs), buckets + 1))
     counts[[langs.index(x) for x in found["lang"]], found["bucket"].to_numpy(int)] = found["n"]
@@ -140,6 +140,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
                 best[at] = np.array(m.langs, object)[k]
                 sure[at] = 1 / np.exp(s - s[np.arange(len(at)), k][:, None]).sum(axis=1)
             yield pd.DataFrame({"lang_pred": best, "score": sure})
+        give_back()
 
     guess = F.pandas_udf(score, "lang_pred string, score double")(F.col("text"))
     (made,) = unused([*keep, *names], "guess")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import Roll, dealt, ranged, store
-from tessera.llm.common import shared_dir, small_batches, stored
+from tessera.llm.common import shared_dir, small_batches, stored, tidy
 
 MAGIC = b"TOKZ1"
 HEAD = len(MAGIC) + 1 + 32
@@ -136,7 +136,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_doc
             yield pa.record_batch([pa.array([(e.encode(t.as_py()) + end)[:sample_bytes] for t in batch.column(0)], pa.binary())], ["ids"])
         e.forget()
 
-    samples = sorted(bytes(r[0]) for r in small_batches(texts).mapInArrow(ids, "ids binary").collect())
+    samples = sorted(bytes(r[0]) for r in small_batches(texts).mapInArrow(tidy(ids), "ids binary").collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) > 7 else b""
     except zstandard.ZstdError:
@@ -180,7 +180,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, leve
         files.close()
         e.forget()
 
-    written = stored(rows.mapInArrow(put, WRITTEN))
+    written = stored(rows.mapInArrow(tidy(put), WRITTEN))
     #: One row a task: where its first id stands among all.
     parts = written.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
@@ -232,7 +232,7 @@ def read(index: DataFrame, *, chunk: int = 16 << 20, with_ids: bool = False) ->
                 columns.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
             yield pa.record_batch(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return places.mapInArrow(get, schema)
+    return places.mapInArrow(tidy(get), schema)
 
 
 def report(docs: DataFrame, tokenizer: str, *, end_id: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import Roll, dealt, ranged
-from tessera.llm.common import bounded, shared_dir, small_batches, stored
+from tessera.llm.common import bounded, shared_dir, small_batches, stored, tidy
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -99,7 +99,7 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0, max_file: int =
             yield _batch(out, INDEX)
         files.close()
 
-    return stored(rows.mapInArrow(put, INDEX))
+    return stored(rows.mapInArrow(tidy(put), INDEX))
 
 
 def _with_first(rows: DataFrame, twice: DataFrame, most: int = 200_000) -> DataFrame:
@@ -132,7 +132,7 @@ def read(index: DataFrame, *, chunk: int = 32 << 20, gap: int = 64 << 10) -> Dat
         for _, blocks in ranged(batches, gap):
             yield _batch([parse(gzip.decompress(b)) for b in blocks], RECORD)
 
-    return places.mapInArrow(get, RECORD)
+    return places.mapInArrow(tidy(get), RECORD)
 
 
 def report(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
