@@ -3,7 +3,7 @@
 The field labels whitespace words with O or a kind of personal data. Its features are properties of a word's
 shape (letters, digits and punctuation classes, never the letters themselves) and the shapes of both
 neighbours. It is trained from a small labelled table: windows around pattern matches in a bounded
-sample of documents. Decoding runs Viterbi over all words of a batch of documents at once.
+sample of documents, with telephone numbers without a plus sign labelled too. Decoding runs Viterbi over all words of a batch of documents at once.
 """
 
 from __future__ import annotations
@@ -185,11 +185,36 @@ def word_labels(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
+#: Forms in which telephone numbers are written without a plus sign, as shapes of words and as a pattern.
+PLAIN_PHONES = ((b"(ddd)", b"ddd-dddd"), (b"ddd-ddd-dddd",), (b"ddd.ddd.dddd",), (b"(ddd)", b"ddd", b"dddd"))
+PLAIN_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-]|\.[0-9])")
+
+
+def without_plus(words: list[bytes], labels: np.ndarray) -> tuple[list[bytes], np.ndarray] | None:
+    """A window whose first telephone number is written without a plus sign, in a form that the window's length picks; None if there is none."""
+    at = np.flatnonzero(labels == LABELS.index("phone"))
+    if not len(at) or not words[at[0]].startswith(b"+"):
+        return None
+    a = b = int(at[0])
+    while b < len(words) and labels[b] == labels[a]:
+        b += 1
+    form = PLAIN_PHONES[sum(map(len, words)) % len(PLAIN_PHONES)]
+    return [*words[:a], *form, *words[b:]], np.r_[labels[:a], np.full(len(form), labels[a]), labels[b:]].astype(np.int8)
+
+
+def weak_spans(text: str) -> list[tuple[int, int, int]]:
+    """The base spans, and outside of them telephone numbers without a plus sign: labels for training alone."""
+    base = base_spans(text)
+    plain = [(m.start(), 3, m.end()) for m in PLAIN_PHONE.finditer(text)] if DIGITS.search(text) else []
+    return sorted([*base, *(x for x in plain if not any(a < x[2] and x[0] < b for a, _, b in base))])
+
+
 def labelled_table(docs: DataFrame, *, max_docs: int = 4000, max_windows: int = 1500, around: int = 6) -> pd.DataFrame:
     """The training table (shapes, labels), one window a row, from at most about max_docs documents.
 
-    Documents are chosen by a hash of the text. Each gives the windows around its base spans and one window
-    from its middle; rows beyond max_windows, in order, are left out.
+    Documents are chosen by a hash of the text. Each gives the windows around its weak spans and one window
+    from its middle, and windows with a telephone number once more with a form of it that the patterns don't know; rows beyond
+    max_windows, in order, are left out. Null texts don't count, an empty table gives none.
     """
     texts = docs.where(F.col("text").isNotNull()).select("text")
     share = max_docs / max(1, texts.count())
@@ -200,14 +225,15 @@ def labelled_table(docs: DataFrame, *, max_docs: int = 4000, max_windows: int =
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                spans = base_spans(text)
+                spans = weak_spans(text)
                 words, labels = shapes(text), word_labels(text, spans)
                 hits = np.flatnonzero(labels)
                 centres = [len(words) // 2, *hits[: 4 * around : 2]]
                 for c in centres[: 1 + 8]:
                     a, b = max(0, c - around), c + around + 1
                     if words[a:b]:
-                        rows.append((b" ".join(words[a:b]), labels[a:b].tobytes()))
+                        for w, marks in filter(None, [(words[a:b], labels[a:b]), without_plus(words[a:b], labels[a:b])]):
+                            rows.append((b" ".join(w), marks.tobytes()))
             yield pd.DataFrame(rows, columns=["shapes", "labels"])
 
     made = texts.mapInPandas(cut, "shapes binary, labels binary").distinct().orderBy(F.xxhash64("shapes", "labels")).limit(max_windows)
@@ -255,7 +281,7 @@ def train(table: pd.DataFrame, *, rounds: int = 100, rate: float = 0.15, decay:
 
 
 def _plausible(text: str, kind: int, a: int, b: int) -> bool:
-    """Whether a labelled stretch can be of its kind: an @ with a domain, four bytes, a Luhn number, 7 to 15 digits."""
+    """Whether a labelled stretch can be of its kind: an @ with a domain, four bytes, a Luhn number, 7 to 15 digits behind a plus sign or in groups of a telephone number."""
     part = text[a:b]
     digits = "".join(DIGITS.findall(part))
     if kind == 0:
@@ -263,7 +289,7 @@ def _plausible(text: str, kind: int, a: int, b: int) -> bool:
     if kind == 1:
         m = IP.fullmatch(part)
         return bool(m) and all(map(_small, m.groups()))
-    return 12 <= len(digits) <= 19 and bool(CARD.fullmatch(part)) and _luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+    return 12 <= len(digits) <= 19 and bool(CARD.fullmatch(part)) and _luhn(digits) if kind == 2 else bool(PLAIN_PHONE.fullmatch(part)) or part.startswith("+") and 7 <= len(digits) <= 15
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
