@@ -287,8 +287,7 @@ def _all_pairs(lists: DataFrame, percent: int, hot_from: int) -> DataFrame:
     Sizes that allow the similarity lie in one band or in the next. Long lists are dealt out in parts.
     """
     parts = F.ceil(F.col("c") / hot_from)
-    mixed = lists.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
-    rows = lists.join(mixed, "token").withColumn("band", F.floor(F.ln("n") / F.lit(log(100 / percent))))
+    rows = lists.join(_mixed(lists), "token").withColumn("band", F.floor(F.ln("n") / F.lit(log(100 / percent))))
     right = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     right = _side(right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), "y", "band", "part")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("gid"), parts))
@@ -297,11 +296,20 @@ def _all_pairs(lists: DataFrame, percent: int, hot_from: int) -> DataFrame:
     return _bounded_pairs(pairs, percent).select("gidx", "gidy")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The lists of rows (token, lo, hi) that are not within one component, by token."""
+    return rows.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, slices: int = 16) -> DataFrame:
     """The (a, b) of pairs (a, b) of classes whose sets reach the similarity.
 
-    Partners of a class come in at most ``slices`` rows, so that one with very many is no hot key.
+    Partners of a class come in at most ``slices`` rows, so that one with very many is no hot key. Only sets that are in a pair
+    are laid out for the joins.
     """
+    pairs = stored(pairs.select("a", "b"))
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = stored(sets.join(ends, "cid", "left_semi").select("cid", "n", "tokens"))
     left, right = (sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
     packed = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(slices)).alias("slice")).agg(F.collect_set("b").alias("bs"))
     both = packed.join(left, "a").select("a", "na", "ta", F.explode("bs").alias("b")).join(right, "b")
@@ -348,15 +356,19 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None
     sets = stored(open_.join(classes, ["digest", "chunk"]).select(F.col("rep").alias("cid"), "gid", "n", "prefix", "tokens"))
     members = sets.select("gid", "cid")
     #: Lists: the groups that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.
-    lists = sets.select("gid", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
-    lists = lists.select("token", "gid", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest"), "open").distinct()
+    lists = sets.select("gid", "n", "prefix").dropDuplicates(["gid"]).select("gid", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
+    lists = lists.select("token", "gid", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest"), "open")
     several = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     lists = stored(lists.join(several, "token"))
 
     for turn in range(rounds):
         rooted = _rooted(members, roots)
         groups = _spans(rooted)
-        apart = _with_leaders(lists.join(groups, "gid"), turn, leaders, percent, hot_from)
+        rows = lists.join(groups, "gid")
+        if turn:  # a list that lies within one component stays so: later turns leave it out
+            rows = stored(rows.join(_mixed(rows), "token", "left_semi"))
+            lists = rows.drop("lo", "hi")
+        apart = _with_leaders(rows, turn, leaders, percent, hot_from)
         pairs = apart.unionByName(groups.where("lo <> hi").select(F.col("gid").alias("gidx"), F.col("gid").alias("gidy")))
         one = rooted.groupBy("gid").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(turn))).alias("x"))
         one = one.select(F.col("gid").alias("gidx"), F.col("x.cid").alias("a"), F.col("x.root").alias("ra"))
