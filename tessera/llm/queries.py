@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, hilbert, jaccard, langid, mixing, pii, quality, secrets, tokenfiles, warc
+from tessera.llm import decontam, exactdedup, hilbert, jaccard, langid, mixing, pii, quality, secrets, spelling, tokenfiles, warc, whitening
 from tessera.llm.common import repeated, table
 
 
@@ -62,6 +62,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"), 8)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older half of the range of ids is the history that is indexed, the newer half is admitted against it."""
+    return exactdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -142,6 +155,40 @@ SELECT page_id, payload_bytes,
 FROM s
 """
 
+#: Words by their checksum (CRC-32 over the bytes of UTF-8, by its polynomial), near pairs by what is left without one code point,
+#: chains of forms by recursion.
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+own AS (SELECT d, w, count(*) AS k FROM runs WHERE length(w) >= 6 GROUP BY ALL),
+h AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(d || ':' || w, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END))),
+    lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS h FROM own, crc),
+v AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+gap AS (SELECT word, n, length(word) AS l, i, w1 || '_' || w2 AS hole, w1 || w2 AS less FROM (SELECT word, n, i, word[:i] AS w1, word[i + 2:] AS w2 FROM (SELECT *, unnest(range(length(word))) AS i FROM v))),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gap a JOIN gap b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM gap g JOIN v ON g.less = v.word
+  UNION SELECT v.word, g.word, g.n FROM gap g JOIN v ON g.less = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS cur FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.cur WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, cur FROM walk JOIN f ON f.word = walk.cur WHERE f.form IS NULL)
+SELECT f.word, form, ends.cur AS root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN ends ON ends.word = f.word
+"""
+
+ORACLES["op13_exact_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
@@ -153,4 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_exact_dedup": op13_exact_dedup,
 }
