@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.jobs import fitting
+from tessera.operators import scan, tasksums
 from tessera.operators.kalman import Model, matrix
-from tessera.sources.store import stored
+from tessera.sources.store import shared_dir
+
+#: More steps than a trial has: inference of counts works on whole trials.
+WHOLE = 1 << 40
 
 
 def _solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,41 +135,50 @@ def _loading_terms(model: Model, y: np.ndarray, x: np.ndarray, v: np.ndarray) ->
     return {"grad": grad, "hess": hess.reshape(len(model.d), -1)}
 
 
-def e_step(packed: DataFrame, model: Model) -> dict[str, np.ndarray]:
-    """Summed moments of the dynamics and the loadings' Newton terms over all trials."""
-    p = len(model.d)
+def e_step(rows: DataFrame, model: Model) -> tasksums.Arrays:
+    """Summed moments of the dynamics and the loadings' Newton terms over all trials, one row of ``scan.chunks`` each."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        y = matrix(frame, p)
+    def run(y: np.ndarray) -> tasksums.Arrays:
         x, v, cross, bound = laplace(model, y)
         e = v + x[:, :, None] * x[:, None, :]
         lag = cross[1:] + x[1:, :, None] * x[:-1, None, :]
         one = lambda a: np.atleast_2d(np.asarray(a, float))
-        stats = {"ll": one(bound), "trials": one(1.0), "steps": one(len(y) - 1.0), "x0": one(x[0]), "x0x0": e[0], "past": e[:-1].sum(0), "next": e[1:].sum(0), "lag": lag.sum(0), **_loading_terms(model, y, x, v)}
-        rows = [(k, i, j, s) for k, a in stats.items() for (i, j), s in np.ndenumerate(a)]
-        return pd.DataFrame(rows, columns=["name", "i", "j", "s"])
+        return {"ll": one(bound), "trials": one(1.0), "steps": one(len(y) - 1.0), "x0": one(x[0]), "x0x0": e[0], "past": e[:-1].sum(0), "next": e[1:].sum(0), "lag": lag.sum(0), **_loading_terms(model, y, x, v)}
 
-    return fitting.gathered(packed.groupBy("trial").applyInPandas(run, fitting.STATS))
+    def part(batch: pa.RecordBatch) -> Iterator[tasksums.Arrays]:
+        for k in range(batch.num_rows):
+            yield run(scan.cells(batch.slice(k, 1).to_pylist()[0], model)[0])
 
+    return tasksums.summed(rows, part)
 
-def fit(packed: DataFrame, start: Model, rounds: int = 5, gain: float = 1e-6) -> tuple[Model, list[float]]:
+
+def fit(packed: DataFrame, start: Model, rounds: int = 5, gain: float = 1e-6, folder: str | None = None) -> tuple[Model, list[float]]:
     """Laplace EM: closed-form dynamics, one damped Newton step of every variable's loading and offset a round.
 
-    It ends after ``rounds`` or as soon as the evidence gains no more than ``gain``. packed holds every step of a trial's span.
+    It ends after ``rounds`` or as soon as the evidence gains no more than ``gain``; the model with the largest evidence is returned,
+    so a last round that made it fall doesn't count. Every round's parameters are appended to a table in ``folder``, from which a
+    later fit goes on. packed holds every step of a trial's span. A panel without rows gives the start model and no trace.
     """
-    packed = stored(packed.repartition("trial"))
-    model, trace = start, []
-    for _ in range(rounds):
-        s = e_step(packed, model)
-        trace.append(float(s["ll"][0, 0]))
-        if len(trace) > 1 and trace[-1] - trace[-2] <= gain:
+    spark = packed.sparkSession
+    folder = folder or shared_dir(spark) + "/rounds"
+    rows = scan.chunks(packed, WHOLE)
+    number, model, trace = fitting.resumed(spark, folder) or (0, start, [])
+    best = start if not trace else fitting.at_round(spark, folder, int(np.argmax(trace)), start)
+    while number < rounds and not (len(trace) > 1 and trace[-1] - trace[-2] <= gain):
+        s = e_step(rows, model)
+        if not s:
             break
-        a, q, mu0, v0 = fitting.dynamics(s)
+        trace.append(float(s["ll"][0, 0]))
+        if trace[-1] >= max(trace):
+            best = model
+        a, q, mu0, v0, _ = fitting.dynamics(s, model)
         n = len(mu0)
         step = np.linalg.solve(s["hess"].reshape(len(model.d), n + 1, n + 1) + 1e-3 * np.eye(n + 1), s["grad"][:, :, None])[:, :, 0]
         step *= np.minimum(1.0, 1.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-12))
-        model = Model(a, q, mu0, v0, model.C + step[:, :n], model.d + step[:, n], model.R)
-    return model, trace
+        model, number = Model(a, q, mu0, v0, model.C + step[:, :n], model.d + step[:, n], model.R), number + 1
+        fitting.append_round(spark, folder, model, number, trace[-1])
+    fell = len(trace) > 1 and trace[-1] < trace[-2]
+    return best if fell else model, trace
 
 
 def predict(packed: DataFrame, model: Model, condition: tuple[int, int], target: tuple[int, int]) -> DataFrame:

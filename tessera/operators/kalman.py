@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Mean and covariance of a state.
+State = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Model:
-    """x' = A x + noise(Q), y = C x + d + noise(diag R), x_0 ~ (mu0, V0)."""
+    """x' = A x + B u' + noise(Q), y = C x + d + noise(diag R), x_0 ~ (mu0, V0); without B there are no inputs u."""
 
     A: np.ndarray
     Q: np.ndarray
@@ -23,16 +27,25 @@ class Model:
     C: np.ndarray
     d: np.ndarray
     R: np.ndarray
+    B: np.ndarray | None = None
+
+    def drift(self, u: np.ndarray | None) -> np.ndarray:
+        """What the input of a step adds to its state."""
+        return np.zeros(len(self.mu0)) if self.B is None or u is None else self.B @ u
 
 
-def filtered(model: Model, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Means and covariances before and after each step and the log-likelihood; NaN cells aren't observed."""
+def filtered(model: Model, y: np.ndarray, u: np.ndarray | None = None, before: State | None = None) -> tuple[np.ndarray, ...]:
+    """Means and covariances before and after each step and the log-likelihood; NaN cells aren't observed.
+
+    before: the filtered state of the step before the first one; without it the first step is the trial's, which no input reaches.
+    """
     n, steps = len(model.mu0), len(y)
     m, p = np.zeros((steps, n)), np.zeros((steps, n, n))
     mu, v, ll = np.zeros((steps, n)), np.zeros((steps, n, n)), np.zeros(steps)
     for t in range(steps):
-        m[t] = model.mu0 if t == 0 else model.A @ mu[t - 1]
-        p[t] = model.V0 if t == 0 else model.A @ v[t - 1] @ model.A.T + model.Q
+        past = (mu[t - 1], v[t - 1]) if t else before
+        m[t] = model.mu0 if past is None else model.A @ past[0] + model.drift(None if u is None else u[t])
+        p[t] = model.V0 if past is None else model.A @ past[1] @ model.A.T + model.Q
         on = np.isfinite(y[t])
         mu[t], v[t] = m[t], p[t]
         if on.any():
@@ -50,14 +63,29 @@ def filtered(model: Model, y: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def smoothed(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Smoothed means, covariances, covariances with the step before, and the log-likelihood."""
-    m, p, mu, v, ll = filtered(model, y)
+    return smoothed_segment(model, y)[:4]
+
+
+def smoothed_segment(model: Model, y: np.ndarray, u: np.ndarray | None = None, before: State | None = None, after: State | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, State | None]:
+    """``smoothed`` for consecutive steps of a trial, and the smoothed state of the step before them.
+
+    before: the filtered state of that step (None at a trial's start); after: the smoothed state of the last step (None at its end).
+    """
+    m, p, mu, v, ll = filtered(model, y, u, before)
     xs, vs, cross = mu.copy(), v.copy(), np.zeros_like(v)
-    for t in range(len(y) - 2, -1, -1):
-        j = v[t] @ model.A.T @ np.linalg.inv(p[t + 1])
-        xs[t] = mu[t] + j @ (xs[t + 1] - m[t + 1])
-        vs[t] = v[t] + j @ (vs[t + 1] - p[t + 1]) @ j.T
+    if after is not None:
+        xs[-1], vs[-1] = after
+    first = None
+    for t in range(len(y) - 2, -1 if before is None else -2, -1):
+        past = (mu[t], v[t]) if t >= 0 else before
+        j = past[1] @ model.A.T @ np.linalg.inv(p[t + 1])
+        x, c = past[0] + j @ (xs[t + 1] - m[t + 1]), past[1] + j @ (vs[t + 1] - p[t + 1]) @ j.T
         cross[t + 1] = vs[t + 1] @ j.T
-    return xs, vs, cross, float(ll.sum())
+        if t >= 0:
+            xs[t], vs[t] = x, c
+        else:
+            first = (x, c)
+    return xs, vs, cross, float(ll.sum()), first
 
 
 def matrix(frame: pd.DataFrame, n_vars: int) -> np.ndarray:
