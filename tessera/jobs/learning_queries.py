@@ -179,26 +179,6 @@ def mstep_dynamics_stats(spark, sf):
     return rounded(rows.unionByName(after.select(F.lit("next").alias("side"), F.col("k").alias("a"), F.col("f").alias("b"), "s")), 4)
 
 
-def _newton_sql(rounds: int) -> str:
-    parts = ["c0 AS (SELECT DISTINCT var, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS loss FROM r)"]
-    for i in range(rounds):
-        parts.append(f"""s{i} AS (SELECT var, b0, b1, sum(y - exp(d)) - 0.1 * b0 AS g0, sum((y - exp(d)) * u) - 0.1 * b1 AS g1, sum(exp(d)) + 0.1 AS h00, sum(exp(d) * u) AS h01, sum(exp(d) * u * u) + 0.1 AS h11, sum(exp(d) - y * d) + 0.05 * (b0 * b0 + b1 * b1) AS loss
-FROM (SELECT var, y, u, b0, b1, least(b0 + b1 * u + m + v / 2, 50) AS d FROM r JOIN c{i} USING (var)) GROUP BY var, b0, b1),
-c{i + 1} AS (SELECT var, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1, loss FROM s{i})""")
-    return ",\n".join(parts)
-
-
-@query("poisson_regression", f"""WITH {COUNTS}, r AS (SELECT var, CAST(y AS DOUBLE) AS y, t / 24.0::DOUBLE AS u, CASE WHEN t < 12 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END AS m, 0.05::DOUBLE AS v FROM y),
-{_newton_sql(8)} SELECT var, round(b0, 5) + 0.0 AS b0, round(b1, 5) + 0.0 AS b1, round(loss, 3) AS loss FROM c8""")
-def poisson_regression(spark, sf):
-    """Counts by the hour, with a known offset and its variance."""
-    y = counts(spark, sf)
-    offset = F.when(F.col("t") < 12, 0.1).otherwise(F.lit(-0.1))
-    rows = y.select("var", F.col("y").cast("double").alias("y"), (F.col("t") / 24.0).alias("u"), offset.alias("m"), F.lit(0.05).alias("v"))
-    made = learning.poisson_regression(rows, rounds=8)
-    return made.select("var", (F.round("b0", 5) + 0.0).alias("b0"), (F.round("b1", 5) + 0.0).alias("b1"), F.round("loss", 3).alias("loss"))
-
-
 #: A model of two independent latent series whose loadings are each variable's mean and deviation.
 MODEL = VECTORS + """,
 c AS (SELECT var, unnest([0, 1]) AS k, unnest([a, b]) AS w FROM (SELECT var, avg(y) AS a, stddev_pop(y) AS b FROM e GROUP BY var)),

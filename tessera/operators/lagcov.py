@@ -30,11 +30,22 @@ def packed(panel: DataFrame, n_vars: int, *, every_step: bool = False) -> DataFr
     rows = panel.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
     cells = rows.groupBy("trial", "t").agg(F.map_from_entries(F.collect_list(F.struct("var", F.col("y").cast("double").alias("y")))).alias("m"))
     if every_step:
-        spans = panel.groupBy("trial").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-        cells = spans.select("trial", F.explode(F.sequence("a", "b")).alias("t")).join(cells, ["trial", "t"], "left")
+        cells = every(panel.groupBy("trial").agg(F.min("t").alias("a"), F.max("t").alias("b"))).join(cells, ["trial", "t"], "left")
     return cells.select("trial", "t", F.transform(F.sequence(F.lit(0), F.lit(n_vars - 1)), lambda v: F.element_at("m", v)).alias("y"))
 
 
+def every(spans: DataFrame, block: int = 10_000) -> DataFrame:
+    """(trial, t) for each step from a to b of spans (trial, a, b), by arrays of at most ``block`` steps and one of their number.
+
+    A span of more than block^2 steps takes as many arrays of the second kind as it needs.
+    """
+    far = lambda first, last, step: F.explode(F.sequence(first, last, F.lit(step).cast("long")))
+    rows = spans.select("trial", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    for step in (block * block, block):
+        rows = rows.select("trial", far(F.col("a"), F.col("b"), step).alias("a"), "b").withColumn("b", F.least("b", F.col("a") + step - 1))
+    return rows.select("trial", far(F.col("a"), F.col("b"), 1).alias("t")).withColumn("t", F.col("t").cast("int"))
+
+
 def _means(rows: DataFrame, n_vars: int) -> np.ndarray:
     """Means over the observed cells of packed rows; NaN where there are none. One row a variable is collected."""
     out = np.full(n_vars, np.nan)
@@ -97,7 +108,8 @@ def window_cov(panel: DataFrame, n_vars: int, k: int) -> DataFrame:
     """(r, c, i, j, q): covariances of future and past blocks of k steps, over all full windows of 2 k steps of all trials.
 
     Series are centred within their trials; trials of at most two windows don't count. Block (r, c) pairs step k + r of a
-    window with step k - 1 - c. Every trial's steps are 0 to its last one, all observed.
+    window with step k - 1 - c. Each pair's sum is divided by the products that were seen, which without unseen cells is the number of
+    windows; pairs without any have no row. A trial's steps begin at 0.
     """
     centred = panel.join(panel.groupBy("trial", "var").agg(F.avg("y").alias("mean")), ["trial", "var"])
     rows = stored(packed(centred.select("trial", "var", "t", (F.col("y") - F.col("mean")).alias("y")), n_vars))
@@ -107,16 +119,18 @@ def window_cov(panel: DataFrame, n_vars: int, k: int) -> DataFrame:
     now = now.where(F.col("t").between(k + F.col("x.r"), k - 1 + F.col("x.r") + F.col("windows")))
     now = now.select("trial", (F.col("x.r") * k + F.col("x.c")).alias("m"), (F.col("t") - F.col("x.r") - F.col("x.c") - 1).alias("u"), "now")
     sums = _products(now.join(rows.select("trial", F.col("t").alias("u"), F.col("y").alias("before")), ["trial", "u"]), np.zeros(n_vars))
-    total = trials.agg(F.sum("windows").alias("total"))
-    return sums.join(F.broadcast(total)).select(F.floor(F.col("m") / k).cast("int").alias("r"), (F.col("m") % k).alias("c"), "i", "j", (F.col("s") / F.col("total")).alias("q"))
+    return sums.select(F.floor(F.col("m") / k).cast("int").alias("r"), (F.col("m") % k).alias("c"), "i", "j", (F.col("s") / F.col("n")).alias("q"))
 
 
 def sample_cov(panel: DataFrame, n_vars: int, k: int, l: int) -> DataFrame:  # noqa: E741
     """(m, i, j, q) for m < k + l: sample covariance of y_i(t + m) and y_j(t) over the same steps t for every lag.
 
-    These are all steps of a trial but its last k + l; panels are without gaps. A constant as one more variable
-    gives the sums that centre each lag's own steps.
+    These are all steps of a trial but its last k + l. A constant as one more variable gives the sums that centre each lag's own
+    steps, so a panel with unseen cells or steps is refused: its lags would have different steps.
     """
+    gaps = panel.groupBy("trial").agg((F.count("y") - (F.max("t") - F.min("t") + 1).cast("long") * n_vars).alias("gaps")).where("gaps <> 0")
+    if not gaps.isEmpty():
+        raise ValueError("sample covariances need every cell of every step")
     rows = packed(panel, n_vars).select("trial", "t", F.concat("y", F.array(F.lit(1.0))).alias("y"))
     rows = stored(rows.join(panel.groupBy("trial").agg((F.max("t") - k - l).alias("last")), "trial"))
     pairs = _lagged(rows.select("trial", "t", "y"), k + l).join(rows.select("trial", "last").distinct(), "trial").where(F.col("t") - F.col("m") <= F.col("last"))

@@ -6,6 +6,11 @@ Latent means come as long tables (trial, t, k, x), their covariances as (trial,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,23 +64,99 @@ def dynamics_moments(features: DataFrame, covs: DataFrame, cross: DataFrame) ->
     return past, both.groupBy("k", "f").agg(F.sum(F.col("x") * F.col("z") + F.coalesce("v", F.lit(0.0))).alias("s"))
 
 
-def poisson_regression(rows: DataFrame, *, rounds: int = 8, ridge: float = 0.1, most: float = 50.0) -> DataFrame:
-    """(var, b0, b1, loss) for rows (var, y, u, m, v): y ~ Poisson(exp(b0 + b1 u + m + v / 2)), penalty ridge / 2 (b0^2 + b1^2).
+TERMS = "var int, sums array<double>"
+STATE = "var int, b array<double>, loss double, step array<double>, gain double, scale double, slope double, n double, done boolean"
+
+
+def _terms(rows: DataFrame, p: int) -> DataFrame:
+    """(var, sums): count, loss, gradient and packed Hessian of the negative log-likelihood at ``try`` over rows (var, y, z, offset, try).
 
-    Newton steps from zero, each one grouped sum and a 2 x 2 solve in closed form; loss is the penalised negative
-    log-likelihood, without the factorials, before the last step. The coefficients, one row a variable, are stored between steps.
+    A task holds one packed line a variable and sends it once it has ``held`` of them; lines of one variable are added up by Spark.
     """
-    now = stored(rows.select("var").distinct().select("var", F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"), F.lit(0.0).alias("loss")))
+    upper = np.triu_indices(p)
+    held_at_most = max(1, 1 << 22 >> (2 * p.bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["var", "sums"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            var, y, offset = (batch.column(c).to_numpy() for c in ("var", "y", "offset"))
+            z, b = (batch.column(c).flatten().to_numpy().reshape(len(y), p) for c in ("z", "try"))
+            drive = (z * b).sum(axis=1) + offset
+            with np.errstate(over="ignore"):
+                rate = np.exp(drive)  # infinite for a step too far, which is refused
+            for v in np.unique(var):
+                own = var == v
+                r, x = rate[own], z[own]
+                with np.errstate(invalid="ignore"):
+                    hess = (x * r[:, None]).T @ x
+                    line = np.concatenate([[own.sum(), (r - y[own] * drive[own]).sum()], x.T @ (r - y[own]), hess[upper]])
+                held[int(v)] = held[int(v)] + line if int(v) in held else line
+            if len(held) >= held_at_most:
+                yield sent()
+                held.clear()
+        if held:
+            yield sent()
+
+    made = rows.select("var", "y", "z", "offset", "try").mapInArrow(run, TERMS)
+    width = 2 + p + len(upper[0])
+    return made.groupBy("var").agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(width)]).alias("sums"))
+
+
+def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray = 0.1, rounds: int = 100, tolerance: float = 1e-16) -> DataFrame:
+    """(var, b array, loss, slope, n) for rows (var, y, z array of p regressors, offset): y ~ Poisson(exp(b z + offset)), penalty b' P b / 2.
+
+    penalty: P, or the factor of a unit matrix. Newton's method for all variables at once: a round is one pass over the rows, in which each
+    variable tries one point. Where the loss falls enough the step is taken and a new one is made, else it is halved. The start is
+    the least squares fit of the logarithm of the mean rate, so large counts begin near their optimum. It ends when no variable's
+    step promises more than ``tolerance`` of its loss. loss: the penalised negative log-likelihood without the factorials; slope: the largest entry
+    of its gradient. Rows with null y, z or offset don't count; without penalty, a variable without any count has no optimum and
+    stops far out. State is one row a variable and is stored between rounds; so are the rows, once.
+    """
+    P = np.asarray(penalty, float) * np.eye(p) if np.ndim(penalty) == 0 else np.asarray(penalty, float)
+    rows = stored(rows.where("y IS NOT NULL AND z IS NOT NULL AND offset IS NOT NULL").select(F.col("var").cast("int").alias("var"), F.col("y").cast("double").alias("y"), "z", F.col("offset").cast("double").alias("offset")))
+    mean = rows.groupBy("var").agg(F.log(F.greatest(F.sum("y"), F.lit(0.5)) / F.sum(F.exp("offset"))).alias("level"), *[F.avg(F.get("z", F.lit(k))).alias(f"z{k}") for k in range(p)])
+    norm = sum(F.col(f"z{k}") ** 2 for k in range(p))
+    first = mean.select("var", F.array(*[F.when(norm > 0, F.col("level") * F.col(f"z{k}") / norm).otherwise(0.0) for k in range(p)]).alias("b"))
+    none, upper = F.lit(None).cast("double"), np.triu_indices(p)
+    state = stored(first.select("var", "b", none.alias("loss"), F.array_repeat(F.lit(0.0), p).alias("step"), none.alias("gain"), F.lit(1.0).alias("scale"), none.alias("slope"), none.alias("n"), F.lit(False).alias("done")))
+
+    def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([moved(r) for r in frame.itertuples(index=False)], columns=[c.split()[0] for c in STATE.split(", ")])
+
+    def moved(r) -> tuple:
+        """A variable's next line: its step taken and a new one made, or its step halved."""
+        b, step, sums = np.asarray(r.b, float), np.asarray(r.step, float), np.asarray(r.sums, float)
+        at = b + r.scale * step
+        loss, grad = sums[1] + at @ P @ at / 2, sums[2 : 2 + p] + P @ at
+        known = r.loss is not None and r.loss == r.loss
+        if known and not loss <= r.loss - 1e-4 * r.scale * r.gain + 1e-12 * abs(r.loss):
+            return r.var, b, r.loss, step, r.gain, r.scale / 2, r.slope, r.n, r.scale < 1e-10
+        hess = np.zeros((p, p))
+        hess[upper] = sums[2 + p :]
+        hess = hess + np.triu(hess, 1).T + P
+        new = np.linalg.lstsq(hess + 1e-12 * np.trace(hess) / p * np.eye(p), -grad, rcond=None)[0]
+        gain = float(-grad @ new)
+        return r.var, at, loss, new, gain, 1.0, np.abs(grad).max(), sums[0], gain <= tolerance * max(abs(loss), 1.0)
+
     for _ in range(rounds):
-        drive = F.col("b0") + F.col("b1") * F.col("u") + F.col("m") + F.col("v") / 2
-        one = rows.join(now.drop("loss"), "var").withColumn("drive", drive).withColumn("rate", F.exp(F.least("drive", F.lit(most))))
-        e, u, rate = F.col("y") - F.col("rate"), F.col("u"), F.col("rate")
-        sums = one.groupBy("var", "b0", "b1").agg(F.sum(e).alias("g0"), F.sum(e * u).alias("g1"), F.sum(rate).alias("h00"), F.sum(rate * u).alias("h01"), F.sum(rate * u * u).alias("h11"), F.sum(rate - F.col("y") * F.col("drive")).alias("cost"))
-        g0, g1 = F.col("g0") - ridge * F.col("b0"), F.col("g1") - ridge * F.col("b1")
-        h00, h11 = F.col("h00") + ridge, F.col("h11") + ridge
-        det = h00 * h11 - F.col("h01") ** 2
-        b0 = F.col("b0") + (h11 * g0 - F.col("h01") * g1) / det
-        b1 = F.col("b1") + (h00 * g1 - F.col("h01") * g0) / det
-        loss = F.col("cost") + ridge / 2 * (F.col("b0") ** 2 + F.col("b1") ** 2)
-        now = stored(sums.select("var", b0.alias("b0"), b1.alias("b1"), loss.alias("loss")))
-    return now
+        open_ = state.where("NOT done")
+        tried = open_.select("var", F.zip_with("b", F.transform("step", lambda s: s * F.col("scale")), lambda a, s: a + s).alias("try"))
+        sums = _terms(rows.join(tried, "var"), p)
+        moved_on = open_.join(sums, "var").mapInPandas(update, STATE)
+        state = stored(moved_on.unionByName(state.where("done")))
+        if state.where("NOT done").isEmpty():
+            break
+    return state.select("var", "b", "loss", "slope", F.col("n").cast("long").alias("n"))
+
+
+def smoothness(p: int, weight: float, ridge: float = 0.0) -> np.ndarray:
+    """The penalty matrix of squared differences between neighbouring coefficients, as a smooth rate over time asks for."""
+    d = np.diff(np.eye(p), axis=0)
+    return weight * d.T @ d + ridge * np.eye(p)

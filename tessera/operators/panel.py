@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.asof import as_of
+from tessera.sources.store import stored
+
 
 def series():
     return W.partitionBy("trial", "var").orderBy("t")
@@ -51,15 +54,31 @@ def catalog(panel: DataFrame) -> DataFrame:
     return panel.groupBy("experiment").agg(F.countDistinct("t").alias("n_t"), (F.max("t") + 1).cast("long").alias("length"), F.countDistinct("var").alias("n_var"), F.count("*").alias("n_cells"))
 
 
+def active(steps: DataFrame, schedule: DataFrame) -> DataFrame:
+    """steps (t) with the pop_id of the segment t_start <= t < t_end that holds each; null outside all segments.
+
+    Time is cut into about four blocks a segment, so that a segment of any length goes to few blocks; within a block the
+    last segment to begin is carried forward. Where segments overlap that one counts.
+    """
+    span = schedule.where("t_end > t_start").agg(F.count("*").alias("n"), F.min("t_start").alias("a"), F.max("t_end").alias("b")).first()
+    width = max(1, -(-(span["b"] - span["a"]) // (4 * span["n"]))) if span["n"] else 1
+    block = lambda c: F.floor(F.col(c) / width)
+    marks = schedule.where("t_end > t_start").withColumn("last", F.col("t_end") - 1)
+    marks = marks.select(F.explode(F.sequence(block("t_start"), block("last"))).alias("block"), "t_start", F.struct("t_start", "t_end", "pop_id").alias("seg"))
+    marks = marks.select("block", F.greatest(F.col("t_start").cast("long"), F.col("block") * width).alias("t"), "seg")
+    found = as_of(steps.select(F.col("t").cast("long").alias("t"), block("t").alias("block")), marks, ["block"], "t", "seg", "seg")
+    return found.select("t", F.when(F.col("t") < F.col("seg.t_end"), F.col("seg.pop_id")).alias("pop_id"))
+
+
 def apply_scheme(panel: DataFrame, subpop: DataFrame, schedule: DataFrame, max_steps: int = 100_000) -> DataFrame:
-    """y is null where the population active at t doesn't hold var.
+    """y is null where the population active at t doesn't hold var; rows outside all segments go.
 
-    The schedule is spread over its steps and joins on time, membership on (pop, var), both by equality. Up to max_steps
-    steps are broadcast.
+    Each step that the panel has is looked up once; steps join on time, membership on (pop, var), both by equality. Up to
+    max_steps steps are broadcast.
     """
-    steps = schedule.select("pop_id", F.explode(F.sequence("t_start", F.col("t_end") - 1)).alias("t"))
-    length = schedule.agg(F.sum(F.col("t_end") - F.col("t_start"))).first()[0] or 0
-    rows = panel.join(F.broadcast(steps) if length <= max_steps else steps, "t").join(subpop.withColumn("seen", F.lit(True)), ["pop_id", "var"], "left")
+    steps = stored(active(panel.select("t").distinct(), schedule).where("pop_id IS NOT NULL"))
+    small = steps.limit(max_steps + 1).count() <= max_steps
+    rows = panel.join(F.broadcast(steps) if small else steps, "t").join(subpop.withColumn("seen", F.lit(True)), ["pop_id", "var"], "left")
     return rows.select(*[c for c in panel.columns if c != "y"], F.when(F.col("seen"), F.col("y")).alias("y"))
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from tests.conftest import SF, same_rows
-from tessera.jobs.learning_queries import ORACLES, QUERIES
+from tessera.jobs.state_queries import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
