@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import setblocks
 from tessera.llm.common import small_batches, stored, tidy, unused
 from tessera.llm.components import components
 
@@ -105,21 +106,34 @@ class Chunk:
         return pa.record_batch(parts, ["bin", "chunk", "is_head", "packed"])
 
 
-def _counted(number: int, chunks: list[int], parts: list[bytes]) -> pa.RecordBatch:
-    """The shingles of one bin that occur in several sets, back to their chunks, with their counts up to 65,535."""
+def _counted(number: int, chunks: list[int], parts: list[bytes], most: int = 1 << 22) -> pa.RecordBatch:
+    """The shingles of one bin that occur in several sets, back to their chunks, with their counts up to 65,535.
+
+    Parts are in order, so a bin is counted by ranges of about ``most`` shingles; between ranges it costs nine bytes a shingle.
+    """
     sizes = [len(p) // OUT_BYTES for p in parts]
-    token = np.concatenate([np.frombuffer(p, "<u4", k).astype(np.uint64) << np.uint64(8) | np.frombuffer(p, np.uint8, k, 4 * k) for p, k in zip(parts, sizes, strict=True)])
-    owner = np.concatenate([np.frombuffer(p, "<u2", k, 5 * k) for p, k in zip(parts, sizes, strict=True)])
-    order = np.argsort(token, kind="stable")
-    ranked = token[order]
-    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    times = np.diff(np.r_[first, len(ranked)])
-    n = np.empty(len(token), "<u2")
-    n[order] = np.repeat(np.minimum(times, 65535), times)
-    edges, out = np.r_[0, np.cumsum(sizes)], []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        keep = a + np.flatnonzero(n[a:b] > 1)
-        out.append((token[keep] >> np.uint64(8)).astype("<u4").tobytes() + token[keep].astype(np.uint8).tobytes() + owner[keep].tobytes() + n[keep].tobytes())
+    turns = max(1, -(-sum(sizes) // most))
+    limits = np.array([(1 << LOW_BITS) * k // turns for k in range(turns + 1)], np.uint64)
+    token = lambda p, k: np.frombuffer(p, "<u4", k).astype(np.uint64) << np.uint64(8) | np.frombuffer(p, np.uint8, k, 4 * k)
+    cuts = [np.searchsorted(token(p, k), limits) for p, k in zip(parts, sizes, strict=True)]
+    times = [np.empty(k, "<u2") for k in sizes]
+    for turn in range(turns):
+        spans = [slice(c[turn], c[turn + 1]) for c in cuts]
+        own = np.concatenate([token(p, k)[s] if turns > 1 else token(p, k) for p, k, s in zip(parts, sizes, spans, strict=True)])
+        order = np.argsort(own, kind="stable")
+        ranked = own[order]
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]])
+        count = np.diff(np.r_[first, len(ranked)])
+        n = np.empty(len(own), "<u2")
+        n[order] = np.repeat(np.minimum(count, 65535), count)
+        at = 0
+        for s, t in zip(spans, times, strict=True):
+            t[s] = n[at : at + s.stop - s.start]
+            at += s.stop - s.start
+    out = []
+    for p, k, t in zip(parts, sizes, times, strict=True):
+        keep = np.flatnonzero(t > 1)
+        out.append(np.frombuffer(p, "<u4", k)[keep].tobytes() + np.frombuffer(p, np.uint8, k, 4 * k)[keep].tobytes() + np.frombuffer(p, "<u2", k, 5 * k)[keep].tobytes() + t[keep].tobytes())
     m = len(out)
     return pa.record_batch([pa.array(chunks, pa.int64()), pa.array([number] * m, pa.int32()), pa.array([False] * m), pa.array(out, pa.binary())], ["chunk", "bin", "is_head", "packed"])
 
@@ -301,22 +315,6 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, slices: int = 16) -> DataFrame:
-    """The (a, b) of pairs (a, b) of classes whose sets reach the similarity.
-
-    Partners of a class come in at most ``slices`` rows, so that one with very many is no hot key. Only sets that are in a pair
-    are laid out for the joins.
-    """
-    pairs = stored(pairs.select("a", "b"))
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = stored(sets.join(ends, "cid", "left_semi").select("cid", "n", "tokens"))
-    left, right = (sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
-    packed = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(slices)).alias("slice")).agg(F.collect_set("b").alias("bs"))
-    both = packed.join(left, "a").select("a", "na", "ta", F.explode("bs").alias("b")).join(right, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
-
-
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots (node, root) with more links (a, b) between nodes."""
     named = links
@@ -355,6 +353,7 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None
     open_ = heads.where("gid IS NOT NULL").select("digest", "chunk", "n", "gid", "prefix", "tokens")
     sets = stored(open_.join(classes, ["digest", "chunk"]).select(F.col("rep").alias("cid"), "gid", "n", "prefix", "tokens"))
     members = sets.select("gid", "cid")
+    index, blocks = setblocks.write(sets)
     #: Lists: the groups that have a shingle in their prefix, where they are several. rest: shingles after it in the set's order.
     lists = sets.select("gid", "n", "prefix").dropDuplicates(["gid"]).select("gid", "n", F.size("prefix").alias("open"), F.posexplode("prefix").alias("at", "token"))
     lists = lists.select("token", "gid", "n", F.expr(f"(n * {percent} + 99) DIV 100 - 2 + open - at").alias("rest"), "open")
@@ -373,7 +372,7 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None
         one = rooted.groupBy("gid").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(turn))).alias("x"))
         one = one.select(F.col("gid").alias("gidx"), F.col("x.cid").alias("a"), F.col("x.root").alias("ra"))
         every = rooted.select(F.col("gid").alias("gidy"), F.col("cid").alias("b"), F.col("root").alias("rb"))
-        found = stored(_verified(pairs.join(one, "gidx").join(every, "gidy").where("ra <> rb").select("a", "b"), sets, percent))
+        found = stored(setblocks.reaching(pairs.join(one, "gidx").join(every, "gidy").where("ra <> rb").select("a", "b"), index, blocks, percent))
         if found.isEmpty():
             break
         roots = _merged(roots, found)
@@ -382,7 +381,7 @@ def join(docs: DataFrame, *, size: int = 5, percent: int = 75, bins: int | None
     pairs = _all_pairs(lists.join(groups, "gid"), percent, hot_from).unionByName(groups.where("lo <> hi").select(F.col("gid").alias("gidx"), F.col("gid").alias("gidy")))
     left, right = (rooted.select(F.col("gid").alias(f"gid{g}"), F.col("cid").alias(c), F.col("root").alias(f"r{c}")) for g, c in ("xa", "yb"))
     pairs = pairs.join(left, "gidx").join(right, "gidy").where("ra <> rb AND (gidx <> gidy OR a < b)").select("a", "b")
-    found = _verified(pairs, sets, percent)
+    found = setblocks.reaching(pairs, index, blocks, percent)
     #: Rows of one doc_id with different texts join their classes.
     reps = signed.where("rep IS NOT NULL").select("doc_id", "rep")
     twice = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
