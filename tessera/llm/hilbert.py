@@ -2,7 +2,8 @@
 
 Language, source and size are quantised to ``bits`` bits each; the curve index of that cell orders all
 documents, and equal runs of the order become shards. Neighbours on the curve are near in every
-dimension, so each shard covers narrow ranges of all of them and readers can skip files by any.
+dimension, so each shard covers narrow ranges of all of them and readers can skip files by any. Equal texts take one cell, that of
+the least doc_id among them, and shards end between groups of equal texts where their sizes leave a choice.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import bounded, join_hot, stored
 
 
 def curve_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -68,24 +69,69 @@ def size_cell(size: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(size) * (1 << bits) / 32), F.lit((1 << bits) - 1)).cast("long")
 
 
+def as_groups(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows (doc_id, size, text_hash, cell) in which equal texts have one cell, that of the least doc_id.
+
+    Only groups of several rows are looked up: up to ``most`` of them by broadcast, more by a join that deals out the rows of large groups.
+    """
+    rows = stored(rows)
+    several = rows.groupBy("text_hash", "size").agg(F.min(F.struct("doc_id", "cell")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    several = stored(several.select("text_hash", "size", F.col("x.cell").alias("shared")))
+    keys = ["text_hash", "size"]
+    found = rows.join(F.broadcast(several), keys, "left") if bounded(several, most) else join_hot(rows, several, keys, "doc_id", how="left")
+    return found.withColumn("cell", F.coalesce("shared", "cell")).drop("shared")
+
+
+def ends(total: int, n_shards: int, cut: set[int], band: int = 32) -> list[int]:
+    """The rank at which each shard ends: sizes differ by one at most, and as few ends as possible lie in ``cut``.
+
+    The shards that take one row more can be any of them. Of all ways those are compared in which, after s shards, their number is within
+    ``band`` of an even spread; up to 64 shards that is every way.
+    """
+    least, more = divmod(total, n_shards)
+    best: dict[int, tuple[int, list[int]]] = {0: (0, [])}
+    for s in range(1, n_shards + 1):
+        now: dict[int, tuple[int, list[int]]] = {}
+        for used, (torn, large) in best.items():
+            for one in (1, 0):
+                j = used + one
+                if j > more or more - j > n_shards - s or abs(j - s * more / n_shards) > band:
+                    continue
+                cost = torn + (s < n_shards and s * least + j in cut)
+                if j not in now or cost < now[j][0]:
+                    now[j] = (cost, [*large, s - 1] if one else large)
+        best = now
+    _, large = best[more]
+    sizes = np.full(n_shards, least)
+    sizes[large] += 1
+    return np.cumsum(sizes).tolist()
+
+
+def candidates(total: int, n_shards: int, band: int = 32) -> list[int]:
+    """The ranks at which some shard can end."""
+    least, more = divmod(total, n_shards)
+    spread = lambda s: range(max(0, more - (n_shards - s), int(s * more / n_shards) - band), min(more, s, int(s * more / n_shards) + band) + 1)
+    return sorted({s * least + j for s in range(1, n_shards) for j in spread(s)})
+
+
 def shard(docs: DataFrame, n_shards: int = 24, *, bits: int = 8) -> DataFrame:
     """Per row of docs (doc_id, text, lang, source): doc_id, size, text_crc32, law, shard, slot, grown_shard, cell.
 
-    The law is ``rows``: shards' counts differ by one at most; slot numbers a shard's rows from 0 in curve order.
-    Ties on the curve are ordered by checksum, size and doc_id, so equal texts of one cell lie side by side; where a shard
-    ends between them they are cut, as the law asks for. A null text has size 8 and the checksum of an empty one; null lang,
-    source and doc_id are values like others, repeated rows are placed one by one, other columns are ignored. Empty tables
-    give no rows.
+    The law is ``rows``: shards' counts differ by one at most; slot numbers a shard's rows from 0 in curve order. Equal texts are ordered
+    side by side in one cell; a group is cut only where no choice of the larger shards keeps it whole. A null text has size 8 and the checksum of an
+    empty one; null lang, source and doc_id are values like others, repeated rows are placed one by one, long texts are read
+    whole, other columns are ignored. Empty tables give no rows.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", "lang", "source", (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = docs.select("doc_id", "lang", "source", (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_hash"))
     for column in ("lang", "source"):
         cells = by_share(docs.select(column), column, bits).withColumnRenamed("cell", f"{column}_cell")
         rows = rows.join(cells, F.col(column).eqNullSafe(F.col("value")), "left").drop("value")
     index = F.pandas_udf(lambda a, b, c: pd.Series(curve_index([a.to_numpy(), b.to_numpy(), c.to_numpy()], bits)), "long")
     rows = rows.withColumn("cell", index("lang_cell", "source_cell", size_cell(F.col("size"), bits)))
-    order = ["cell", "text_crc32", "size", "doc_id"]
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", "cell").repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["cell", "text_hash", "size", "doc_id"]
+    rows = as_groups(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", "text_hash", "cell"))
+    rows = rows.select("doc_id", "size", "text_crc32", "text_hash", "cell").repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +140,24 @@ def shard(docs: DataFrame, n_shards: int = 24, *, bits: int = 8) -> DataFrame:
             yield batch.append_column("pos", pa.array(np.arange(n, n + batch.num_rows)))
             n += batch.num_rows
 
-    placed = stored(rows.mapInArrow(number, "doc_id long, size long, text_crc32 long, cell long, part int, pos long"))
+    placed = stored(rows.mapInArrow(number, "doc_id long, size long, text_crc32 long, text_hash long, cell long, part int, pos long"))
     #: One row a task of the sort.
     parts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("before"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("total"))
-    rank, least = F.col("before") + F.col("pos"), F.floor(F.col("total") / n_shards)
-    large = F.col("total") % n_shards
-    edge = large * (least + 1)
-    early = rank < edge
-    shard_no = F.when(early, F.floor(rank / (least + 1))).otherwise(large + F.floor((rank - edge) / least))
-    slot = F.when(early, rank % (least + 1)).otherwise((rank - edge) % least)
-    out = placed.join(parts, "part")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard_no.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
+    parts = parts.select("part", before.alias("before"))
+    placed = placed.join(parts, "part").withColumn("rank", F.col("before") + F.col("pos"))
+    total = placed.count()
+    if not total:
+        return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
+    #: The rows before and at each rank where a shard can end: a few hundred.
+    near = candidates(total, n_shards)
+    seen = {r["rank"]: (r["text_hash"], r["size"]) for r in placed.where(F.col("rank").isin([k for c in near for k in (c - 1, c)])).select("rank", "text_hash", "size").collect()} if len(near) <= 10_000 else {}
+    edges = ends(total, n_shards, {c for c in near if c in seen and seen.get(c - 1) == seen[c]})
+    bounds = F.array(*[F.lit(e).cast("long") for e in [0, *edges]])
+    shard_no = F.size(F.filter(bounds, lambda e: e <= F.col("rank"))) - 1
+    out = placed.withColumn("shard", shard_no.cast("int"))
+    slot = F.col("rank") - F.get(bounds, F.col("shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
 def ranges(sharded: DataFrame, docs: DataFrame) -> DataFrame:
