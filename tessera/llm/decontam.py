@@ -130,7 +130,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = 10, remove:
     hits = hits.where(covered(F.col("hits")) > min_share * F.col("n_words")).select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("hits").alias(own))
     same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(k))
     if remove == "documents":
-        return docs.join(hits, same, "left_anti")
+        #: Texts stay where they are as long as what is dropped can be broadcast.
+        hits = stored(hits.select(d, k))
+        return docs.join(F.broadcast(hits) if bounded(hits, 200_000) else hits, same, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove: {remove}")
     word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -6,7 +6,7 @@ budget of several source sizes first takes every document that many times (compl
 the remainder is sampled.
 
 No source is ever sorted in one task. Keys map monotonically to [0, 1), which is cut into buckets of
-about ``bucket_rows`` documents; prefix sums over bucket totals find the one bucket of each source in
+about ``bucket_rows`` documents, at edges that follow the documents' weights; prefix sums over bucket totals find the one bucket of each source in
 which the budget ends, and only that bucket's documents are ordered.
 """
 
@@ -75,18 +75,24 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: int = 17, max
     #: 1 - u^(1/weight) = 1 - exp(-key) rises with the exponential key and stays in [0, 1).
     rank = -F.expm1(F.log(uniform(F.col("doc_id"), seed)) / F.col("weight"))
     words = F.col("size") * F.col("copies")
-    rows = stored(rows.select("doc_id", "source", "size", "copies", words.alias("words"), rank.alias("rank")))
+    rows = stored(rows.select("doc_id", "source", "size", "copies", "weight", words.alias("words"), rank.alias("rank")))
 
-    totals = rows.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n"))
+    of = lambda w: F.count(F.when(F.col("weight") == w, 1))
+    totals = rows.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n"), of(good).alias("n_good"), of(bad).alias("n_bad"))
     same = F.col("source").eqNullSafe(F.col("s"))
-    sources = source_targets(totals.select("source", "source_size"), max_epochs).join(totals.select(F.col("source").alias("s"), "n"), same).drop("s")
+    sources = source_targets(totals.select("source", "source_size"), max_epochs).join(totals.select(F.col("source").alias("s"), "n", "n_good", "n_bad"), same).drop("s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("epochs", epochs)
     sources = sources.withColumns({"rest": F.col("target") - F.col("epochs") * F.col("source_size"), "buckets": F.ceil(F.col("n") / bucket_rows)})
     sources = stored(sources)
 
-    keyed = rows.join(sources.withColumnRenamed("source", "s"), same).drop("s", "n")
-    keyed = keyed.withColumn("bucket", F.floor(F.col("rank") * F.col("buckets")).cast("long"))
+    keyed = rows.join(sources.withColumnRenamed("source", "s"), same).drop("s")
+    #: The share of a source's documents that are expected before a rank, by its weights: it rises with the rank, and buckets get even rows.
+    upto_rank = lambda w: 1 - F.pow(1 - F.col("rank"), F.lit(float(w)))
+    share = (F.col("n_good") * upto_rank(good) + F.col("n_bad") * upto_rank(bad) + (F.col("n") - F.col("n_good") - F.col("n_bad")) * F.col("rank")) / F.col("n")
+    if good == bad:
+        share = upto_rank(good)
+    keyed = keyed.withColumn("bucket", F.least(F.floor(share * F.col("buckets")), F.col("buckets") - 1).cast("long")).drop("n", "n_good", "n_bad")
     filled = keyed.groupBy("source", "bucket").agg(F.sum("words").alias("bucket_words"), F.max("rest").alias("rest"))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     filled = filled.withColumn("before", F.coalesce(F.sum("bucket_words").over(upto), F.lit(0)))
