@@ -220,6 +220,40 @@ def lyapunov(a: np.ndarray, q: np.ndarray, rounds: int = 60) -> np.ndarray:
     return (x + x.T) / 2
 
 
+def in_basis(model: Model, m: np.ndarray) -> Model:
+    """The model of the states m x."""
+    back = np.linalg.inv(m)
+    return Model(m @ model.A @ back, m @ model.Q @ m.T, m @ model.mu0, m @ model.V0 @ m.T, model.C @ back, model.d, model.R, None if model.B is None else m @ model.B)
+
+
+def canonical(model: Model, kind: str = "orthonormal") -> tuple[np.ndarray, Model]:
+    """The change of basis to a canonical form, and the model in it; ``kalman.transformed`` takes posterior tables there.
+
+    orthonormal: C'C = I and a diagonal stationary covariance of the states, in falling order. unit_states: a stationary covariance of I and
+    orthogonal loadings, in falling order. unit_loadings: states scaled so that each column of C has length 1. Where A has no stationary
+    covariance, Q stands for it. Components' signs make the largest loading of each positive.
+    """
+    spread = lambda a, q: q if np.abs(np.linalg.eigvals(a)).max() >= 1 else lyapunov(a, q)
+    falling = lambda x: np.linalg.eigh(x)[1][:, ::-1].T
+    if kind == "orthonormal":
+        _, size, right = np.linalg.svd(model.C, full_matrices=False)
+        m = size[:, None] * right
+        now = in_basis(model, m)
+        m = falling(spread(now.A, now.Q)) @ m
+    elif kind == "unit_states":
+        w, e = np.linalg.eigh(spread(model.A, model.Q))
+        m = (e / np.sqrt(np.maximum(w, 1e-12))).T
+        now = in_basis(model, m)
+        m = falling(now.C.T @ now.C) @ m
+    elif kind == "unit_loadings":
+        m = np.diag(np.sqrt((model.C**2).sum(axis=0)))
+    else:
+        raise ValueError(f"kind: {kind}")
+    c = model.C @ np.linalg.inv(m)
+    m = np.where(c[np.abs(c).argmax(axis=0), np.arange(len(m))] < 0, -1.0, 1.0)[:, None] * m
+    return m, in_basis(model, m)
+
+
 def subspace(lag_cov: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A, C, state covariance and R from lag covariances [2k, p, p] by the singular vectors of their Hankel matrix."""
     p = lag_cov.shape[1]

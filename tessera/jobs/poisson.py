@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.functions.links import LINKS
 from tessera.jobs import fitting
-from tessera.operators import scan, tasksums
+from tessera.operators import lagcov, scan, tasksums
 from tessera.operators.kalman import Model, matrix
 from tessera.sources.store import shared_dir
 
@@ -18,7 +20,7 @@ from tessera.sources.store import shared_dir
 WHOLE = 1 << 40
 
 
-def _solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x with H x = b for a symmetric block-tridiagonal H, and the diagonal and upper blocks of its inverse.
 
     diag: [T, n, n], off: [T-1, n, n] blocks (t, t+1), b: [T, n]. One forward elimination, one pass back.
@@ -55,7 +57,7 @@ def prior_blocks(model: Model, steps: int) -> tuple[np.ndarray, np.ndarray, np.n
     return diag, off, mean
 
 
-def _times(diag: np.ndarray, off: np.ndarray, x: np.ndarray) -> np.ndarray:
+def times_blocks(diag: np.ndarray, off: np.ndarray, x: np.ndarray) -> np.ndarray:
     out = np.einsum("tij,tj->ti", diag, x)
     if len(off):
         out[:-1] += np.einsum("tij,tj->ti", off, x[1:])
@@ -63,27 +65,29 @@ def _times(diag: np.ndarray, off: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def laplace(model: Model, y: np.ndarray, rounds: int = 100, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def laplace(model: Model, y: np.ndarray, rounds: int = 100, tolerance: float = 1e-10, link: str = "exp") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Mode, covariances, covariances with the step before and the approximate evidence of one trial's counts (NaN unseen).
 
-    Newton on the log posterior; a step is halved until the posterior rises.
+    The rate of a count is ``link`` (a name in links.LINKS) of C x + d. Newton on the log posterior; a step is halved until the
+    posterior rises.
     """
     diag, off, mean = prior_blocks(model, len(y))
     on = np.isfinite(y)
     counts = np.where(on, y, 0.0)
 
-    def value(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        drive = x @ model.C.T + model.d
-        rate = np.where(on, np.exp(np.minimum(drive, 50.0)), 0.0)
+    terms = LINKS[link].terms
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        fit, pull, bend = (np.where(on, a, 0.0) for a in terms(counts, x @ model.C.T + model.d))
         z = x - mean
-        return float((counts * drive * on).sum() - rate.sum() - 0.5 * (z * _times(diag, off, z)).sum()), rate, z
+        return float(fit.sum() - 0.5 * (z * times_blocks(diag, off, z)).sum()), pull, bend, z
 
     x = mean.copy()
-    now, rate, z = value(x)
+    now, pull, bend, z = value(x)
     for _ in range(rounds):
-        grad = (counts - rate) @ model.C - _times(diag, off, z)
-        hess = diag + np.einsum("tp,pi,pj->tij", rate, model.C, model.C)
-        step, _, _ = _solve_blocks(hess, off, grad)
+        grad = pull @ model.C - times_blocks(diag, off, z)
+        hess = diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C)
+        step, _, _ = solve_blocks(hess, off, grad)
         scale = 1.0
         while scale > 1e-8 and (new := value(x + scale * step))[0] < now:
             scale /= 2
@@ -91,30 +95,29 @@ def laplace(model: Model, y: np.ndarray, rounds: int = 100, tolerance: float = 1
         if gain <= tolerance:
             break
         x = x + scale * step
-        now, rate, z = new
-    hess = diag + np.einsum("tp,pi,pj->tij", rate, model.C, model.C)
-    _, cov, up = _solve_blocks(hess, off, np.zeros_like(x))
+        now, pull, bend, z = new
+    hess = diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C)
+    _, cov, up = solve_blocks(hess, off, np.zeros_like(x))
     cross = np.zeros_like(cov)
     cross[1:] = np.transpose(up, (0, 2, 1))
-    n = x.shape[1]
-    det = lambda d, o: sum(np.linalg.slogdet(b)[1] for b in _pivots(d, o))
+    det = lambda d, o: sum(np.linalg.slogdet(b)[1] for b in pivots(d, o))
     log_fact = np.array([np.log(np.arange(1, int(c) + 1)).sum() for c in counts.ravel()]).sum()
-    return x, cov, cross, now - log_fact + 0.5 * (det(diag, off) - det(hess, off)) + 0.0 * n
+    return x, cov, cross, now - log_fact + 0.5 * (det(diag, off) - det(hess, off))
 
 
-def _pivots(diag: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+def pivots(diag: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     out = [diag[0]]
     for t in range(1, len(diag)):
         out.append(diag[t] - off[t - 1].T @ np.linalg.solve(out[-1], off[t - 1]))
     return out
 
 
-def posterior(packed: DataFrame, model: Model) -> DataFrame:
+def posterior(packed: DataFrame, model: Model, link: str = "exp") -> DataFrame:
     """(trial, t, x, v, bound) per step of a packed panel; bound is the trial's evidence, at its first step."""
     p = len(model.d)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, v, _, bound = laplace(model, matrix(frame, p))
+        x, v, _, bound = laplace(model, matrix(frame, p), link=link)
         return pd.DataFrame({"trial": frame["trial"].iloc[0], "t": np.sort(frame["t"].to_numpy()), "x": list(x), "v": [a.ravel() for a in v], "bound": np.r_[bound, np.zeros(len(x) - 1)]})
 
     return packed.groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, bound double")
@@ -181,30 +184,95 @@ def fit(packed: DataFrame, start: Model, rounds: int = 5, gain: float = 1e-6, fo
     return best if fell else model, trace
 
 
-def predict(packed: DataFrame, model: Model, condition: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+def predict(packed: DataFrame, model: Model, condition: tuple[int, int], target: tuple[int, int], *, inputs: DataFrame | None = None, offsets: DataFrame | None = None, private: bool = False) -> DataFrame:
     """(trial, t, var, rate): expected counts at target steps given the counts of the condition steps (ends exclusive).
 
     Steps are those of the column t; unseen ones among the condition steps are predicted through. The state starts at
-    the trial's first step in the condition range; a trial without any has no rows.
+    the trial's first step in the condition range; a trial without any has no rows. inputs: (trial, t, u array), which drive the state
+    through B at every step but the trial's first; offsets: (trial, t, s array), which are added to the drive of each variable. Both
+    must reach over the target steps; missing ones count as zeros. With ``private`` the drive also has independent normal noise of
+    variance R, which raises the expected count and is part of the observations.
     """
-    p = len(model.d)
+    p, n_inputs = len(model.d), 0 if model.B is None else model.B.shape[1]
+    none = F.lit(None).cast("array<double>")
+    rows = packed.where(F.col("t").between(condition[0], condition[1] - 1)).select("trial", "t", "y")
+    ahead = rows.groupBy("trial").agg(F.min("t").alias("a"), F.lit(target[1] - 1).alias("b"))
+    rows = lagcov.every(ahead).join(rows, ["trial", "t"], "left")
+    rows = rows.join(inputs.select("trial", "t", "u"), ["trial", "t"], "left") if inputs is not None and n_inputs else rows.withColumn("u", none)
+    rows = rows.join(offsets.select("trial", "t", "s"), ["trial", "t"], "left") if offsets is not None else rows.withColumn("s", none)
+
+    def filled(cells: pd.Series, width: int, empty: float) -> np.ndarray:
+        return np.array([[empty] * width if c is None else [np.nan if x is None else x for x in c] for c in cells], float).reshape(len(cells), width)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["t"].between(condition[0], condition[1] - 1)].sort_values("t")
-        if not len(frame):
-            return pd.DataFrame([], columns=["trial", "t", "var", "rate"])
-        y = np.full((int(frame["t"].iloc[-1]) - int(frame["t"].iloc[0]) + 1, p), np.nan)
-        y[frame["t"].to_numpy() - int(frame["t"].iloc[0])] = matrix(frame, p)
-        x, v, _, _ = laplace(model, y)
-        m, c, rows = x[-1], v[-1], []
-        for t in range(int(frame["t"].iloc[-1]) + 1, target[1]):
-            m, c = model.A @ m, model.A @ c @ model.A.T + model.Q
-            if t >= target[0]:
-                rate = np.exp(model.C @ m + model.d + 0.5 * np.einsum("pi,ij,pj->p", model.C, c, model.C))
-                rows += [(int(frame["trial"].iloc[0]), t, i, float(r)) for i, r in enumerate(rate)]
-        return pd.DataFrame(rows, columns=["trial", "t", "var", "rate"])
-
-    return packed.groupBy("trial").applyInPandas(run, "trial int, t int, var int, rate double")
+        frame = frame.sort_values("t")
+        y, u, s = filled(frame["y"], p, np.nan), filled(frame["u"], n_inputs, 0.0), filled(frame["s"], p, 0.0)
+        t = frame["t"].to_numpy()
+        seen = int(np.flatnonzero(np.isfinite(y).any(axis=1))[-1]) + 1 if np.isfinite(y).any() else 1
+        x, v = at_end(model, y[:seen], u[:seen], s[:seen], private)
+        out = []
+        for k in range(seen, len(t)):
+            x, v = model.A @ x + (model.B @ u[k] if n_inputs else 0.0), model.A @ v @ model.A.T + model.Q
+            if t[k] >= target[0]:
+                spread = np.einsum("pi,ij,pj->p", model.C, v, model.C) + (model.R if private else 0.0)
+                rate = np.exp(model.C @ x + model.d + s[k] + 0.5 * spread)
+                out += [(int(frame["trial"].iloc[0]), int(t[k]), i, float(r)) for i, r in enumerate(rate)]
+        return pd.DataFrame(out, columns=["trial", "t", "var", "rate"])
+
+    return rows.groupBy("trial").applyInPandas(run, "trial int, t int, var int, rate double")
+
+
+def at_end(model: Model, y: np.ndarray, u: np.ndarray, s: np.ndarray, private: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the last step's state given counts y, inputs u and offsets s of a trial's steps.
+
+    Inputs shift the prior's mean path and offsets the drive. Private noise of a drive is a latent value of its own at each seen cell: it is
+    integrated out by the cell's mode, so that the counts bear on the state through the sum of both.
+    """
+    n, p = len(model.mu0), len(model.d)
+    diag, off, mean = prior_blocks(model, len(y))
+    if u.shape[1]:
+        drift = u @ model.B.T
+        shift = np.zeros_like(mean)
+        for t in range(1, len(y)):
+            shift[t] = model.A @ shift[t - 1] + drift[t]
+        mean = mean + shift
+    on = np.isfinite(y)
+    counts = np.where(on, y, 0.0)
+    noise = model.R if private else np.zeros(p)
+
+    def cells(drive: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The modes e of the private values, and the pull and bend of the drive with these integrated out."""
+        for _ in range(60 if private else 0):
+            rate = np.exp(np.minimum(drive + e, 50.0))
+            step = (noise * (counts - rate) - e) / (1 + noise * rate)
+            e = e + np.clip(step, -2.0, 2.0)
+        rate = np.where(on, np.exp(np.minimum(drive + e, 50.0)), 0.0)
+        return e, np.where(on, counts - rate, 0.0), rate / (1 + noise * rate)
+
+    def height(x: np.ndarray, e: np.ndarray) -> float:
+        drive, z = x @ model.C.T + model.d + s, x - mean
+        own = np.where(on, counts * (drive + e) - np.exp(np.minimum(drive + e, 50.0)), 0.0).sum() - (0.5 * np.where(on, e * e, 0.0) / np.where(noise > 0, noise, 1.0)).sum()
+        return float(own - 0.5 * (z * times_blocks(diag, off, z)).sum())
+
+    x, e = mean.copy(), np.zeros_like(counts)
+    e, pull, bend = cells(x @ model.C.T + model.d + s, e)
+    now = height(x, e)
+    for _ in range(100):
+        grad = pull @ model.C - times_blocks(diag, off, x - mean)
+        step, _, _ = solve_blocks(diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C), off, grad)
+        scale = 1.0
+        while True:
+            at = x + scale * step
+            e_at, pull_at, bend_at = cells(at @ model.C.T + model.d + s, e)
+            new = height(at, e_at)
+            if new >= now or scale < 1e-8:
+                break
+            scale /= 2
+        if new - now <= 1e-10:
+            break
+        x, e, pull, bend, now = at, e_at, pull_at, bend_at, new
+    _, cov, _ = solve_blocks(diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C), off, np.zeros_like(x))
+    return x[-1].reshape(n), cov[-1]
 
 
 def sample(trials: DataFrame, model: Model, steps: int, *, poisson: bool = True, most: float = 1e4, seed: int = 0) -> DataFrame:

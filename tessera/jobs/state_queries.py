@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.jobs import fitting
+from tessera.functions import links
+from tessera.jobs import fitting, hankel_descent, partial_models, poisson, variational
 from tessera.jobs.learning_queries import ORACLES, QUERIES
-from tessera.jobs.queries import COUNTS, MASKED, VECTORS, counts, kinds, masked_counts, query
-from tessera.operators import kalman, lagcov, learning, scan
+from tessera.jobs.queries import COUNTS, MASKED, SCHEME, VECTORS, _pops, _start, counts, dims, kinds, masked_counts, query
+from tessera.operators import kalman, lagcov, learning, scan, scheme
 from tessera.operators.panel import rounded
 from tessera.sources import panels
 
@@ -160,3 +161,69 @@ def poisson_psth(spark, sf):
     rows = counts(spark, sf).select("var", F.col("y").cast("double").alias("y"), z.alias("z"), F.when(F.col("t") % 2 == 0, 0.2).otherwise(F.lit(0.0)).alias("offset"))
     made = learning.poisson_regression(rows, 6, penalty=0.0)
     return made.select("var", F.posexplode("b").alias("part", "b")).select("var", "part", (F.round("b", 5) + 0.0).alias("b"))
+
+
+LINK = """nodes AS (SELECT 16.0::DOUBLE * z / 320 - 8 AS z FROM range(321) r(z)),
+tab AS (SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, -6.0::DOUBLE + i * 0.25 AS m, k * 0.25::DOUBLE AS s FROM range(49) a(i), range(13) b(k)),
+lt AS MATERIALIZED (SELECT i, k, m, s, sum(exp(-z * z / 2) * (greatest(m + s * z, 0) + ln(1 + exp(-abs(m + s * z))))) / sum(exp(-z * z / 2)) AS value FROM tab, nodes GROUP BY ALL)"""
+
+
+@query("link_lookup", f"""WITH {COUNTS}, {LINK}, g AS (SELECT var, t, avg(y) AS m, stddev_pop(y) AS s FROM y GROUP BY ALL),
+p AS (SELECT *, least(greatest((m + 6) / 0.25, 0), 48) AS x, least(greatest(s / 0.25, 0), 12) AS w FROM g),
+c AS (SELECT *, CAST(least(floor(x), 47) AS INTEGER) AS i, CAST(least(floor(w), 11) AS INTEGER) AS k FROM p)
+SELECT c.var, c.t, round((1 - (x - c.i)) * ((1 - (w - c.k)) * a.value + (w - c.k) * b.value) + (x - c.i) * ((1 - (w - c.k)) * d.value + (w - c.k) * e.value), 6) AS expected
+FROM c JOIN lt a ON a.i = c.i AND a.k = c.k JOIN lt b ON b.i = c.i AND b.k = c.k + 1 JOIN lt d ON d.i = c.i + 1 AND d.k = c.k JOIN lt e ON e.i = c.i + 1 AND e.k = c.k + 1""")
+def link_lookup(spark, sf):
+    """What log(1 + exp(x)) is on average for an x with the mean and deviation of each variable's counts at each hour, by a table."""
+    rows = counts(spark, sf).groupBy("var", "t").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
+    return rounded(links.expected(rows, links.table(spark, links.softplus), "m", "s", "expected").select("var", "t", "expected"))
+
+
+@query("subpop_tree", f"""WITH RECURSIVE {SCHEME},
+ed AS MATERIALIZED (SELECT x.pop_id AS a, list_sort(list_distinct(list(y.pop_id))) AS near FROM sp x JOIN sp y USING (var) WHERE x.pop_id <> y.pop_id GROUP BY x.pop_id),
+w AS (
+  SELECT [0] AS stack, [0] AS claimed, [0] AS pops, [-1] AS parents
+  UNION ALL
+  SELECT list_concat(own, stack[2:]), list_concat(claimed, own), list_concat(pops, own), list_concat(parents, list_transform(own, lambda x: stack[1]))
+  FROM (SELECT w.*, list_filter(coalesce(ed.near, []), lambda x: NOT list_contains(w.claimed, x)) AS own FROM w LEFT JOIN ed ON ed.a = w.stack[1] WHERE len(w.stack) > 0)),
+r AS (SELECT pops, parents FROM w WHERE len(stack) = 0)
+SELECT CAST(unnest(pops) AS INTEGER) AS pop_id, nullif(CAST(unnest(parents) AS INTEGER), -1) AS parent, CAST(unnest(range(len(pops))) AS INTEGER) AS place FROM r""")
+def subpop_tree(spark, sf):
+    return scheme.tree(_pops(spark, sf))
+
+
+@query("variational_inference")
+def variational_inference(spark, sf):
+    """Posterior of two states behind the counts of each day, with the bound of its evidence and the gap to the dual."""
+    rows, model = _start(spark, sf)
+    p = len(model.d)
+    rate = np.log(np.maximum(model.d, 0.1))
+    start = kalman.Model(model.A, model.Q, model.mu0, model.V0, 0.3 * model.C / np.sqrt(np.maximum(model.R[:, None], 1e-6)), rate, np.ones(p))
+    return variational.posterior(rows, start)
+
+
+@query("laplace_softplus")
+def laplace_softplus(spark, sf):
+    """The most likely states behind counts whose rates are log(1 + exp(C x + d))."""
+    rows, model = _start(spark, sf)
+    return poisson.posterior(rows, model, link="softplus")
+
+
+@query("hankel_sgd")
+def hankel_sgd(spark, sf):
+    """The loss of a system on lagged products of the counts by round of stochastic descent."""
+    p = kinds(spark, sf)
+    rows = hankel_descent.pairs(masked_counts(spark, sf), p, 3)
+    level = float(np.sqrt(counts(spark, sf).agg(F.avg("y")).first()[0] or 1.0))
+    _, trace = hankel_descent.fit(rows, hankel_descent.started(p, 2, 3, scale=level), rounds=12, batches=2, rate=0.05 * level)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(trace)], "round int, loss double")
+
+
+@query("stitched_lagcov")
+def stitched_lagcov(spark, sf):
+    """Lag covariances of all pairs of variables from models of the populations, most pairs of which share no population."""
+    v = panels.vectors(spark, sf)
+    pops = panels.subpops(v)
+    q = lagcov.lag_cov(v.select(F.lit(0).alias("trial"), "t", "var", "y"), dims(spark, sf), 4)
+    loadings, inner, noise = partial_models.stitched(q, pops, scheme.tree(pops), 2, 2)
+    return lagcov.model_cov(loadings, inner, noise)

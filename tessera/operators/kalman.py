@@ -195,15 +195,17 @@ def scalar_smoother(panel: DataFrame, **model: float) -> DataFrame:
     return _series(panel, "t int, x double, v double", run)
 
 
-def transformed(states: DataFrame, by: np.ndarray) -> DataFrame:
-    """states (x array, v flat array, other columns) in other coordinates: M x and M V M'."""
+def transformed(states: DataFrame, by: np.ndarray, *more: str) -> DataFrame:
+    """states (x array, v flat array, other columns) in other coordinates: M x and M V M', also for further covariances ``more``."""
     n = len(by)
     m = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in by])
     dot = lambda row, col: F.aggregate(F.zip_with(row, col, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     x = F.transform(m, lambda row: dot(row, F.col("x")))
-    left = F.flatten(F.transform(m, lambda row: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: dot(row, F.filter("v", lambda _, k: k % n == j - 1)))))
-    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(m, lambda row: dot(row, F.slice("left", i * n + 1, n)))))
-    return states.withColumn("left", left).withColumns({"x": x, "v": both}).drop("left")
+    left = lambda c: F.flatten(F.transform(m, lambda row: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: dot(row, F.filter(c, lambda _, k: k % n == j - 1)))))
+    both = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(m, lambda row: dot(row, F.slice(c, i * n + 1, n)))))
+    for c in ("v", *more):
+        states = states.withColumn("left", left(c)).withColumn(c, both("left"))
+    return states.drop("left").withColumn("x", x)
 
 
 def suffstats(panel: DataFrame, states: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def _products(pairs: DataFrame, means: np.ndarray) -> DataFrame:
     return made.groupBy("m", "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
-def _lagged(rows: DataFrame, lags: int, length: int | None = None) -> DataFrame:
+def lagged(rows: DataFrame, lags: int, length: int | None = None) -> DataFrame:
     """(trial, t, m, now, before): each packed row next to the one m steps before, for m < lags; time wraps at ``length``."""
     now = rows.select("trial", "t", F.col("y").alias("now"), F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("m"))
     back = F.col("t") - F.col("m") if length is None else F.pmod(F.col("t") - F.col("m"), F.lit(length))
@@ -87,7 +87,7 @@ def lag_sums(panel: DataFrame, n_vars: int, lags: int, *, length: int | None = N
     With a length time wraps there. The packed panel is stored once.
     """
     rows = stored(packed(panel, n_vars))
-    return _products(_lagged(rows, lags, length), _means(rows, n_vars))
+    return _products(lagged(rows, lags, length), _means(rows, n_vars))
 
 
 def lag_cov(panel: DataFrame, n_vars: int, lags: int, *, circular: bool = False, length: int | None = None) -> DataFrame:
@@ -133,7 +133,7 @@ def sample_cov(panel: DataFrame, n_vars: int, k: int, l: int) -> DataFrame:  # n
         raise ValueError("sample covariances need every cell of every step")
     rows = packed(panel, n_vars).select("trial", "t", F.concat("y", F.array(F.lit(1.0))).alias("y"))
     rows = stored(rows.join(panel.groupBy("trial").agg((F.max("t") - k - l).alias("last")), "trial"))
-    pairs = _lagged(rows.select("trial", "t", "y"), k + l).join(rows.select("trial", "last").distinct(), "trial").where(F.col("t") - F.col("m") <= F.col("last"))
+    pairs = lagged(rows.select("trial", "t", "y"), k + l).join(rows.select("trial", "last").distinct(), "trial").where(F.col("t") - F.col("m") <= F.col("last"))
     sums = stored(_products(pairs, np.zeros(n_vars + 1)))
     left = sums.where((F.col("j") == n_vars) & (F.col("i") < n_vars)).select("m", "i", F.col("s").alias("si"))
     right = sums.where((F.col("i") == n_vars) & (F.col("j") < n_vars)).select("m", "j", F.col("s").alias("sj"))

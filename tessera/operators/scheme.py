@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,6 +109,32 @@ def traversal(subpop: DataFrame, root: int = 0) -> DataFrame:
     return seen
 
 
+def tree(subpop: DataFrame, root: int = 0) -> DataFrame:
+    """(pop_id, parent, place): the populations that overlaps reach from root, depth first; the root's parent is null.
+
+    A node claims all neighbours that are still open, in order, as its children; then each child's subtree is walked, in order. place:
+    the order in which they were claimed. The walk is serial and sees one row a population, its neighbours: the scheme, no data.
+    """
+    left, right = subpop.select(F.col("pop_id").alias("a"), "var"), subpop.select(F.col("pop_id").alias("b"), "var")
+    edges = left.join(right, "var").where("a <> b").groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("near"))
+    rows = subpop.select(F.col("pop_id").alias("a")).distinct().join(edges, "a", "left").select("a", F.coalesce("near", F.array().cast("array<int>")).alias("near"))
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        near = dict(zip(frame["a"].tolist(), frame["near"], strict=True))
+        if root not in near:
+            return pd.DataFrame([], columns=["pop_id", "parent", "place"])
+        claimed, stack, out = {root}, [root], [(root, None)]
+        while stack:
+            node = stack.pop()
+            own = [int(x) for x in near[node] if x not in claimed]
+            claimed.update(own)
+            out += [(x, node) for x in own]
+            stack += own[::-1]
+        return pd.DataFrame({"pop_id": [x for x, _ in out], "parent": pd.array([p for _, p in out], "Int32"), "place": range(len(out))})
+
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(walk, "pop_id int, parent int, place int")
+
+
 def members(subpop: DataFrame, pop_id: int) -> DataFrame:
     return subpop.where(F.col("pop_id") == pop_id).select("var")
 
