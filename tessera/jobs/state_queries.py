@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import links
 from tessera.jobs import fitting, hankel_descent, partial_models, poisson, variational
 from tessera.jobs.learning_queries import ORACLES, QUERIES
-from tessera.jobs.queries import COUNTS, MASKED, SCHEME, VECTORS, _pops, _start, counts, dims, kinds, masked_counts, query
+from tessera.jobs.queries import COUNTS, MASKED, SCHEME, VECTORS, _poisson_start, _pops, _start, counts, dims, kinds, masked_counts, query
 from tessera.operators import kalman, lagcov, learning, scan, scheme
 from tessera.operators.panel import rounded
 from tessera.sources import panels
@@ -195,11 +195,8 @@ def subpop_tree(spark, sf):
 @query("variational_inference")
 def variational_inference(spark, sf):
     """Posterior of two states behind the counts of each day, with the bound of its evidence and the gap to the dual."""
-    rows, model = _start(spark, sf)
-    p = len(model.d)
-    rate = np.log(np.maximum(model.d, 0.1))
-    start = kalman.Model(model.A, model.Q, model.mu0, model.V0, 0.3 * model.C / np.sqrt(np.maximum(model.R[:, None], 1e-6)), rate, np.ones(p))
-    return variational.posterior(rows, start)
+    rows, model = _poisson_start(spark, sf)
+    return variational.posterior(rows, model)
 
 
 @query("laplace_softplus")
