@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import links
-from tessera.jobs import fitting, hankel_descent, partial_models, poisson, variational
+from tessera.jobs import count_factors, fitting, hankel_descent, partial_models, poisson, variational
 from tessera.jobs.learning_queries import ORACLES, QUERIES
 from tessera.jobs.queries import COUNTS, MASKED, SCHEME, VECTORS, _poisson_start, _pops, _start, counts, dims, kinds, masked_counts, query
 from tessera.operators import kalman, lagcov, learning, scan, scheme
@@ -224,3 +224,10 @@ def stitched_lagcov(spark, sf):
     q = lagcov.lag_cov(v.select(F.lit(0).alias("trial"), "t", "var", "y"), dims(spark, sf), 4)
     loadings, inner, noise = partial_models.stitched(q, pops, scheme.tree(pops), 2, 2)
     return lagcov.model_cov(loadings, inner, noise)
+
+
+@query("expfam_pca")
+def expfam_pca(spark, sf):
+    """The penalised loss of one component of the counts by turn over loadings and factors."""
+    _, _, losses = count_factors.factored(masked_counts(spark, sf), 1, turns=3)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "turn int, loss double")

@@ -64,8 +64,8 @@ def dynamics_moments(features: DataFrame, covs: DataFrame, cross: DataFrame) ->
     return past, both.groupBy("k", "f").agg(F.sum(F.col("x") * F.col("z") + F.coalesce("v", F.lit(0.0))).alias("s"))
 
 
-TERMS = "var int, sums array<double>"
-STATE = "var int, b array<double>, loss double, step array<double>, gain double, scale double, slope double, n double, done boolean"
+TERMS = "var long, sums array<double>"
+STATE = "var long, b array<double>, loss double, step array<double>, gain double, scale double, slope double, n double, done boolean"
 
 
 def _terms(rows: DataFrame, p: int) -> DataFrame:
@@ -80,7 +80,7 @@ def _terms(rows: DataFrame, p: int) -> DataFrame:
         held: dict[int, np.ndarray] = {}
 
         def sent() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["var", "sums"])
+            return pa.record_batch([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["var", "sums"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -108,21 +108,22 @@ def _terms(rows: DataFrame, p: int) -> DataFrame:
     return made.groupBy("var").agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(width)]).alias("sums"))
 
 
-def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray = 0.1, rounds: int = 100, tolerance: float = 1e-16) -> DataFrame:
+def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray = 0.1, rounds: int = 100, tolerance: float = 1e-16, start: DataFrame | None = None) -> DataFrame:
     """(var, b array, loss, slope, n) for rows (var, y, z array of p regressors, offset): y ~ Poisson(exp(b z + offset)), penalty b' P b / 2.
 
     penalty: P, or the factor of a unit matrix. Newton's method for all variables at once: a round is one pass over the rows, in which each
     variable tries one point. Where the loss falls enough the step is taken and a new one is made, else it is halved. The start is
-    the least squares fit of the logarithm of the mean rate, so large counts begin near their optimum. It ends when no variable's
+    the least squares fit of the logarithm of the mean rate, so large counts begin near their optimum, or the table (var, b) given. It ends when no variable's
     step promises more than ``tolerance`` of its loss. loss: the penalised negative log-likelihood without the factorials; slope: the largest entry
     of its gradient. Rows with null y, z or offset don't count; without penalty, a variable without any count has no optimum and
     stops far out. State is one row a variable and is stored between rounds; so are the rows, once.
     """
     P = np.asarray(penalty, float) * np.eye(p) if np.ndim(penalty) == 0 else np.asarray(penalty, float)
-    rows = stored(rows.where("y IS NOT NULL AND z IS NOT NULL AND offset IS NOT NULL").select(F.col("var").cast("int").alias("var"), F.col("y").cast("double").alias("y"), "z", F.col("offset").cast("double").alias("offset")))
+    kind = rows.schema["var"].dataType
+    rows = stored(rows.where("y IS NOT NULL AND z IS NOT NULL AND offset IS NOT NULL").select(F.col("var").cast("long").alias("var"), F.col("y").cast("double").alias("y"), "z", F.col("offset").cast("double").alias("offset")))
     mean = rows.groupBy("var").agg(F.log(F.greatest(F.sum("y"), F.lit(0.5)) / F.sum(F.exp("offset"))).alias("level"), *[F.avg(F.get("z", F.lit(k))).alias(f"z{k}") for k in range(p)])
     norm = sum(F.col(f"z{k}") ** 2 for k in range(p))
-    first = mean.select("var", F.array(*[F.when(norm > 0, F.col("level") * F.col(f"z{k}") / norm).otherwise(0.0) for k in range(p)]).alias("b"))
+    first = start.select(F.col("var").cast("long").alias("var"), "b") if start is not None else mean.select("var", F.array(*[F.when(norm > 0, F.col("level") * F.col(f"z{k}") / norm).otherwise(0.0) for k in range(p)]).alias("b"))
     none, upper = F.lit(None).cast("double"), np.triu_indices(p)
     state = stored(first.select("var", "b", none.alias("loss"), F.array_repeat(F.lit(0.0), p).alias("step"), none.alias("gain"), F.lit(1.0).alias("scale"), none.alias("slope"), none.alias("n"), F.lit(False).alias("done")))
 
@@ -153,7 +154,7 @@ def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray =
         state = stored(moved_on.unionByName(state.where("done")))
         if state.where("NOT done").isEmpty():
             break
-    return state.select("var", "b", "loss", "slope", F.col("n").cast("long").alias("n"))
+    return state.select(F.col("var").cast(kind).alias("var"), "b", "loss", "slope", F.col("n").cast("long").alias("n"))
 
 
 def smoothness(p: int, weight: float, ridge: float = 0.0) -> np.ndarray:

@@ -81,3 +81,26 @@ def test_every_step_of_long_spans(spark):
     got = lagcov.every(spark.createDataFrame([(0, 0, 25_000), (1, 7, 7), (2, -3, 12)], "trial int, a int, b int"), block=50)
     counts = {r.trial: (r.n, r.lo, r.hi, r.d) for r in got.groupBy("trial").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.countDistinct("t").alias("d")).collect()}
     assert counts == {0: (25_001, 0, 25_000, 25_001), 1: (1, 7, 7, 1), 2: (16, -3, 12, 16)}
+
+
+def test_components_of_counts_are_found(spark):
+    """One planted component behind twelve variables, a tenth of the cells unseen."""
+    from tessera.jobs import count_factors
+
+    rng = np.random.default_rng(3)
+    x, c, d = rng.standard_normal(120), rng.standard_normal(12), rng.standard_normal(12) * 0.3 + 1.0
+    y = rng.poisson(np.exp(np.outer(x, c) + d))
+    rows = [(k // 40, 5 + k % 40, v, None if rng.random() < 0.1 else float(y[k, v])) for k in range(120) for v in range(12)]
+    given = spark.createDataFrame(rows, "trial int, t int, var int, y double")
+    loadings, factors, losses = count_factors.factored(given, 1, turns=3)
+    assert all(b <= a for a, b in zip(losses, losses[1:], strict=False))
+    got = {(r.trial, r.t): r.x[0] for r in factors.collect()}
+    assert len(got) == 120 and abs(np.corrcoef([got[k // 40, 5 + k % 40] for k in range(120)], x)[0, 1]) > 0.95
+    weights = {r["var"]: r["b"] for r in loadings.collect()}
+    assert abs(np.corrcoef([weights[v][0] for v in range(12)], c)[0, 1]) > 0.95
+    #: The loss is that of its definition.
+    drive = np.array([[weights[v][0] * got[k // 40, 5 + k % 40] + weights[v][1] for v in range(12)] for k in range(120)])
+    seen = np.array([r[3] is not None for r in rows]).reshape(120, 12)
+    want = (np.exp(drive) - y * drive)[seen].sum() + 0.05 * (sum(v**2 for v in got.values()) + sum(w[0] ** 2 for w in weights.values()))
+    assert np.isclose(losses[-1], want, rtol=1e-8)
+    assert count_factors.factored(given.limit(0), 1)[2] == []

@@ -97,6 +97,11 @@ def test_descent_lowers_the_loss(made):
     assert len(rows) == 12 and rows["loss"].iloc[-3:].mean() < rows["loss"].iloc[:3].mean()
 
 
+def test_components_of_counts_lower_the_loss(made):
+    loss = made("expfam_pca").sort_values("turn")["loss"]
+    assert len(loss) == 3 and loss.is_monotonic_decreasing
+
+
 def test_predictions_and_draws(made):
     """Rates of the last six hours of each day; draws for all hours, on average near the measured counts."""
     rows = made("predict_range")
@@ -107,5 +112,5 @@ def test_predictions_and_draws(made):
 
 
 def test_each_query_without_sql_is_tested_here():
-    known = "kalman_smoother kalman_smoother_gap_vector laplace_inference laplace_softplus variational_inference em_fit plds_em em_parameters online_em ssid_svd iter_ssid stitched_lagcov hankel_sgd predict_range plds_sample"
+    known = "kalman_smoother kalman_smoother_gap_vector laplace_inference laplace_softplus variational_inference em_fit plds_em em_parameters online_em ssid_svd iter_ssid stitched_lagcov hankel_sgd expfam_pca predict_range plds_sample"
     assert WITHOUT == sorted(known.split())
