@@ -20,7 +20,7 @@ from tessera.sources.store import shared_dir
 WHOLE = 1 << 40
 
 
-def solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x with H x = b for a symmetric block-tridiagonal H, and the diagonal and upper blocks of its inverse.
 
     diag: [T, n, n], off: [T-1, n, n] blocks (t, t+1), b: [T, n]. One forward elimination, one pass back.
@@ -57,7 +57,7 @@ def prior_blocks(model: Model, steps: int) -> tuple[np.ndarray, np.ndarray, np.n
     return diag, off, mean
 
 
-def times_blocks(diag: np.ndarray, off: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _times(diag: np.ndarray, off: np.ndarray, x: np.ndarray) -> np.ndarray:
     out = np.einsum("tij,tj->ti", diag, x)
     if len(off):
         out[:-1] += np.einsum("tij,tj->ti", off, x[1:])
@@ -80,14 +80,14 @@ def laplace(model: Model, y: np.ndarray, rounds: int = 100, tolerance: float = 1
     def value(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
         fit, pull, bend = (np.where(on, a, 0.0) for a in terms(counts, x @ model.C.T + model.d))
         z = x - mean
-        return float(fit.sum() - 0.5 * (z * times_blocks(diag, off, z)).sum()), pull, bend, z
+        return float(fit.sum() - 0.5 * (z * _times(diag, off, z)).sum()), pull, bend, z
 
     x = mean.copy()
     now, pull, bend, z = value(x)
     for _ in range(rounds):
-        grad = pull @ model.C - times_blocks(diag, off, z)
+        grad = pull @ model.C - _times(diag, off, z)
         hess = diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C)
-        step, _, _ = solve_blocks(hess, off, grad)
+        step, _, _ = _solve_blocks(hess, off, grad)
         scale = 1.0
         while scale > 1e-8 and (new := value(x + scale * step))[0] < now:
             scale /= 2
@@ -97,15 +97,15 @@ def laplace(model: Model, y: np.ndarray, rounds: int = 100, tolerance: float = 1
         x = x + scale * step
         now, pull, bend, z = new
     hess = diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C)
-    _, cov, up = solve_blocks(hess, off, np.zeros_like(x))
+    _, cov, up = _solve_blocks(hess, off, np.zeros_like(x))
     cross = np.zeros_like(cov)
     cross[1:] = np.transpose(up, (0, 2, 1))
-    det = lambda d, o: sum(np.linalg.slogdet(b)[1] for b in pivots(d, o))
+    det = lambda d, o: sum(np.linalg.slogdet(b)[1] for b in _pivots(d, o))
     log_fact = np.array([np.log(np.arange(1, int(c) + 1)).sum() for c in counts.ravel()]).sum()
     return x, cov, cross, now - log_fact + 0.5 * (det(diag, off) - det(hess, off))
 
 
-def pivots(diag: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+def _pivots(diag: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     out = [diag[0]]
     for t in range(1, len(diag)):
         out.append(diag[t] - off[t - 1].T @ np.linalg.solve(out[-1], off[t - 1]))
@@ -252,14 +252,14 @@ def at_end(model: Model, y: np.ndarray, u: np.ndarray, s: np.ndarray, private: b
     def height(x: np.ndarray, e: np.ndarray) -> float:
         drive, z = x @ model.C.T + model.d + s, x - mean
         own = np.where(on, counts * (drive + e) - np.exp(np.minimum(drive + e, 50.0)), 0.0).sum() - (0.5 * np.where(on, e * e, 0.0) / np.where(noise > 0, noise, 1.0)).sum()
-        return float(own - 0.5 * (z * times_blocks(diag, off, z)).sum())
+        return float(own - 0.5 * (z * _times(diag, off, z)).sum())
 
     x, e = mean.copy(), np.zeros_like(counts)
     e, pull, bend = cells(x @ model.C.T + model.d + s, e)
     now = height(x, e)
     for _ in range(100):
-        grad = pull @ model.C - times_blocks(diag, off, x - mean)
-        step, _, _ = solve_blocks(diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C), off, grad)
+        grad = pull @ model.C - _times(diag, off, x - mean)
+        step, _, _ = _solve_blocks(diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C), off, grad)
         scale = 1.0
         while True:
             at = x + scale * step
@@ -271,7 +271,7 @@ def at_end(model: Model, y: np.ndarray, u: np.ndarray, s: np.ndarray, private: b
         if new - now <= 1e-10:
             break
         x, e, pull, bend, now = at, e_at, pull_at, bend_at, new
-    _, cov, _ = solve_blocks(diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C), off, np.zeros_like(x))
+    _, cov, _ = _solve_blocks(diag + np.einsum("tp,pi,pj->tij", bend, model.C, model.C), off, np.zeros_like(x))
     return x[-1].reshape(n), cov[-1]
 
 

@@ -81,7 +81,7 @@ class Dual:
         self.constant = -sum(np.log(np.arange(1, int(c) + 1)).sum() for c in self.y)
 
     def log_det(self, diag: np.ndarray) -> float:
-        return float(sum(np.linalg.slogdet(b)[1] for b in poisson.pivots(diag, self.off)))
+        return float(sum(np.linalg.slogdet(b)[1] for b in poisson._pivots(diag, self.off)))
 
     def spread(self, cells: np.ndarray) -> np.ndarray:
         """[steps, p] of values of the seen cells, zero elsewhere."""
@@ -91,9 +91,9 @@ class Dual:
 
     def posterior(self, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Means, covariances, upper covariances and the diagonal blocks of the precision that lam stands for."""
-        shift, _, _ = poisson.solve_blocks(self.diag, self.off, self.spread(self.y - lam) @ self.model.C)
+        shift, _, _ = poisson._solve_blocks(self.diag, self.off, self.spread(self.y - lam) @ self.model.C)
         precision = self.diag + np.einsum("tp,pij->tij", self.spread(lam), self.squares)
-        _, cov, up = poisson.solve_blocks(precision, self.off, np.zeros_like(self.mean))
+        _, cov, up = poisson._solve_blocks(precision, self.off, np.zeros_like(self.mean))
         return self.mean + shift, cov, up, precision
 
     def __call__(self, lam: np.ndarray) -> tuple[float, np.ndarray]:
@@ -119,7 +119,7 @@ class Dual:
         m, cov, up, precision = self.posterior(lam)
         z = m - self.mean
         trace = np.einsum("tij,tji->", self.diag, cov) + 2 * np.einsum("tij,tij->", self.off, up)
-        divergence = 0.5 * (trace + (z * poisson.times_blocks(self.diag, self.off, z)).sum() - m.size + self.log_det(precision) - self.log_prior)
+        divergence = 0.5 * (trace + (z * poisson._times(self.diag, self.off, z)).sum() - m.size + self.log_det(precision) - self.log_prior)
         return self.fit(m, cov) - divergence
 
 
