@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import links
-from tessera.jobs import count_factors, fitting, hankel_descent, partial_models, poisson, variational
+from tessera.jobs import count_factors, fitting, hankel_descent, low_rank_rates, partial_models, poisson, variational
 from tessera.jobs.learning_queries import ORACLES, QUERIES
 from tessera.jobs.queries import COUNTS, MASKED, SCHEME, VECTORS, _poisson_start, _pops, _start, counts, dims, kinds, masked_counts, query
 from tessera.operators import kalman, lagcov, learning, scan, scheme
@@ -231,3 +231,10 @@ def expfam_pca(spark, sf):
     """The penalised loss of one component of the counts by turn over loadings and factors."""
     _, _, losses = count_factors.factored(masked_counts(spark, sf), 1, turns=3)
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "turn int, loss double")
+
+
+@query("low_rank_rates")
+def low_rank_rates_of_counts(spark, sf):
+    """Rates of low rank behind the counts, also where they aren't seen: one row a day, hour and event type."""
+    made = low_rank_rates.fit(masked_counts(spark, sf), kinds(spark, sf), strength=0.1, eps_rel=1e-4)
+    return made.rates.select("trial", "t", F.posexplode("x").alias("var", "x"))
