@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import links
-from tessera.jobs import count_factors, fitting, hankel_descent, low_rank_rates, partial_models, poisson, variational
+from tessera.jobs import count_factors, fitting, hankel_descent, low_rank_rates, partial_models, poisson, timescales, variational
 from tessera.jobs.learning_queries import ORACLES, QUERIES
 from tessera.jobs.queries import COUNTS, MASKED, SCHEME, VECTORS, _poisson_start, _pops, _start, counts, dims, kinds, masked_counts, query
 from tessera.operators import kalman, lagcov, learning, scan, scheme
@@ -238,3 +238,44 @@ def low_rank_rates_of_counts(spark, sf):
     """Rates of low rank behind the counts, also where they aren't seen: one row a day, hour and event type."""
     made = low_rank_rates.fit(masked_counts(spark, sf), kinds(spark, sf), strength=0.1, eps_rel=1e-4)
     return made.rates.select("trial", "t", F.posexplode("x").alias("var", "x"))
+
+
+#: Days whose first half has long steps and whose second half short ones, of a process with decay 0.3 and noise 0.6 an unit of time.
+TIMES = dict(dts=[1.0, 0.25], decay=0.3, noise=0.6)
+_TIMES_SQL = MASKED + f""",
+o AS (SELECT var, avg(y) AS d, greatest(var_pop(y), 1e-6) / 2 AS r FROM k WHERE y IS NOT NULL GROUP BY var),
+i AS MATERIALIZED (SELECT trial, t, CASE WHEN t < 12 THEN {TIMES['dts'][0]}::DOUBLE ELSE {TIMES['dts'][1]}::DOUBLE END AS dt, CAST(count(y) AS DOUBLE) AS s, coalesce(sum(sqrt(r) * (y - d) / r), 0) AS w FROM k JOIN o USING (var) GROUP BY ALL),
+st AS MATERIALIZED (SELECT *, exp(-{TIMES['decay']} * dt) AS a, {TIMES['noise']} * (1 - exp(-2 * {TIMES['decay']} * dt)) / (2 * {TIMES['decay']}) AS q FROM i),
+f AS (
+  SELECT trial, t, 0.0::DOUBLE AS m, 1.0::DOUBLE AS p, w / (1 + s) AS mu, 1 / (1 + s) AS v FROM st WHERE t = 0
+  UNION ALL
+  SELECT st.trial, st.t, a * mu, a * a * v + q, a * mu + (w - s * a * mu) / (1 / (a * a * v + q) + s), 1 / (1 / (a * a * v + q) + s) FROM f JOIN st ON st.trial = f.trial AND st.t = f.t + 1),
+g AS MATERIALIZED (SELECT * FROM f),
+bk AS (
+  SELECT trial, t, mu AS x, v AS vs FROM g WHERE t = (SELECT max(t) FROM g)
+  UNION ALL
+  SELECT e.trial, e.t, e.mu + e.v * st.a / n.p * (bk.x - n.m), e.v + pow(e.v * st.a / n.p, 2) * (bk.vs - n.p)
+  FROM bk JOIN g n ON n.trial = bk.trial AND n.t = bk.t JOIN st ON st.trial = bk.trial AND st.t = bk.t JOIN g e ON e.trial = bk.trial AND e.t = bk.t - 1)"""
+
+
+def _timed(spark, sf):
+    """The panel, when step lengths change, and a process in continuous time seen by all event types."""
+    packed, model, _ = _scalar_start(spark, sf, False)
+    schedule = packed.select("trial").distinct().select("trial", F.explode(F.array(F.struct(F.lit(0).alias("t"), F.lit(0).alias("scale")), F.struct(F.lit(12).alias("t"), F.lit(1).alias("scale")))).alias("s")).select("trial", "s.*")
+    one = np.array([[1.0]])
+    return packed, schedule, timescales.timed(model, -TIMES["decay"] * one, TIMES["noise"] * one, TIMES["dts"])
+
+
+@query("kalman_smoother_timescales", f"WITH RECURSIVE {_TIMES_SQL} SELECT trial, t, round(x, 6) + 0.0 AS x, round(vs, 8) AS v FROM bk")
+def kalman_smoother_timescales(spark, sf):
+    """Days as a process in continuous time whose steps are four times shorter from noon on, smoothed in segments."""
+    made = timescales.posterior(*_timed(spark, sf), steps=9)
+    return made.select("trial", "t", (F.round(F.get("x", F.lit(0)), 6) + 0.0).alias("x"), F.round(F.get("v", F.lit(0)), 8).alias("v"))
+
+
+@query("em_timescales")
+def em_timescales(spark, sf):
+    """The log-likelihood by round of a fit in which each step length has its own move."""
+    packed, schedule, model = _timed(spark, sf)
+    _, trace = timescales.fit(packed, schedule, model, rounds=4)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(trace)], "round int, loglik double")

@@ -33,6 +33,10 @@ class Model:
         """What the input of a step adds to its state."""
         return np.zeros(len(self.mu0)) if self.B is None or u is None else self.B @ u
 
+    def move(self, u: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """A and Q of the move to a step with this input."""
+        return self.A, self.Q
+
 
 def filtered(model: Model, y: np.ndarray, u: np.ndarray | None = None, before: State | None = None) -> tuple[np.ndarray, ...]:
     """Means and covariances before and after each step and the log-likelihood; NaN cells aren't observed.
@@ -44,8 +48,9 @@ def filtered(model: Model, y: np.ndarray, u: np.ndarray | None = None, before: S
     mu, v, ll = np.zeros((steps, n)), np.zeros((steps, n, n)), np.zeros(steps)
     for t in range(steps):
         past = (mu[t - 1], v[t - 1]) if t else before
-        m[t] = model.mu0 if past is None else model.A @ past[0] + model.drift(None if u is None else u[t])
-        p[t] = model.V0 if past is None else model.A @ past[1] @ model.A.T + model.Q
+        A, Q = model.move(None if u is None else u[t])
+        m[t] = model.mu0 if past is None else A @ past[0] + model.drift(None if u is None else u[t])
+        p[t] = model.V0 if past is None else A @ past[1] @ A.T + Q
         on = np.isfinite(y[t])
         mu[t], v[t] = m[t], p[t]
         if on.any():
@@ -78,7 +83,7 @@ def smoothed_segment(model: Model, y: np.ndarray, u: np.ndarray | None = None, b
     first = None
     for t in range(len(y) - 2, -1 if before is None else -2, -1):
         past = (mu[t], v[t]) if t >= 0 else before
-        j = past[1] @ model.A.T @ np.linalg.inv(p[t + 1])
+        j = past[1] @ model.move(None if u is None else u[t + 1])[0].T @ np.linalg.inv(p[t + 1])
         x, c = past[0] + j @ (xs[t + 1] - m[t + 1]), past[1] + j @ (vs[t + 1] - p[t + 1]) @ j.T
         cross[t + 1] = vs[t + 1] @ j.T
         if t >= 0:

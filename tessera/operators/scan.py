@@ -46,7 +46,8 @@ def step_map(model: Model, y: np.ndarray, u: np.ndarray | None, at: int) -> Forw
     if not at:
         F_, Q, drift = np.zeros((n, n)), model.V0, model.mu0
     else:
-        F_, Q, drift = model.A, model.Q, model.drift(u)
+        F_, Q = model.move(u)
+        drift = model.drift(u)
     if not on.any():
         return F_, drift, Q, np.zeros(n), np.zeros((n, n))
     c, r = model.C[on], model.R[on]
@@ -76,7 +77,7 @@ def backward_map(model: Model, y: np.ndarray, u: np.ndarray | None, before: Stat
     n = len(before[0])
     E, g, L = np.eye(n), np.zeros(n), np.zeros((n, n))
     for k in range(len(y) - 1, -1, -1):
-        e = np.linalg.solve(p[k].T, model.A @ past_v[k].T).T
+        e = np.linalg.solve(p[k].T, model.move(None if u is None else u[k])[0] @ past_v[k].T).T
         one = (e, past_mu[k] - e @ m[k], past_v[k] - e @ p[k] @ e.T)
         E, g, L = one[0] @ E, one[0] @ g + one[1], one[0] @ L @ one[0].T + one[2]
     return E, g, (L + L.T) / 2
