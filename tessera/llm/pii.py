@@ -1,15 +1,17 @@
 """Personal data: fixed patterns plus a linear-chain conditional random field over word shapes.
 
 The field labels whitespace words with O or a kind of personal data. Its features are properties of a word's
-shape (letters, digits and punctuation classes, never the letters themselves) and the shapes of both
-neighbours. It is trained from a small labelled table: windows around pattern matches in a bounded
-sample of documents, with telephone numbers without a plus sign labelled too. Decoding runs Viterbi over all words of a batch of documents at once.
+shape (letters, digits and punctuation classes, never the letters themselves), the shapes of both
+neighbours, and whether words that announce a telephone number or another kind of number stand before digits. It is trained from a small labelled table: windows
+of a bounded sample of documents around pattern matches, and windows into which numbers were set whose label their form and context
+decide. Decoding runs Viterbi over all words of a batch of documents at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,22 +74,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: Words that announce a telephone number, and words that announce numbers of other kinds. Fixed values.
+PHONE_CUES = frozenset("call calls cell fax mobile phone phones ring sms tel telephone whatsapp appelez portable tél téléphone anruf anrufen handy telefon telefonnummer llamar llame móvil teléfono".encode().split())
+NUMBER_CUES = frozenset("account article chapter code count id invoice isbn item lines no number order page pages part ref reference row rows section serial sum table total values version year years commande facture numéro référence bestellung nr nummer rechnung seite factura número pedido página".encode().split())
+#: What stands for a word that announces a telephone number, or another one.
+PHONE_CUE, NUMBER_CUE = b"\x01", b"\x02"
+OUTER = b".,;:!?\"'()[]{}<>|*#$&%"
+
+
 def shapes(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(SHAPE).split()
+    """A shape a word; the word before digits is a cue if it or the word before it announces a number and it has no digit itself."""
+    raw = text.encode("utf-8", "surrogatepass")
+    out = raw.translate(SHAPE).split()
+    at = [i for i in range(1, len(out)) if b"d" in out[i] and b"d" not in out[i - 1]]
+    if at:
+        words = raw.split()
+        for i in at:
+            for j in (i - 1, i - 2):
+                word = words[j].strip(OUTER).lower() if j >= 0 else b""
+                if word in PHONE_CUES or word in NUMBER_CUES:
+                    out[i - 1] = PHONE_CUE if word in PHONE_CUES else NUMBER_CUE
+                    break
+    return out
 
 
 #: Properties of a shape, each a yes or no; the first is always yes.
-N_FEATURES = 24
+N_FEATURES = 26
 
 
 def features(shape: bytes) -> np.ndarray:
-    bare = shape.strip(b".,;:!?\"'()[]{}<>|*#$&%")
+    bare = shape.strip(OUTER)
     d, parts = bare.count(b"d"), re.split(rb"[ .-]", bare)
     counts = [d == 0, d == 1, d == 2, d == 3, d == 4, 5 <= d <= 8, 9 <= d <= 11, 12 <= d <= 15, d == 16, d > 16]
     forms = [b"@" in bare, b"@" in bare and b"." in bare.partition(b"@")[2], bare.startswith(b"+") or shape.startswith(b"+"), shape.startswith(b"(") and d > 0]
     groups = [len(parts) == 4 and all(p and set(p) == {100} and len(p) <= 3 for p in parts), len(parts) > 1 and d == len(bare) - len(parts) + 1, d > 0 and d == len(bare), d > 0 and b"-" in bare]
     letters = [d == 0 and bare.islower(), d == 0 and bare[:1] == b"X", d > 0 and (b"x" in bare or b"X" in bare), not bare, shape != bare]
-    return np.array([True, *counts, *forms, *groups, *letters], np.float32)
+    return np.array([True, *counts, *forms, *groups, *letters, shape == PHONE_CUE, shape == NUMBER_CUE], np.float32)
 
 
 @dataclass
@@ -118,7 +140,11 @@ class Field:
             x = np.stack([features(w) for w in new])
             scores = np.stack([x @ self.own, x @ self.before, x @ self.after])
             base = len(self.known)
-            self.rows = scores if self.rows is None else np.concatenate([self.rows, scores], axis=1)
+            if self.rows is None or self.rows.shape[1] < base + len(new):  # room for twice as many
+                room = np.zeros((3, 2 * (base + len(new)), scores.shape[2]), scores.dtype)
+                room[:, :base] = 0.0 if self.rows is None else self.rows[:, :base]
+                self.rows = room
+            self.rows[:, base : base + len(new)] = scores
             self.known.update((w, base + i) for i, w in enumerate(new))
             found = [self.known[w] for w in words]
         return np.array(found, np.int32)
@@ -185,36 +211,37 @@ def word_labels(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-#: Forms in which telephone numbers are written without a plus sign, as shapes of words and as a pattern.
-PLAIN_PHONES = ((b"(ddd)", b"ddd-dddd"), (b"ddd-ddd-dddd",), (b"ddd.ddd.dddd",), (b"(ddd)", b"ddd", b"dddd"))
-PLAIN_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-]|\.[0-9])")
+#: Telephone numbers by their form alone, as shapes of words.
+PLAIN_PHONES = ((b"(ddd)", b"ddd-dddd"), (b"ddd-ddd-dddd",), (b"ddd.ddd.dddd",), (b"(ddd)", b"ddd", b"dddd"), (b"ddd", b"ddd-dddd"))
+#: Numbers that are telephone numbers behind a word that says so, and other numbers without it.
+OPEN_FORMS = ((b"dddddddddd",), (b"dddd", b"dddddd"), (b"dd", b"dd", b"dd", b"dd"), (b"dddddd-ddddd",), (b"ddd", b"ddd", b"ddd"), (b"dddddddd",), (b"ddd", b"ddd", b"dddd"), (b"ddd-dddd",), (b"ddddd", b"dddd"))
+#: Numbers that are never telephone numbers: years, dates, amounts, book numbers, rows of figures.
+OTHER_FORMS = ((b"dddd",), (b"dddd", b"dddd", b"dddd"), (b"dd.dd.dddd",), (b"dddd-dd-dd",), (b"d,ddd,ddd",), (b"ddd-d-dd-dddddd-d",), (b"ddddddddddddd",), (b"ddd",), (b"dd",), (b"d.dd",), (b"dd", b"ddd", b"dd", b"d"))
+#: Places that may be a telephone number without a plus sign: no window of a text with one is taken, as nobody knows its label.
+UNSURE = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-]|\.[0-9])")
 
 
-def without_plus(words: list[bytes], labels: np.ndarray) -> tuple[list[bytes], np.ndarray] | None:
-    """A window whose first telephone number is written without a plus sign, in a form that the window's length picks; None if there is none."""
-    at = np.flatnonzero(labels == LABELS.index("phone"))
-    if not len(at) or not words[at[0]].startswith(b"+"):
-        return None
-    a = b = int(at[0])
-    while b < len(words) and labels[b] == labels[a]:
-        b += 1
-    form = PLAIN_PHONES[sum(map(len, words)) % len(PLAIN_PHONES)]
-    return [*words[:a], *form, *words[b:]], np.r_[labels[:a], np.full(len(form), labels[a]), labels[b:]].astype(np.int8)
+def with_number(words: list[bytes], labels: np.ndarray, at: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The window with numbers of several forms set in before word ``at``: one by form alone, one behind each kind of cue or none, one that is none.
 
-
-def weak_spans(text: str) -> list[tuple[int, int, int]]:
-    """The base spans, and outside of them telephone numbers without a plus sign: labels for training alone."""
-    base = base_spans(text)
-    plain = [(m.start(), 3, m.end()) for m in PLAIN_PHONE.finditer(text)] if DIGITS.search(text) else []
-    return sorted([*base, *(x for x in plain if not any(a < x[2] and x[0] < b for a, _, b in base))])
+    The window's own length and words pick the forms.
+    """
+    pick = zlib.crc32(b" ".join(words))
+    phone = LABELS.index("phone")
+    take = lambda forms, by: forms[(pick >> by) % len(forms)]
+    lone, open_, other = take(PLAIN_PHONES, 0), take(OPEN_FORMS, 7), take(OTHER_FORMS, 14)
+    cases = [((), lone, phone), ((PHONE_CUE,), take(PLAIN_PHONES, 3), phone), ((PHONE_CUE,), open_, phone), ((PHONE_CUE,), take(OPEN_FORMS, 11), phone)]
+    cases += [((NUMBER_CUE,), take(OPEN_FORMS, 9), 0), ((), open_, 0), ((), other, 0), ((NUMBER_CUE,), take(OTHER_FORMS, 17), 0)]
+    for cue, form, label in cases:
+        yield [*words[:at], *cue, *form, *words[at:]], np.r_[labels[:at], np.zeros(len(cue)), np.full(len(form), label), labels[at:]].astype(np.int8)
 
 
 def labelled_table(docs: DataFrame, *, max_docs: int = 4000, max_windows: int = 1500, around: int = 6) -> pd.DataFrame:
     """The training table (shapes, labels), one window a row, from at most about max_docs documents.
 
-    Documents are chosen by a hash of the text. Each gives the windows around its weak spans and one window
-    from its middle, and windows with a telephone number once more with a form of it that the patterns don't know; rows beyond
-    max_windows, in order, are left out. Null texts don't count, an empty table gives none.
+    Documents are chosen by a hash of the text. Each gives windows around its base spans, at most eight, and one from its middle, this also with
+    numbers set in (``with_number``); rows beyond max_windows, in the order of a hash, are left out. Texts with a number of unsure kind
+    give none. Null texts don't count, an empty table gives none.
     """
     texts = docs.where(F.col("text").isNotNull()).select("text")
     share = max_docs / max(1, texts.count())
@@ -225,15 +252,19 @@ def labelled_table(docs: DataFrame, *, max_docs: int = 4000, max_windows: int =
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                spans = weak_spans(text)
+                spans = base_spans(text)
+                if any(not any(a < m.end() and m.start() < b for a, _, b in spans) for m in UNSURE.finditer(text)):
+                    continue
                 words, labels = shapes(text), word_labels(text, spans)
                 hits = np.flatnonzero(labels)
-                centres = [len(words) // 2, *hits[: 4 * around : 2]]
-                for c in centres[: 1 + 8]:
+                middle = len(words) // 2
+                for c in (middle, *hits[:16:2]):
                     a, b = max(0, c - around), c + around + 1
                     if words[a:b]:
-                        for w, marks in filter(None, [(words[a:b], labels[a:b]), without_plus(words[a:b], labels[a:b])]):
-                            rows.append((b" ".join(w), marks.tobytes()))
+                        rows.append((b" ".join(words[a:b]), labels[a:b].tobytes()))
+                a, b = max(0, middle - around), middle + around + 1
+                if words[a:b] and not labels[a:b].any():
+                    rows += [(b" ".join(w), marks.tobytes()) for w, marks in with_number(words[a:b], labels[a:b], middle - a)]
             yield pd.DataFrame(rows, columns=["shapes", "labels"])
 
     made = texts.mapInPandas(cut, "shapes binary, labels binary").distinct().orderBy(F.xxhash64("shapes", "labels")).limit(max_windows)
@@ -281,7 +312,7 @@ def train(table: pd.DataFrame, *, rounds: int = 100, rate: float = 0.15, decay:
 
 
 def _plausible(text: str, kind: int, a: int, b: int) -> bool:
-    """Whether a labelled stretch can be of its kind: an @ with a domain, four bytes, a Luhn number, 7 to 15 digits behind a plus sign or in groups of a telephone number."""
+    """Whether a labelled stretch can be of its kind: an @ with a domain, four bytes, a Luhn number, 7 to 15 digits with nothing but signs of telephone numbers between them."""
     part = text[a:b]
     digits = "".join(DIGITS.findall(part))
     if kind == 0:
@@ -289,7 +320,7 @@ def _plausible(text: str, kind: int, a: int, b: int) -> bool:
     if kind == 1:
         m = IP.fullmatch(part)
         return bool(m) and all(map(_small, m.groups()))
-    return 12 <= len(digits) <= 19 and bool(CARD.fullmatch(part)) and _luhn(digits) if kind == 2 else bool(PLAIN_PHONE.fullmatch(part)) or part.startswith("+") and 7 <= len(digits) <= 15
+    return 12 <= len(digits) <= 19 and bool(CARD.fullmatch(part)) and _luhn(digits) if kind == 2 else 7 <= len(digits) <= 15 and not part.strip("+0123456789 ().-/")
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
