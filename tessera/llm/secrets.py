@@ -110,37 +110,48 @@ def overlaps(x: Column, spans: Column, halvings: int = 31) -> Column:
 def window_entropy(string: Column, symbols: str, window: int = 20) -> Column:
     """Largest Shannon entropy (bits a symbol) of a window of ``window`` symbols of the class; 0 if none fits.
 
-    A symbol outside the class empties the window. In a step one symbol leaves and one enters: their counts in the window
-    change by one, and the sum of c*log2(c) follows them.
+    A symbol outside the class empties the window. Counts of the window's symbols are carried from step to step, packed into longs,
+    with the sum of c*log2(c): one symbol leaves, one enters, and only their two counts are read and changed.
     """
+    bits = window.bit_length()
+    held = 63 // bits  # counts a long
     terms = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 1)])
     codes = F.transform(F.split(string, ""), lambda ch: F.when(ch == "", F.lit(-1)).otherwise(F.instr(F.lit(symbols), ch) - 1))
-    same = lambda xs, k: F.size(F.filter(xs, lambda x: x == k))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    none = F.array(*[F.lit(0).cast("long")] * -(-len(symbols) // held))
+    units = F.array(*[F.lit(1 << bits * k) for k in range(held)])
+    cell = lambda k: F.floor(k / held).cast("int")
+    unit = lambda k: F.get(units, k % held)
 
-    def run(code: Column) -> Column:
-        def entered(acc: Column, k: Column, held: Column) -> Column:
-            """With k as one more symbol of a window of n held ones whose sum is s."""
-            return _with(
-                same(held, k),
-                lambda c: _with(
-                    acc["s"] + F.get(terms, c + 1) - F.get(terms, c),
-                    lambda s: F.struct((acc["n"] + 1).alias("n"), s.alias("s"), F.greatest(acc["best"], F.when(acc["n"] + 1 == window, F.lit(log2(window)) - s / window).otherwise(F.lit(0.0))).alias("best")),
-                ),
-            )
-
-        def left(acc: Column, i: Column) -> Column:
-            """A full window without its first symbol."""
-            one = lambda c: F.struct((acc["n"] - 1).alias("n"), (acc["s"] - F.get(terms, c) + F.get(terms, c - 1)).alias("s"), acc["best"].alias("best"))
-            return F.when(acc["n"] < window, acc).otherwise(_with(same(F.slice(code, i - window + 1, window), F.get(code, i - window)), one))
+    def state(n: Column, s: Column, best: Column, counts: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), s.alias("s"), best.alias("best"), counts.alias("counts"))
+
+    def changed(counts: Column, k: Column, by: int) -> Column:
+        return F.transform(counts, lambda packed, at: F.when(at == cell(k), packed + by * unit(k)).otherwise(packed))
+
+    def count(counts: Column, k: Column) -> Column:
+        low = F.call_function("shiftright", F.get(counts, cell(k)), (k % held * bits).cast("int"))
+        return low.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+    def entered(acc: Column, k: Column) -> Column:
+        """With k as one more symbol of the window."""
+        def one(c: Column) -> Column:
+            s = acc["s"] + F.get(terms, c + 1) - F.get(terms, c)
+            full = F.when(acc["n"] + 1 == window, F.lit(log2(window)) - s / window).otherwise(F.lit(0.0))
+            return state(acc["n"] + 1, s, F.greatest(acc["best"], full), changed(acc["counts"], k, 1))
 
+        return _with(count(acc["counts"], k), one)
+
+    def left(acc: Column, k: Column) -> Column:
+        """A full window without its first symbol k."""
+        one = lambda c: state(acc["n"] - 1, acc["s"] - F.get(terms, c) + F.get(terms, c - 1), acc["best"], changed(acc["counts"], k, -1))
+        return F.when(acc["n"] < window, acc).otherwise(_with(count(acc["counts"], k), one))
+
+    def run(code: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            k = F.get(code, i)
-            with_k = _with(left(acc, i), lambda a: entered(a, k, F.slice(code, i - a["n"] + 1, a["n"])))
-            return F.when(k >= 0, with_k).otherwise(F.struct(zero["n"].alias("n"), zero["s"].alias("s"), acc["best"].alias("best")))
+            with_k = _with(left(acc, F.get(code, i - window)), lambda a: entered(a, F.get(code, i)))
+            return F.when(F.get(code, i) >= 0, with_k).otherwise(state(F.lit(0), F.lit(0.0), acc["best"], none))
 
-        start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, step, lambda acc: acc["best"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), state(F.lit(0), F.lit(0.0), F.lit(0.0), none), step, lambda acc: acc["best"])
 
     return F.when(F.length(string) < window, F.lit(0.0)).otherwise(_with(codes, run))
 
