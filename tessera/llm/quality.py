@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE_CLASS, space_words
 
 WINDOW = 8
+#: A line that begins with a bullet, a line that ends in an ellipsis; lines end at \\n alone.
+BULLET = r"(?:^|\n)[\x20\t]*[-*•]\x20"
+ELLIPSIS = r"(?:\.\.\.|…)[\x20\t\r]*(?:\n|\z)"
 
 
 @dataclass(frozen=True)
@@ -78,15 +81,46 @@ def base_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def default_rules(max_symbol_ratio: float = 0.3, min_word: float = 1.5, max_word: float = 25.0, max_dup_lines: float = 0.5, min_letters: float = 0.4) -> list[Rule]:
-    """Rules over base_figures(): mean word length, symbols per word, repeated lines, letters per character."""
+def most_common(words: Column) -> Column:
+    """How often the commonest word of an array occurs in it."""
+    def longest(w: Column) -> Column:
+        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        return _with(starts, lambda at: F.array_max(F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(w)) - i)))
+
+    return F.coalesce(_with(F.sort_array(words), longest), F.lit(0)).cast("long")
+
+
+def default_rules(
+    max_symbol_ratio: float = 0.3,
+    min_word: float = 1.5,
+    max_word: float = 25.0,
+    max_dup_lines: float = 0.5,
+    min_letters: float = 0.4,
+    min_letter_words: float = 0.5,
+    max_common: float = 0.3,
+    max_bullets: float = 0.9,
+    max_ellipses: float = 0.5,
+    some_lines: int = 3,
+) -> list[Rule]:
+    """Rules over base_figures(): mean word length, symbols per word, repeated lines, letters per character, words with a letter,
+    share of the commonest word, and in texts of some_lines lines or more those that begin with a bullet or end in an ellipsis.
+
+    The first three compare ready figures, the others read the text or its words again, so they are what the order saves.
+    """
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
     mean = F.col("word_chars") / F.greatest("n_words", F.lit(1))
+    words = space_words(F.col("text"))
+    with_letter = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}")))
+    lines = lambda pattern, most: (F.col("n_lines") >= some_lines) & (F.regexp_count("text", F.lit(pattern)) > most * F.col("n_lines"))
     return [
         Rule("word_length", (mean < min_word) | (mean > max_word)),
         Rule("symbols", F.col("n_symbols") > max_symbol_ratio * F.col("n_words")),
         Rule("repeated_lines", F.col("n_dup_lines") > max_dup_lines * F.col("n_lines")),
         Rule("letters", letters < min_letters * F.col("word_chars")),
+        Rule("letter_words", with_letter < min_letter_words * F.col("n_words")),
+        Rule("common_word", most_common(words) > max_common * F.col("n_words")),
+        Rule("bullets", lines(BULLET, max_bullets)),
+        Rule("ellipses", lines(ELLIPSIS, max_ellipses)),
     ]
 
 

@@ -111,12 +111,15 @@ f AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(ls) AS BIGINT) AS n_lines, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters
+    CAST(len(ls) AS BIGINT) AS n_lines, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS letter_words, coalesce(list_max(map_values(list_histogram(w))), 0) AS common,
+    len(regexp_extract_all(text, '(?:^|\n)[\x20\t]*[-*•]\x20')) AS bullets, len(regexp_extract_all(text, '(?:\.\.\.|…)[\x20\t\r]*(?:\n|\z)')) AS ellipses
   FROM d LEFT JOIN rep USING (r)),
 j AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars / greatest(n_words, 1) < 1.5 OR word_chars / greatest(n_words, 1) > 25.0
-    OR n_symbols > 0.3 * n_words OR n_dup_lines > 0.5 * n_lines OR letters < 0.4 * word_chars) AS kept
+    OR n_symbols > 0.3 * n_words OR n_dup_lines > 0.5 * n_lines OR letters < 0.4 * word_chars
+    OR letter_words < 0.5 * n_words OR common > 0.3 * n_words OR (n_lines >= 3 AND (bullets > 0.9 * n_lines OR ellipses > 0.5 * n_lines))) AS kept
 FROM j
 """
 

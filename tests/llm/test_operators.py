@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, decontam, hilbert, jaccard, langid, mixing, pii, quality, secrets, tokenfiles, warc
 from tessera.llm.queries import tokenizer_path
@@ -204,6 +205,24 @@ def test_quality(spark, odd, none):
     assert sorted((str(r.doc_id), r.kept) for r in turned) == sorted((str(r.doc_id), r.kept) for r in got)
 
 
+def test_quality_rules_name_their_reason(spark):
+    """Each rule rejects the text that breaks it alone; their texts without the fault stay."""
+    words = SAY.split()
+    numbers = " ".join(f"{k}{k}" for k in range(11, 41))
+    bad = {
+        "letter_words": f"{SAY} {numbers}",
+        "common_word": " ".join(f"w{k} the" if k % 2 else f"w{k} x{k}" for k in range(60)) + " the the the the the the the the the",
+        "bullets": "\n".join(f" • {w} and {w} once more" for w in words),
+        "ellipses": "\n".join(f"{w} and so {w} on … \r" for w in words),
+    }
+    good = [f"{SAY} {' '.join(numbers.split()[:20])}", "\n".join(f"{'-' if k % 2 else ''} {w} and {w}" for k, w in enumerate(words)), "- " + SAY + " ...", SAY + "\n...\n" + SAY[::-1] + "\nend"]
+    rows = [(k, t, "a") for k, t in enumerate([*bad.values(), *good])]
+    got = {r.doc_id: (r.reason, r.kept) for r in quality.judge(docs(spark, rows), quality.default_rules(), ordered=True).collect()}
+    assert got == {k: (name, False) for k, name in enumerate(bad)} | {k: (None, True) for k in range(len(bad), len(rows))}
+    got = spark.createDataFrame([(k, t.split()) for k, t in enumerate(["", "a", "b a b", "a b c", "b c b c c"])], "k int, w array<string>").select("k", quality.most_common(F.col("w")).alias("n")).collect()
+    assert sorted((r.k, r.n) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 1), (4, 3)]
+
+
 def targets(sizes):
     """Water-filling by rounds: share what is left among open sources, close those above their cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
