@@ -163,6 +163,32 @@ def poisson_psth(spark, sf):
     return made.select("var", F.posexplode("b").alias("part", "b")).select("var", "part", (F.round("b", 5) + 0.0).alias("b"))
 
 
+def _history_sql(rounds: int = 25) -> str:
+    """Newton's method for loading c, offset d and history weight w of each variable, carried on until it has settled."""
+    parts = ["c0 AS (SELECT var, 0.0::DOUBLE AS c, ln(avg(y)) AS d, 0.0::DOUBLE AS w FROM r GROUP BY var)"]
+    for i in range(rounds):
+        parts.append(f"""s{i} AS (SELECT var, c, d, w, sum(y * x - q * l) - 0.1 * c AS g0, sum(y - q) - 0.1 * d AS g1, sum((y - q) * h) - 0.1 * w AS g2,
+  sum(q * (l * l + v)) + 0.1 AS h00, sum(q * l) AS h01, sum(q * l * h) AS h02, sum(q) + 0.1 AS h11, sum(q * h) AS h12, sum(q * h * h) + 0.1 AS h22
+  FROM (SELECT *, x + v * c AS l, exp(c * x + d + w * h + c * c * v / 2) AS q FROM r JOIN c{i} USING (var)) GROUP BY var, c, d, w),
+i{i} AS (SELECT *, h11 * h22 - h12 * h12 AS a00, h02 * h12 - h01 * h22 AS a01, h01 * h12 - h02 * h11 AS a02, h00 * h22 - h02 * h02 AS a11, h01 * h02 - h00 * h12 AS a12, h00 * h11 - h01 * h01 AS a22 FROM s{i}),
+c{i + 1} AS MATERIALIZED (SELECT var, c + (a00 * g0 + a01 * g1 + a02 * g2) / z AS c, d + (a01 * g0 + a11 * g1 + a12 * g2) / z AS d, w + (a02 * g0 + a12 * g1 + a22 * g2) / z AS w
+  FROM (SELECT *, h00 * a00 + h01 * a01 + h02 * a02 AS z FROM i{i}))""")
+    return ",\n".join(parts)
+
+
+@query("observation_step_history", f"""WITH {COUNTS}, r AS MATERIALIZED (SELECT * FROM (
+  SELECT var, CAST(y AS DOUBLE) AS y, t / 24.0::DOUBLE - 0.5 AS x, 0.02::DOUBLE + t / 2400.0::DOUBLE AS v, CAST(lag(y) OVER (PARTITION BY trial, var ORDER BY t) AS DOUBLE) AS h FROM y) WHERE h IS NOT NULL),
+{_history_sql()} SELECT var, round(c, 5) + 0.0 AS c, round(d, 5) + 0.0 AS d, round(w, 5) + 0.0 AS w, 0.0::DOUBLE AS slope FROM c25""")
+def observation_step_history(spark, sf):
+    """Loadings, offsets and weights of the last count, given states of which a mean and a variance are known."""
+    y = counts(spark, sf)
+    t = F.col("t").cast("double")
+    states = y.select("trial", "t").distinct().select("trial", "t", F.array(t / 24 - 0.5).alias("x"), F.array(t / 2400 + 0.02).alias("v"))
+    made = learning.observation_step(y, states, 1, past=1)
+    one = lambda x, name: (F.round(x, 5) + 0.0).alias(name)
+    return made.select("var", one(F.get("c", F.lit(0)), "c"), one(F.col("d"), "d"), one(F.get("w", F.lit(0)), "w"), F.round("slope", 3).alias("slope"))
+
+
 LINK = """nodes AS (SELECT 16.0::DOUBLE * z / 320 - 8 AS z FROM range(321) r(z)),
 tab AS (SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, -6.0::DOUBLE + i * 0.25 AS m, k * 0.25::DOUBLE AS s FROM range(49) a(i), range(13) b(k)),
 lt AS MATERIALIZED (SELECT i, k, m, s, sum(exp(-z * z / 2) * (greatest(m + s * z, 0) + ln(1 + exp(-abs(m + s * z))))) / sum(exp(-z * z / 2)) AS value FROM tab, nodes GROUP BY ALL)"""

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.store import stored
@@ -68,9 +68,10 @@ TERMS = "var long, sums array<double>"
 STATE = "var long, b array<double>, loss double, step array<double>, gain double, scale double, slope double, n double, done boolean"
 
 
-def _terms(rows: DataFrame, p: int) -> DataFrame:
-    """(var, sums): count, loss, gradient and packed Hessian of the negative log-likelihood at ``try`` over rows (var, y, z, offset, try).
+def _terms(rows: DataFrame, p: int, spread: int) -> DataFrame:
+    """(var, sums): count, loss, gradient and packed Hessian of the negative log-likelihood at ``try`` over rows (var, y, z, v, offset, try).
 
+    Rates are averaged over the normal spread v of the first ``spread`` regressors.
     A task holds one packed line a variable and sends it once it has ``held`` of them; lines of one variable are added up by Spark.
     """
     upper = np.triu_indices(p)
@@ -88,29 +89,36 @@ def _terms(rows: DataFrame, p: int) -> DataFrame:
             var, y, offset = (batch.column(c).to_numpy() for c in ("var", "y", "offset"))
             z, b = (batch.column(c).flatten().to_numpy().reshape(len(y), p) for c in ("z", "try"))
             drive = (z * b).sum(axis=1) + offset
+            v, bent = (batch.column("v").flatten().to_numpy().reshape(len(y), spread, spread), b[:, :spread]) if spread else (np.zeros((len(y), 0, 0)), b[:, :0])
+            lift = np.einsum("rij,rj->ri", v, bent)
             with np.errstate(over="ignore"):
-                rate = np.exp(drive)  # infinite for a step too far, which is refused
-            for v in np.unique(var):
-                own = var == v
-                r, x = rate[own], z[own]
+                rate = np.exp(drive + 0.5 * (lift * bent).sum(axis=1))  # infinite for a step too far, which is refused
+            for name in np.unique(var):
+                own = var == name
+                r, x, raised = rate[own], z[own], z[own].copy()
+                raised[:, :spread] += lift[own]
                 with np.errstate(invalid="ignore"):
-                    hess = (x * r[:, None]).T @ x
-                    line = np.concatenate([[own.sum(), (r - y[own] * drive[own]).sum()], x.T @ (r - y[own]), hess[upper]])
-                held[int(v)] = held[int(v)] + line if int(v) in held else line
+                    grad, hess = x.T @ (r - y[own]), (raised * r[:, None]).T @ raised
+                    grad[:spread] += lift[own].T @ r
+                    hess[:spread, :spread] += np.einsum("r,rij->ij", r, v[own])
+                    line = np.concatenate([[own.sum(), (r - y[own] * drive[own]).sum()], grad, hess[upper]])
+                held[int(name)] = held[int(name)] + line if int(name) in held else line
             if len(held) >= held_at_most:
                 yield sent()
                 held.clear()
         if held:
             yield sent()
 
-    made = rows.select("var", "y", "z", "offset", "try").mapInArrow(run, TERMS)
+    made = rows.select("var", "y", "z", "v", "offset", "try").mapInArrow(run, TERMS)
     width = 2 + p + len(upper[0])
     return made.groupBy("var").agg(F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(width)]).alias("sums"))
 
 
-def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray = 0.1, rounds: int = 100, tolerance: float = 1e-16, start: DataFrame | None = None) -> DataFrame:
+def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray = 0.1, rounds: int = 100, tolerance: float = 1e-16, start: DataFrame | None = None, spread: int = 0) -> DataFrame:
     """(var, b array, loss, slope, n) for rows (var, y, z array of p regressors, offset): y ~ Poisson(exp(b z + offset)), penalty b' P b / 2.
 
+    With ``spread`` the first regressors are means of normal variables whose covariance is in the rows' column v, row by row; the
+    loss is then the expected one, whose rate is exp(b z + offset + b' v b / 2).
     penalty: P, or the factor of a unit matrix. Newton's method for all variables at once: a round is one pass over the rows, in which each
     variable tries one point. Where the loss falls enough the step is taken and a new one is made, else it is halved. The start is
     the least squares fit of the logarithm of the mean rate, so large counts begin near their optimum, or the table (var, b) given. It ends when no variable's
@@ -120,7 +128,9 @@ def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray =
     """
     P = np.asarray(penalty, float) * np.eye(p) if np.ndim(penalty) == 0 else np.asarray(penalty, float)
     kind = rows.schema["var"].dataType
-    rows = stored(rows.where("y IS NOT NULL AND z IS NOT NULL AND offset IS NOT NULL").select(F.col("var").cast("long").alias("var"), F.col("y").cast("double").alias("y"), "z", F.col("offset").cast("double").alias("offset")))
+    v = F.col("v") if spread else F.lit(None).cast("array<double>").alias("v")
+    whole = rows.where("y IS NOT NULL AND z IS NOT NULL AND offset IS NOT NULL" + (" AND v IS NOT NULL" if spread else ""))
+    rows = stored(whole.select(F.col("var").cast("long").alias("var"), F.col("y").cast("double").alias("y"), "z", v, F.col("offset").cast("double").alias("offset")))
     mean = rows.groupBy("var").agg(F.log(F.greatest(F.sum("y"), F.lit(0.5)) / F.sum(F.exp("offset"))).alias("level"), *[F.avg(F.get("z", F.lit(k))).alias(f"z{k}") for k in range(p)])
     norm = sum(F.col(f"z{k}") ** 2 for k in range(p))
     first = start.select(F.col("var").cast("long").alias("var"), "b") if start is not None else mean.select("var", F.array(*[F.when(norm > 0, F.col("level") * F.col(f"z{k}") / norm).otherwise(0.0) for k in range(p)]).alias("b"))
@@ -149,7 +159,7 @@ def poisson_regression(rows: DataFrame, p: int, *, penalty: float | np.ndarray =
     for _ in range(rounds):
         open_ = state.where("NOT done")
         tried = open_.select("var", F.zip_with("b", F.transform("step", lambda s: s * F.col("scale")), lambda a, s: a + s).alias("try"))
-        sums = _terms(rows.join(tried, "var"), p)
+        sums = _terms(rows.join(tried, "var"), p, spread)
         moved_on = open_.join(sums, "var").mapInPandas(update, STATE)
         state = stored(moved_on.unionByName(state.where("done")))
         if state.where("NOT done").isEmpty():
@@ -161,3 +171,20 @@ def smoothness(p: int, weight: float, ridge: float = 0.0) -> np.ndarray:
     """The penalty matrix of squared differences between neighbouring coefficients, as a smooth rate over time asks for."""
     d = np.diff(np.eye(p), axis=0)
     return weight * d.T @ d + ridge * np.eye(p)
+
+
+def observation_step(counts: DataFrame, states: DataFrame, n: int, *, past: int = 0, penalty: float | np.ndarray = 0.1) -> DataFrame:
+    """(var, c array, d, w array, loss, slope, n): loadings, offset and weights of its own last ``past`` counts for every variable.
+
+    counts: (trial, t, var, y), a row for every step of a trial's span, with null y where nothing was seen; states: (trial, t, x, v), as inference
+    leaves them for ``n`` latent dimensions. The rate is exp(c x + d + w h), averaged over the spread of x. Steps that lack a seen count,
+    one of the last ``past`` ones or a state don't count. Counts and states meet by (trial, t); then it is one regression for all variables.
+    penalty: on c, d and w in this order, as in ``poisson_regression``.
+    """
+    before = [F.lag("y", k).over(Window.partitionBy("trial", "var").orderBy("t")).cast("double") for k in range(1, past + 1)]
+    rows = counts.select("trial", "t", "var", "y", F.array(*before).cast("array<double>").alias("h"))
+    rows = rows.where(F.col("y").isNotNull() & F.forall("h", lambda x: x.isNotNull())).join(states.select("trial", "t", "x", "v"), ["trial", "t"])
+    z = F.concat("x", F.array(F.lit(1.0)), "h")
+    found = poisson_regression(rows.select("var", "y", z.alias("z"), "v", F.lit(0.0).alias("offset")), n + 1 + past, penalty=penalty, spread=n)
+    part = lambda a, size: F.slice("b", a + 1, size)
+    return found.select("var", part(0, n).alias("c"), F.get("b", F.lit(n)).alias("d"), part(n + 1, past).alias("w"), "loss", "slope", "n")

@@ -41,6 +41,31 @@ def test_poisson_regression_finds_the_optimum(spark, p, penalty):
     assert learning.poisson_regression(given.limit(0), p).count() == 0
 
 
+def test_observation_step_with_spread_and_history(spark):
+    """Loadings, offsets and history weights have no slope left by differences, over steps that have all they need."""
+    rng = np.random.default_rng(1)
+    n, past, steps = 2, 3, 60
+    x, root = rng.standard_normal((2, steps, n)), 0.3 * rng.standard_normal((2, steps, n, n))
+    v = root @ root.transpose(0, 1, 3, 2)
+    y = rng.poisson(np.exp(0.5 * x[:, :, :1] + np.array([0.0, 1.0, 3.0]))).astype(float)
+    y[rng.random(y.shape) < 0.1] = np.nan
+    states = spark.createDataFrame([(a, t, x[a, t].tolist(), v[a, t].ravel().tolist()) for a, t in np.ndindex(2, steps) if t != 30], "trial int, t int, x array<double>, v array<double>")
+    cells = spark.createDataFrame([(a, t, k, float(y[a, t, k]) if np.isfinite(y[a, t, k]) else None) for a, t, k in np.ndindex(y.shape)], "trial int, t int, var int, y double")
+    got = {r["var"]: r for r in learning.observation_step(cells, states, n, past=past, penalty=0.2).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for k, r in got.items():
+        use = [(a, t) for a in range(2) for t in range(past, steps) if t != 30 and np.isfinite(y[a, t - past : t + 1, k]).all()]
+        z = np.array([[*x[a, t], 1.0, *y[a, t - past : t, k][::-1]] for a, t in use])
+        m, c = np.array([v[a, t] for a, t in use]), np.array([y[a, t, k] for a, t in use])
+        loss = lambda b: (np.exp(z @ b + 0.5 * np.einsum("i,rij,j->r", b[:n], m, b[:n])) - c * (z @ b)).sum() + 0.1 * b @ b  # noqa: B023, E731
+        b = np.array([*r["c"], r["d"], *r["w"]])
+        slope = [(loss(b + 1e-5 * e) - loss(b - 1e-5 * e)) / 2e-5 for e in np.eye(n + 1 + past)]
+        assert r["n"] == len(use) and np.isclose(r["loss"], loss(b), rtol=1e-9) and np.abs(slope).max() < 1e-3 * max(1, np.abs(z.T @ c).max() / 100)
+    assert learning.observation_step(cells, states.limit(0), n, past=past).count() == 0
+    plain = {r["var"]: r for r in learning.observation_step(cells, states, n).collect()}
+    assert all(len(r["w"]) == 0 and r["n"] > got[k]["n"] for k, r in plain.items())
+
+
 def test_windows_with_unseen_cells_keep_their_scale(spark):
     """Half of the cells unseen: covariances of the products that are left, not shrunk by those that are not."""
     rng, k = np.random.default_rng(0), 2
