@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import components, decontam, hilbert, jaccard, langid, mixing, pii, quality, secrets, tokenfiles, warc
-from tessera.llm.queries import tokenizer_path
+from tessera.llm.queries import ORACLES, tokenizer_path
 from tests.conftest import SF
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -219,6 +220,10 @@ def test_quality_rules_name_their_reason(spark):
     rows = [(k, t, "a") for k, t in enumerate([*bad.values(), *good])]
     got = {r.doc_id: (r.reason, r.kept) for r in quality.judge(docs(spark, rows), quality.default_rules(), ordered=True).collect()}
     assert got == {k: (name, False) for k, name in enumerate(bad)} | {k: (None, True) for k in range(len(bad), len(rows))}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, t) for k, t, _ in rows])
+    assert {i: kept for i, kept in con.sql(f"SELECT doc_id, kept FROM ({ORACLES['op3_quality_rules']})").fetchall()} == {i: kept for i, (_, kept) in got.items()}
     got = spark.createDataFrame([(k, t.split()) for k, t in enumerate(["", "a", "b a b", "a b c", "b c b c c"])], "k int, w array<string>").select("k", quality.most_common(F.col("w")).alias("n")).collect()
     assert sorted((r.k, r.n) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 1), (4, 3)]
 
