@@ -14,32 +14,53 @@ from tessera.functions.links import LINKS
 from tessera.jobs import fitting
 from tessera.operators import lagcov, scan, tasksums
 from tessera.operators.kalman import Model, matrix
-from tessera.sources.store import shared_dir
+from tessera.sources.store import shared_dir, shared_out
 
 #: More steps than a trial has: inference of counts works on whole trials.
 WHOLE = 1 << 40
 
 
+def _factored(diag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots and multipliers of one forward elimination of a symmetric block-tridiagonal matrix.
+
+    diag: [T, n, n], off: [T-1, n, n] blocks (t, t+1).
+    """
+    s, g = np.empty_like(diag), np.empty_like(off)
+    s[0] = diag[0]
+    for t in range(len(off)):
+        g[t] = np.linalg.solve(s[t], off[t]).T
+        s[t + 1] = diag[t + 1] - g[t] @ off[t]
+    return s, g
+
+
+def _solved(inverses: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with H x = b [T, n], from H's inverted pivots and its multipliers."""
+    y = b.copy()
+    for t in range(len(g)):
+        y[t + 1] -= g[t] @ y[t]
+    x = np.einsum("tij,tj->ti", inverses, y)
+    for t in range(len(g) - 1, -1, -1):
+        x[t] -= x[t + 1] @ g[t]
+    return x
+
+
+def _inverse(inverses: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The diagonal and upper blocks of the inverse of the matrix with these inverted pivots and multipliers."""
+    inv, up = inverses.copy(), np.empty_like(g)
+    for t in range(len(g) - 1, -1, -1):
+        up[t] = -g[t].T @ inv[t + 1]
+        inv[t] -= up[t] @ g[t]
+    return inv, up
+
+
 def _solve_blocks(diag: np.ndarray, off: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x with H x = b for a symmetric block-tridiagonal H, and the diagonal and upper blocks of its inverse.
 
     diag: [T, n, n], off: [T-1, n, n] blocks (t, t+1), b: [T, n]. One forward elimination, one pass back.
     """
-    steps = len(diag)
-    s, y = np.empty_like(diag), np.empty_like(b)
-    s[0], y[0] = diag[0], b[0]
-    for t in range(1, steps):
-        g = np.linalg.solve(s[t - 1], off[t - 1]).T
-        s[t], y[t] = diag[t] - g @ off[t - 1], b[t] - g @ y[t - 1]
-    x, inv, up = np.empty_like(b), np.empty_like(diag), np.empty_like(off)
-    inv[-1] = np.linalg.inv(s[-1])
-    x[-1] = inv[-1] @ y[-1]
-    for t in range(steps - 2, -1, -1):
-        si = np.linalg.inv(s[t])
-        x[t] = si @ (y[t] - off[t] @ x[t + 1])
-        up[t] = -si @ off[t] @ inv[t + 1]
-        inv[t] = si - up[t] @ (si @ off[t]).T
-    return x, inv, up
+    s, g = _factored(diag, off)
+    inverses = np.linalg.inv(s)
+    return _solved(inverses, g, b), *_inverse(inverses, g)
 
 
 def prior_blocks(model: Model, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,16 +121,13 @@ def laplace(model: Model, y: np.ndarray, rounds: int = 100, tolerance: float = 1
     _, cov, up = _solve_blocks(hess, off, np.zeros_like(x))
     cross = np.zeros_like(cov)
     cross[1:] = np.transpose(up, (0, 2, 1))
-    det = lambda d, o: sum(np.linalg.slogdet(b)[1] for b in _pivots(d, o))
+    det = lambda d, o: np.linalg.slogdet(np.array(_pivots(d, o)))[1].sum()
     log_fact = np.array([np.log(np.arange(1, int(c) + 1)).sum() for c in counts.ravel()]).sum()
     return x, cov, cross, now - log_fact + 0.5 * (det(diag, off) - det(hess, off))
 
 
 def _pivots(diag: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    out = [diag[0]]
-    for t in range(1, len(diag)):
-        out.append(diag[t] - off[t - 1].T @ np.linalg.solve(out[-1], off[t - 1]))
-    return out
+    return list(_factored(diag, off)[0])
 
 
 def posterior(packed: DataFrame, model: Model, link: str = "exp") -> DataFrame:
@@ -120,7 +138,7 @@ def posterior(packed: DataFrame, model: Model, link: str = "exp") -> DataFrame:
         x, v, _, bound = laplace(model, matrix(frame, p), link=link)
         return pd.DataFrame({"trial": frame["trial"].iloc[0], "t": np.sort(frame["t"].to_numpy()), "x": list(x), "v": [a.ravel() for a in v], "bound": np.r_[bound, np.zeros(len(x) - 1)]})
 
-    return packed.groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, bound double")
+    return shared_out(packed, "trial").groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, bound double")
 
 
 def _loading_terms(model: Model, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
@@ -219,7 +237,7 @@ def predict(packed: DataFrame, model: Model, condition: tuple[int, int], target:
                 out += [(int(frame["trial"].iloc[0]), int(t[k]), i, float(r)) for i, r in enumerate(rate)]
         return pd.DataFrame(out, columns=["trial", "t", "var", "rate"])
 
-    return rows.groupBy("trial").applyInPandas(run, "trial int, t int, var int, rate double")
+    return shared_out(rows, "trial").groupBy("trial").applyInPandas(run, "trial int, t int, var int, rate double")
 
 
 def at_end(model: Model, y: np.ndarray, u: np.ndarray, s: np.ndarray, private: bool) -> tuple[np.ndarray, np.ndarray]:

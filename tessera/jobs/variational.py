@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from tessera.jobs import poisson
 from tessera.operators.kalman import Model, matrix
+from tessera.sources.store import shared_out
 
 Value = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
@@ -75,13 +76,14 @@ class Dual:
         self.y = y[self.on]
         self.step, self.var = np.nonzero(self.on)
         self.diag, self.off, self.mean = poisson.prior_blocks(model, len(y))
-        self.log_prior = self.log_det(self.diag)
+        pivots, self.multipliers = poisson._factored(self.diag, self.off)
+        self.inverses, self.log_prior = np.linalg.inv(pivots), self.log_det(pivots)
         self.loadings = model.C[self.var]
         self.squares = np.einsum("pi,pj->pij", model.C, model.C)
         self.constant = -sum(np.log(np.arange(1, int(c) + 1)).sum() for c in self.y)
 
-    def log_det(self, diag: np.ndarray) -> float:
-        return float(sum(np.linalg.slogdet(b)[1] for b in poisson._pivots(diag, self.off)))
+    def log_det(self, pivots: np.ndarray) -> float:
+        return float(np.linalg.slogdet(pivots)[1].sum())
 
     def spread(self, cells: np.ndarray) -> np.ndarray:
         """[steps, p] of values of the seen cells, zero elsewhere."""
@@ -90,21 +92,21 @@ class Dual:
         return out
 
     def posterior(self, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Means, covariances, upper covariances and the diagonal blocks of the precision that lam stands for."""
-        shift, _, _ = poisson._solve_blocks(self.diag, self.off, self.spread(self.y - lam) @ self.model.C)
-        precision = self.diag + np.einsum("tp,pij->tij", self.spread(lam), self.squares)
-        _, cov, up = poisson._solve_blocks(precision, self.off, np.zeros_like(self.mean))
-        return self.mean + shift, cov, up, precision
+        """Means, covariances, upper covariances and the pivots of the precision that lam stands for; the prior's are kept."""
+        shift = poisson._solved(self.inverses, self.multipliers, self.spread(self.y - lam) @ self.model.C)
+        pivots, multipliers = poisson._factored(self.diag + np.einsum("tp,pij->tij", self.spread(lam), self.squares), self.off)
+        cov, up = poisson._inverse(np.linalg.inv(pivots), multipliers)
+        return self.mean + shift, cov, up, pivots
 
     def __call__(self, lam: np.ndarray) -> tuple[float, np.ndarray]:
         if not (lam > 0).all():
             return np.inf, np.full(len(lam), np.nan)
-        m, cov, _, precision = self.posterior(lam)
+        m, cov, _, pivots = self.posterior(lam)
         e = self.y - lam
         drive = (m @ self.model.C.T + self.model.d)[self.on]
         prior = (self.mean @ self.model.C.T + self.model.d)[self.on]
         v = np.einsum("ci,cij,cj->c", self.loadings, cov[self.step], self.loadings)
-        value = (lam * (np.log(lam) - 1)).sum() + e @ prior + 0.5 * e @ (drive - prior) - 0.5 * (self.log_det(precision) - self.log_prior)
+        value = (lam * (np.log(lam) - 1)).sum() + e @ prior + 0.5 * e @ (drive - prior) - 0.5 * (self.log_det(pivots) - self.log_prior)
         return float(value + self.constant), np.log(lam) - drive - v / 2
 
     def fit(self, m: np.ndarray, cov: np.ndarray) -> float:
@@ -116,10 +118,10 @@ class Dual:
 
     def lower(self, lam: np.ndarray) -> float:
         """The bound of the posterior that lam stands for: at most the dual value, and equal to it at the optimum."""
-        m, cov, up, precision = self.posterior(lam)
+        m, cov, up, pivots = self.posterior(lam)
         z = m - self.mean
         trace = np.einsum("tij,tji->", self.diag, cov) + 2 * np.einsum("tij,tij->", self.off, up)
-        divergence = 0.5 * (trace + (z * poisson._times(self.diag, self.off, z)).sum() - m.size + self.log_det(precision) - self.log_prior)
+        divergence = 0.5 * (trace + (z * poisson._times(self.diag, self.off, z)).sum() - m.size + self.log_det(pivots) - self.log_prior)
         return self.fit(m, cov) - divergence
 
 
@@ -152,4 +154,4 @@ def posterior(packed: DataFrame, model: Model) -> DataFrame:
         none = np.zeros(len(m) - 1)
         return pd.DataFrame({"trial": frame["trial"].iloc[0], "t": np.sort(frame["t"].to_numpy()), "x": list(m), "v": [a.ravel() for a in cov], "bound": np.r_[bound, none], "gap": np.r_[gap, none]})
 
-    return packed.groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, bound double, gap double")
+    return shared_out(packed, "trial").groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, bound double, gap double")

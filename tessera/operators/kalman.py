@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.store import shared_out
 
 #: Mean and covariance of a state.
 State = tuple[np.ndarray, np.ndarray]
@@ -112,7 +113,7 @@ def posterior(packed: DataFrame, model: Model) -> DataFrame:
         t = np.sort(frame["t"].to_numpy())
         return pd.DataFrame({"trial": frame["trial"].iloc[0], "t": t, "x": list(xs), "v": [a.ravel() for a in vs], "vv": [a.ravel() for a in cross], "loglik": np.r_[ll, np.zeros(len(t) - 1)]})
 
-    return packed.groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, vv array<double>, loglik double")
+    return shared_out(packed, "trial").groupBy("trial").applyInPandas(run, "trial int, t int, x array<double>, v array<double>, vv array<double>, loglik double")
 
 
 def _series(panel: DataFrame, schema: str, run: Callable[[list[int], list[float | None]], Iterator[tuple]]) -> DataFrame:

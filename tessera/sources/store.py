@@ -25,3 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to at least as many tasks as the session's shuffles have, however few bytes they are.
+
+    For groups whose work is long though their rows are small: adaptive execution would put them all into one task.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)

@@ -145,3 +145,13 @@ def test_predictions_with_inputs_offsets_and_private_noise(spark):
     assert np.allclose(near[0], ends[0], atol=1e-3)
     assert np.linalg.det(poisson.at_end(model, y, np.zeros((9, 1)), np.zeros((9, 4)), True)[1]) > np.linalg.det(ends[1])
     assert min(get(private=True).values()) > 0
+
+
+def test_small_trials_are_dealt_to_all_tasks(spark):
+    """Few bytes, long work: adaptive execution may not put all trials into one task."""
+    model = kalman.Model(0.8 * np.eye(2), 0.36 * np.eye(2), np.zeros(2), np.eye(2), np.array([[0.2, 0.1], [0.1, -0.3]]), np.zeros(2), np.ones(2))
+    rows = spark.createDataFrame([(k, t, [float((k + t) % 3), None if t % 4 == 0 else 1.0]) for k in range(16) for t in range(4)], "trial int, t int, y array<double>").repartition(3)
+    for made in (variational.posterior(rows, model), poisson.posterior(rows, model), kalman.posterior(rows, model)):
+        tasks = made.select("trial", "t", F.spark_partition_id().alias("task")).collect()
+        assert len(tasks) == 64 and len({r.task for r in tasks}) >= 4
+        assert all(len({r.task for r in tasks if r.trial == k}) == 1 for k in range(16))
