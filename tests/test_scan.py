@@ -133,3 +133,31 @@ def test_counts_fit_goes_on_and_keeps_the_better_model(spark):
     poisson.fit(packed, start, 2, gain=-1e9, folder=folder)
     again, more = poisson.fit(packed, start, 4, gain=-1e9, folder=folder)
     assert np.allclose(trace, more) and np.allclose(whole.C, again.C) and trace[-1] > trace[0]
+
+
+def test_segments_take_their_steps_at_once():
+    """Maps and states of many segments from one pass over their steps, equal to those of each trial alone."""
+    model, rng = system(2, 5, 4), np.random.default_rng(1)
+    y = rng.standard_normal((40, 7, 5))
+    y[rng.random(y.shape) < 0.4] = np.nan
+    y[3, 2] = y[5] = np.nan
+    moves = []
+
+    class Counted(type(model)):
+        def move(self, u):
+            moves.append(1)
+            return super().move(u)
+
+    counted = Counted(**{f: getattr(model, f) for f in model.__dataclass_fields__})
+    first = np.zeros(40, int)
+    none = (np.zeros((40, 2)), np.tile(np.eye(2), (40, 1, 1)))
+    found = scan.filtered_segments(counted, y, None, first, none)
+    xs, vs, cross = scan.smoothed_segments(counted, None, first, none, (found[2][-1], found[3][-1]), found)
+    total = scan.forward_maps(counted, y, None, first)
+    assert len(moves) <= 3 * 7  # not 40 times that
+    for k in range(40):
+        want = kalman.smoothed(model, y[k])
+        for a, b in zip((xs, vs, cross), want[:3], strict=True):
+            assert np.allclose(a[:, k], b)
+        assert np.isclose(found[4][:, k].sum(), want[3])
+        assert np.allclose(total[1][k], found[2][-1, k]) and np.allclose(total[2][k], found[3][-1, k])
