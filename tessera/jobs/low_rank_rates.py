@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import kalman, lagcov, tasksums
-from tessera.sources.store import shared_dir
+from tessera.sources.store import shared_dir, shared_out
 
 _STATE = "trial int, t int, y array<double>, x array<double>, z array<double>, primal double, dual double, scale double, loss double"
 
@@ -207,7 +207,8 @@ def fit(panel: DataFrame, n_vars: int, *, strength: float = 1.0, link: str = "so
         df.write.mode("overwrite").parquet(folders[k % 2])
         return spark.read.schema(_STATE).parquet(folders[k % 2])
 
-    state, lam, value = kept_in(0, _begun(rows, made, kept, rho)), 0.0, 0.0
+    #: A round's tasks are those of the files that it reads, so the first rows are dealt out: packed rows are few bytes and would all be in one.
+    state, lam, value = kept_in(0, _begun(shared_out(rows, "trial", "t"), made, kept, rho)), 0.0, 0.0
     for k in range(rounds + 1):
         got = tasksums.summed(state, _sums(rho))
         n = float(got["n"][0])

@@ -105,3 +105,11 @@ def test_query_is_optimal(spark):
     assert len(rows) == len(y) > 0 and np.abs(slope.sum(0)).max() < 0.01 * lam * np.sqrt(len(x))
     assert np.linalg.svd(slope, compute_uv=False)[0] < 1.01 * lam
     assert np.isclose(-(slope * low).sum(), lam * np.linalg.svd(low, compute_uv=False).sum(), rtol=0.01, atol=0.01 * lam)
+
+
+def test_rounds_are_shared_out(spark):
+    """Rows of few bytes, whose rounds are work, are not left to one task."""
+    rows = [(k, t, v, float((k + t * v) % 4)) for k in range(10) for t in range(6) for v in range(3)]
+    made = lrr.fit(spark.createDataFrame(rows, "trial int, t int, var int, y double"), 3, strength=0.1, rounds=2)
+    assert made.rates.count() == 60
+    assert made.rates.rdd.getNumPartitions() >= 3
