@@ -13,11 +13,13 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,30 +42,38 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Pieces(dict):
-    """Ids of pieces as little-endian bytes; one that is missing is encoded and, unless it is long, kept."""
+#: Stands where texts are cut; never part of UTF-8.
+CUT = b"\xff"
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.new(piece)
-        if len(piece) <= self.encoder.max_piece:
-            self[piece] = ids
-        return ids
+def marked(text: str) -> bytes:
+    """A text in UTF-8 with marks where it may be cut."""
+    if TWO_GAPS.search(text):
+        return CUT.join(piece.encode() for piece in EDGE.split(text))
+    return text.encode().replace(b" ", CUT + b" ").replace(b"\n", CUT + b"\n")
+
+
+def parts(text: str, size: int) -> Iterator[str]:
+    """A text in parts of at least size characters that end where it may be cut."""
+    at = 0
+    while edge := EDGE.search(text, at + size):
+        yield text[at : edge.start()]
+        at = edge.start()
+    yield text[at:]
 
 
 class Encoder:
     """Token ids as little-endian bytes, as the library gives them without special tokens of its own, through a cache of pieces.
 
     The byte-level pre-tokenizer never joins a character to a blank or line feed behind it, nor a letter to
-    punctuation that ends a piece, so a text may be cut there and its pieces encoded alone. Pieces recur, and each new
-    one is encoded once: plain words by the library's model, all others by its whole tokenizer. The cache has two
-    generations of max_pieces: when the young one is full it becomes the old one, and old pieces that recur move on.
+    punctuation that ends a piece, so a text may be cut there and its pieces encoded alone. Texts go in blocks of about
+    block characters: Arrow cuts a block and finds its different pieces, and those that the cache doesn't hold are encoded:
+    plain words by the library's model, all others by its whole tokenizer. The cache is a few Arrow arrays of at most
+    max_bytes; when it is full, the half that most blocks have asked for stays. Longer texts are cut into several blocks.
     Texts with an added token written out, and all texts of tokenizers of any other kind, are encoded whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = 60_000, max_piece: int = 64):
+    def __init__(self, path: str, max_bytes: int = 12 << 20, max_piece: int = 64, block: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -74,41 +84,78 @@ class Encoder:
         self.in_pieces = plain and isinstance(self.model, models.BPE) and self.model.dropout is None
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)")
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.letters = [letters[b] for b in range(256)]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.max_pieces, self.max_piece = max_pieces, max_piece
-        self.young, self.old = Pieces(self), {}
-
-    def pieces(self, text: str) -> list[str]:
-        if "\0" in text or TWO_GAPS.search(text):
-            return EDGE.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        self.max_bytes, self.max_piece, self.block = max_bytes, max_piece, block
+        #: Pieces, their ids, and by how many blocks each was asked for.
+        self.pieces, self.coded, self.asked = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def new(self, piece: str) -> bytes:
-        """Ids of a piece that isn't in the young generation."""
-        ids = self.old.get(piece)
-        if ids is not None:
-            return ids
-        if len(piece) <= self.max_piece and (m := PLAIN.fullmatch(piece)):
-            feed, word, tail = m.groups()
-            if feed or tail:
-                return (self.young[feed] if feed else b"") + self.young[word] + (self.young[tail] if tail else b"")
-            return self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
-        return self.packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        if not self.in_pieces or self.added.search(text):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.young) > self.max_pieces:
-            self.old, self.young = dict(self.young), Pieces(self)
-        return b"".join(map(self.young.__getitem__, self.pieces(text)))
-
-    def forget(self) -> None:
-        """Empties the cache, as a task's end is not that of its Python worker."""
-        self.old, self.young = {}, Pieces(self)
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        """Ids of a plain word; in ASCII, only the blank in front is written differently."""
+        letters = word.replace(" ", self.letters[32]) if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return self.packed([t.id for t in self.model.tokenize(letters)])
+
+    def new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that aren't in the cache; words and punctuation in front of and behind them are encoded once each."""
+        word, whole, out = cache(self.word), cache(self.whole), []
+        for piece in pieces:
+            if len(piece) <= self.max_piece and (m := PLAIN.fullmatch(piece)):
+                feed, letters, tail = m.groups()
+                ids = word(letters)
+                out.append(whole(feed) + ids + whole(tail) if feed or tail else ids)
+            else:
+                out.append(self.whole(piece))
+        return out
+
+    def ids(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of different pieces."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        missing, at = pieces.filter(at.is_null()), at.fill_null(-1).to_numpy().copy()
+        fresh = pa.array(self.new(missing.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        self.asked[at[at >= 0]] += 1
+        at[at < 0] = len(self.coded) + np.arange(len(fresh))
+        found = pa.concat_arrays([self.coded, fresh]).take(pa.array(at))
+        kept = pc.less_equal(pc.utf8_length(missing), self.max_piece)
+        self.pieces, self.coded = pa.concat_arrays([self.pieces, missing.filter(kept)]), pa.concat_arrays([self.coded, fresh.filter(kept)])
+        self.asked = np.concatenate([self.asked, np.ones(len(self.pieces) - len(self.asked), np.int64)])
+        while self.pieces.nbytes + self.coded.nbytes > self.max_bytes and len(self.pieces) > 1:
+            stay = np.sort(np.argsort(-self.asked, kind="stable")[: len(self.asked) // 2])
+            self.pieces, self.coded, self.asked = self.pieces.take(pa.array(stay)), self.coded.take(pa.array(stay)), self.asked[stay]
+        return found
+
+    def cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are encoded in pieces."""
+        pieces = pc.split_pattern(pa.array(map(marked, texts), pa.large_binary()), CUT)
+        coded = pieces.flatten().dictionary_encode()
+        ids = self.ids(coded.dictionary.cast(pa.large_string())).take(coded.indices)
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[pieces.offsets.to_numpy()].tolist()
+        return [data[a:b].to_pybytes() if a < b else b"" for a, b in pairwise(at)]
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        block, size = [], 0
+        for text in texts:
+            alone = not self.in_pieces or self.added.search(text)
+            if block and (alone or size + len(text) > self.block):
+                yield from self.cut(block)
+                block, size = [], 0
+            if alone:
+                yield self.whole(text)
+            elif len(text) > self.block:
+                yield b"".join(self.cut([part])[0] for part in parts(text, self.block))
+            else:
+                block.append(text)
+                size += len(text)
+        if block:
+            yield from self.cut(block)
 
 
 @lru_cache(maxsize=1)
@@ -133,8 +180,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_doc
         e = encoder(tokenizer)
         end = end_id.to_bytes(e.width, "little")
         for batch in batches:
-            yield pa.record_batch([pa.array([(e.encode(t.as_py()) + end)[:sample_bytes] for t in batch.column(0)], pa.binary())], ["ids"])
-        e.forget()
+            yield pa.record_batch([pa.array([(x + end)[:sample_bytes] for x in e.encode(batch.column(0).to_pylist())], pa.binary())], ["ids"])
 
     samples = sorted(bytes(r[0]) for r in small_batches(texts).mapInArrow(tidy(ids), "ids binary").collect())
     try:
@@ -148,7 +194,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, leve
 
     Index: doc_id, file, offset, length, n_tokens (with end_id), start (ids of all documents before). Null
     texts are empty and hold end_id alone. Null ids come first; rows that repeat an id are ordered by
-    a hash of their text. Long texts are encoded whole. Other columns are ignored; an empty table gives an empty index.
+    a hash of their text. Long texts are cut where no token crosses. Other columns are ignored; an empty table gives an empty index.
     """
     import zstandard
 
@@ -169,8 +215,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, leve
         end = end_id.to_bytes(e.width, "little")
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                ids = e.encode(text.as_py()) + end
+            for ids in e.encode(batch.column(1).to_pylist()):
+                ids += end
                 data = squeeze.compress(ids)
                 out.append((*files.append(data), len(data), len(ids) // e.width, before))
                 before += out[-1][-2]
@@ -178,7 +224,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 2, leve
             columns = [pa.array([part] * len(out), pa.int32()), batch.column(0), pa.array(names, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
             yield pa.record_batch(columns, [c.split()[0] for c in WRITTEN.split(", ")])
         files.close()
-        e.forget()
 
     written = stored(rows.mapInArrow(tidy(put), WRITTEN))
     #: One row a task: where its first id stands among all.
